@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import licenses as _licenses
+from tidewright.llm import linededup as _linededup
 from tidewright.llm import quality as _quality
 from tidewright.session import table
 
@@ -41,6 +42,25 @@ def _op1_sql() -> str:
       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= {_quality.MAX_LOST} * n_words AS kept FROM o"""
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _op3_sql() -> str:
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+    WITH d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{_linededup.LINE_AND_SPACE}') p FROM documents),
+    l AS (SELECT doc_id, text, p, list_transform(p, lambda x: rtrim(x, {blanks})) q FROM d),
+    w AS (SELECT doc_id, i, q[i:i + {_linededup.WINDOW - 1}] s FROM (SELECT doc_id, q, unnest(range(1, len(q) - {_linededup.WINDOW - 2})) i FROM l)),
+    f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) nth FROM w WHERE length(array_to_string(s, '')) >= {_linededup.MIN_CHARS}),
+    g AS (SELECT doc_id, list(DISTINCT i + k) gone FROM f, range(0, {_linededup.WINDOW}) x(k) WHERE nth > 1 GROUP BY 1),
+    k AS (SELECT doc_id, text, p, gone, list_filter(range(1, len(p) + 1), lambda i: NOT list_contains(coalesce(gone, []), i)) kept FROM l LEFT JOIN g USING (doc_id))
+    SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(kept, lambda i, j:
+        CASE WHEN kept[j + 1] = i + 1 OR j = len(kept) AND i = len(p) THEN p[i]
+             WHEN j = len(kept) THEN rtrim(p[i], {blanks}) ELSE rtrim(p[i], {blanks}) || chr(10) END), ''), '') END AS text,
+      cast(len(p) AS BIGINT) n_lines, cast(coalesce(len(gone), 0) AS BIGINT) n_removed FROM k"""
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -62,9 +82,11 @@ def _op9_sql() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op9_license_scan": op9_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": _op1_sql(),
+    "op3_line_dedup": _op3_sql(),
     "op9_license_scan": _op9_sql(),
 }
