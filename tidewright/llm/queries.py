@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewright.llm import licenses as _licenses
 from tidewright.llm import linededup as _linededup
 from tidewright.llm import quality as _quality
+from tidewright.llm import warc as _warc
 from tidewright.session import table
 
 
@@ -42,6 +43,19 @@ def _op1_sql() -> str:
       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= {_quality.MAX_LOST} * n_words AS kept FROM o"""
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _warc.write_archives(table(spark, sf_dir, "pages"))
+    return _warc.read_archives(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP2_SQL = f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages),
+    q AS (SELECT page_id, cast(octet_length(encode(h)) AS BIGINT) payload_bytes, sha256(h) payload_digest FROM p),
+    r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) f FROM q)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {_warc.MIN_REVISIT} AND page_id > f THEN 'revisit' ELSE 'response' END record_type,
+      CASE WHEN payload_bytes >= {_warc.MIN_REVISIT} AND page_id > f THEN f END refers_to FROM r"""
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -82,11 +96,13 @@ def _op9_sql() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
     "op9_license_scan": op9_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": _op1_sql(),
+    "op2_warc": _OP2_SQL,
     "op3_line_dedup": _op3_sql(),
     "op9_license_scan": _op9_sql(),
 }
