@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewright.llm import licenses as _licenses
 from tidewright.llm import linededup as _linededup
 from tidewright.llm import quality as _quality
+from tidewright.llm import toxicity as _toxicity
 from tidewright.llm import warc as _warc
 from tidewright.session import table
 
@@ -75,6 +77,12 @@ def _op3_sql() -> str:
       cast(len(p) AS BIGINT) n_lines, cast(coalesce(len(gone), 0) AS BIGINT) n_removed FROM k"""
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = _toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _toxicity.score(docs, model, keep=["doc_id"]).select("doc_id", _toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -98,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op9_license_scan": op9_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {
