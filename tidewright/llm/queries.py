@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewright.llm import chat as _chat
 from tidewright.llm import licenses as _licenses
 from tidewright.llm import linededup as _linededup
+from tidewright.llm import mixing as _mixing
 from tidewright.llm import quality as _quality
 from tidewright.llm import toxicity as _toxicity
 from tidewright.llm import warc as _warc
@@ -109,6 +110,10 @@ def _op6_sql() -> str:
       cast(sum({len(_chat.TURN) + len(_chat.END) + 2} + {escaped('r')} + {escaped('t')}) AS BIGINT) formatted_chars FROM c GROUP BY 1"""
 
 
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -134,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
+    "op7_mix": op7_mix,
     "op9_license_scan": op9_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {
