@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import chat as _chat
+from tidewright.llm import decontaminate as _decontaminate
 from tidewright.llm import licenses as _licenses
 from tidewright.llm import linededup as _linededup
 from tidewright.llm import mixing as _mixing
@@ -133,6 +134,10 @@ def _op9_sql() -> str:
       CASE WHEN len(ol) > 0 THEN {_licenses.FULL}::DOUBLE WHEN len(bl) > 0 THEN {_licenses.PARTIAL}::DOUBLE ELSE 0::DOUBLE END score FROM q"""
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -141,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_mix": op7_mix,
     "op9_license_scan": op9_license_scan,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": _op1_sql(),
