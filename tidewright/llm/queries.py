@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import chat as _chat
 from tidewright.llm import decontaminate as _decontaminate
+from tidewright.llm import jaccard as _jaccard
 from tidewright.llm import licenses as _licenses
 from tidewright.llm import linededup as _linededup
 from tidewright.llm import mixing as _mixing
@@ -80,6 +81,10 @@ def _op3_sql() -> str:
       cast(len(p) AS BIGINT) n_lines, cast(coalesce(len(gone), 0) AS BIGINT) n_removed FROM k"""
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = _toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
     "op3_line_dedup": op3_line_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_mix": op7_mix,
