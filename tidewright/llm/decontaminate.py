@@ -6,6 +6,7 @@ of test items are joined with those of the documents, and around each hit the un
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,6 +107,27 @@ class Tests:
         return None
 
 
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The test items in blocks of about BLOCK_BYTES; one block, maybe empty, at least."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-n_bytes // BLOCK_BYTES))
+    for block in range(blocks):
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
+
+
+def _found(tests: Tests, buf: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """The best overlap of each (text, item) of a slice."""
+    h, first = _word_hashes(buf, at)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for text, item, diagonal in tests.hits(h, first).tolist():
+        if over := tests.verify(h, first[text], first[text + 1], item, diagonal):
+            old = best.get((text, item))
+            if old is None or (over[2], -over[0]) > (old[2], -old[0]):
+                best[text, item] = over
+    return best
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row for each document and item that overlap: columns ``keep`` of docs (doc_id by default), then SCHEMA.
 
@@ -115,37 +137,42 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     at most BLOCK_BYTES of test texts, and there are as many passes as the test set needs.
     """
     keep = ["doc_id"] if keep is None else keep
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-n_bytes // BLOCK_BYTES))
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), SCHEMA])
     names = [*keep, *(x.split()[0] for x in SCHEMA.split(", "))]
 
-    def one(block: int) -> DataFrame:
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = spark.sparkContext.broadcast([(r.item_id, r.text) for r in own.collect()])
+    def one(items: list[tuple[int | None, str]]) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tests = Tests(held.value)
             for batch in batches:
                 for a, _, buf, at in tn.slices(batch.column(len(keep))):
-                    h, first = _word_hashes(buf, at)
-                    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                    for text, item, diagonal in tests.hits(h, first).tolist():
-                        if over := tests.verify(h, first[text], first[text + 1], item, diagonal):
-                            old = best.get((text, item))
-                            if old is None or (over[2], -over[0]) > (old[2], -old[0]):
-                                best[text, item] = over
-                    if best:
+                    if best := _found(tests, buf, at):
                         rows = pa.array([a + t for t, _ in best])
                         values = [[tests.ids[i] for _, i in best], *zip(*best.values(), strict=True)]
                         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(len(keep))), *(pa.array(v, pa.int64()) for v in values)], names=names)
 
         return source.mapInArrow(run, schema)
 
-    out = one(0)
-    for block in range(1, blocks):
-        out = out.unionByName(one(block))
-    return out
+    return functools.reduce(DataFrame.unionByName, map(one, _blocks(benchmark)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs whose text overlaps no test item (see :func:`overlaps`), with all their columns. Nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def one(docs: DataFrame, items: list[tuple[int | None, str]]) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tests = Tests(held.value)
+            for batch in batches:
+                stays = np.ones(batch.num_rows, bool)
+                for a, _, buf, offsets in tn.slices(batch.column(at)):
+                    stays[[a + t for t, _ in _found(tests, buf, offsets)]] = False
+                yield batch.filter(pa.array(stays))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return functools.reduce(one, _blocks(benchmark), docs)

@@ -231,3 +231,12 @@ def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = pa.array(set_names(*shingle_sets(buf, at)), pa.binary())
             part = batch.slice(a, b - a)
             yield part.filter(pa.compute.equal(part.column(1), own))
+
+
+def unique(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose id is the class_id of their class: one document of each class stays, with all its columns.
+
+    Rows that repeat an id are the same document and stay or go together.
+    """
+    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__kept")).distinct()
+    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == kept["__kept"], "left_semi")

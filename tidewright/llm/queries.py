@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import chat as _chat
 from tidewright.llm import decontaminate as _decontaminate
+from tidewright.llm import html as _html
 from tidewright.llm import jaccard as _jaccard
 from tidewright.llm import licenses as _licenses
 from tidewright.llm import linededup as _linededup
@@ -120,6 +121,10 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -151,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_mix": op7_mix,
+    "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,
 }
