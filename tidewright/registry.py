@@ -2,16 +2,40 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "panel_bars"
+FLAGSHIP = "trend_backtest"
+PLANS = ("panel", "signals", "positions", "joins", "aggregates", "tape", "flow", "book", "risk", "inference", "kernels", "streams", "sources")
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function (spark, folder of tables) under its name, with the SQL that gives the same rows."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    for name in PLANS:
+        importlib.import_module(f"tidewright.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_ORACLE)
