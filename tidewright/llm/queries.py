@@ -27,8 +27,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op1_sql() -> str:
     phrases = " OR ".join(f"contains(low, '{p}')" for p in _quality.BOILERPLATE)
     return rf"""
-    WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
-    w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w FROM d),
+    WITH d AS (SELECT row_number() OVER () doc_id, doc_id id, coalesce(text, '') t FROM documents),
+    w AS (SELECT doc_id, id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') w FROM d),
     win AS (SELECT doc_id, i, w[i:i + 4] s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) i FROM w)),
     rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
     cov AS (SELECT doc_id, count(DISTINCT i + k) n FROM rep, range(0, 5) x(k) GROUP BY 1),
@@ -41,11 +41,11 @@ def _op1_sql() -> str:
       OR 10 * len(regexp_extract_all(line, '[#*$%&|<>]')) > 3 * len(lw)
       OR {phrases} bad FROM m WHERE len(lw) > 0),
     s AS (SELECT doc_id, count(*) n_lines, count(*) - count(DISTINCT line) n_dup_lines, count(*) FILTER (bad) n_bad_lines, coalesce(sum(n) FILTER (bad), 0) lost FROM r GROUP BY 1),
-    o AS (SELECT w.doc_id, cast(len(w) AS BIGINT) n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) word_chars,
+    o AS (SELECT w.id, cast(len(w) AS BIGINT) n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) word_chars,
       cast(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) n_symbols, coalesce(n_dup_lines, 0) n_dup_lines, coalesce(cov.n, 0) n_repeat_words,
       coalesce(n_lines, 0) n_lines, coalesce(n_bad_lines, 0) n_bad_lines, cast(coalesce(lost, 0) AS BIGINT) lost
       FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN s USING (doc_id))
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_bad_lines, n_words - lost AS kept_words,
+    SELECT id AS doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_bad_lines, n_words - lost AS kept_words,
       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost <= {_quality.MAX_LOST} * n_words AS kept FROM o"""
 
