@@ -80,7 +80,7 @@ def performance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(backtest.summary(daily(spark, sf_dir)))
 
 
-@query(f"{P}, {DAILY} SELECT cast(date_trunc('month', date) AS DATE) AS \"month\", {r('exp(sum(ln(1 + net))) - 1', 'ret')}, count(net) AS "days" FROM daily GROUP BY 1")
+@query(f"{P}, {DAILY} SELECT cast(date_trunc('month', date) AS DATE) AS \"month\", {r('exp(sum(ln(1 + net))) - 1', 'ret')}, count(net) AS \"days\" FROM daily GROUP BY 1")
 def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(backtest.monthly(daily(spark, sf_dir)))
 
