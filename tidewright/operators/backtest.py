@@ -141,7 +141,7 @@ def crises(daily: DataFrame, depth: float = 0.15) -> DataFrame:
     return e.groupBy("episode").agg(F.min("date").alias("peak_date"), F.min_by("date", "drawdown").alias("low_date"), F.min("drawdown").alias("depth")).where(F.col("depth") <= -depth).drop("episode")
 
 
-def quadrants(daily: DataFrame, level: str = "exposure", least: int = 250) -> DataFrame:
+def quadrants(daily: DataFrame, level: str = "turnover", least: int = 250) -> DataFrame:
     """Sharpe by regime: yesterday's level against its expanding mean, times the sign of its change over 63 days."""
     w = Window.orderBy("date")
     base = daily.select("date", F.col("net").alias("r"), F.lag(level).over(w).alias("x"))

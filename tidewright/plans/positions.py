@@ -14,7 +14,7 @@ from tidewright.registry import query
 P = f"WITH {views.PANEL_SQL}"
 W = "PARTITION BY asset ORDER BY date"
 #: Gross exposure. The panel's prices jump by multiples from day to day, so a full position could lose more than all.
-EXPOSURE = 0.02
+EXPOSURE = 0.002
 
 
 def r(x: str, name: str) -> str:
@@ -144,13 +144,13 @@ def pareto_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(backtest.pareto(_measures(spark, sf_dir), ["mean", "calm", "worst"], "stream"))
 
 
-@query(f"{P}, {EQUITY}, e AS (SELECT date, drawdown, sum(cast(drawdown >= 0 AS INT)) OVER (ORDER BY date) ep FROM equity) SELECT min(date) peak_date, min_by(date, drawdown) low_date, {r('min(drawdown)', 'depth')} FROM e GROUP BY ep HAVING min(drawdown) <= -0.05")
+@query(f"{P}, {EQUITY}, e AS (SELECT date, drawdown, sum(cast(drawdown >= 0 AS INT)) OVER (ORDER BY date) ep FROM equity) SELECT min(date) peak_date, min_by(date, drawdown) low_date, {r('min(drawdown)', 'depth')} FROM e GROUP BY ep HAVING min(drawdown) <= -0.02")
 def crisis_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(backtest.crises(daily(spark, sf_dir), 0.05))
+    return rounded(backtest.crises(daily(spark, sf_dir), 0.02))
 
 
 @query(
-    f"""{P}, {DAILY}, a AS (SELECT date, net, lag(exposure) OVER (ORDER BY date) x FROM daily), b AS (SELECT net, x > CASE WHEN count(x) OVER (ORDER BY date) >= 250 THEN avg(x) OVER (ORDER BY date) END high, x > lag(x, 63) OVER (ORDER BY date) rising FROM a)
+    f"""{P}, {DAILY}, a AS (SELECT date, net, lag(turnover) OVER (ORDER BY date) x FROM daily), b AS (SELECT net, x > CASE WHEN count(x) OVER (ORDER BY date) >= 250 THEN avg(x) OVER (ORDER BY date) END high, x > lag(x, 63) OVER (ORDER BY date) rising FROM a)
     SELECT high, rising, count(*) AS "days", {r('avg(net) / stddev_samp(net)', 'sharpe')} FROM b WHERE high IS NOT NULL AND rising IS NOT NULL GROUP BY 1, 2"""
 )
 def regime_quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
