@@ -200,13 +200,16 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     A null or empty text has no features and the score of the bias, below 0.5. Columns named score and predicted are replaced. One narrow pass.
     """
     own = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "predicted")]
-    source = docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").cast("string").alias("__scored"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), "score double", "predicted int"])
+    # a text that is kept anyway is sent once
+    sent = [F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in own]
+    source = docs.select(*sent) if "text" in own else docs.select(*sent, F.col("text").cast("string").alias("__scored"))
+    at = source.columns.index("text" if "text" in own else "__scored")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(own)]), "score double", "predicted int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, at in tn.slices(batch.column(len(own))):
-                s = model.score(buf, at)
+            for a, b, buf, offsets in tn.slices(batch.column(at)):
+                s = model.score(buf, offsets)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(own))), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*own, "score", "predicted"])
 
     return source.mapInArrow(run, schema)
