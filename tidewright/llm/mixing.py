@@ -122,7 +122,8 @@ def mix(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame
     rows = sized(docs)
     sources = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     wanted = materialise(targets(sources), "targets")
-    return slots(wanted, seed=seed).join(pieces(rows), ["key", "block"]), rows, wanted
+    # slots come from a table of one row a source, so the optimiser takes them for few: the hint keeps them from being broadcast
+    return slots(wanted, seed=seed).hint("merge").join(pieces(rows), ["key", "block"]), rows, wanted
 
 
 def taken(docs: DataFrame, seed: int = 0) -> DataFrame:
