@@ -1 +1,49 @@
-"""Queries of this family."""
+"""Queries that run as streams over replayed files, against SQL on the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright import views
+from tidewright.registry import query
+from tidewright.streaming import bars
+
+T = f"WITH {views.TAPE_SQL}"
+HOUR = 3_600_000
+
+
+@query(
+    f"""{T}, m AS (SELECT max(ts_ms) - 600000 w FROM tape) SELECT symbol, ts_ms // {HOUR} * {HOUR} start_ms, min_by(tick, (ts_ms, id)) open, max(tick) high, min(tick) low, max_by(tick, (ts_ms, id)) "close", cast(sum(lots) AS BIGINT) lots, count(*) trades
+    FROM tape, m GROUP BY 1, 2 HAVING max(ts_ms // {HOUR} * {HOUR}) + {HOUR} <= any_value(w)"""
+)
+def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the hours that the watermark has closed."""
+    return bars.replay(spark, views.tape(spark, sf_dir), bars.live_bars)
+
+
+@query(f"{T} SELECT DISTINCT * FROM tape")
+def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = views.tape(spark, sf_dir)
+    return bars.replay(spark, t.unionByName(t.where("id % 7 = 0")), bars.deduplicated)
+
+
+@query(f"{T}, k AS (SELECT *, unnest([0, 1, 2, 3]) j FROM tape) SELECT symbol, (ts_ms // 900000 - j) * 900000 start_ms, count(*) trades, cast(sum(lots) AS BIGINT) lots FROM k GROUP BY 1, 2")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.sliding_counts(views.tape(spark, sf_dir))
+
+
+@query(
+    f"""{T}, g AS (SELECT *, coalesce(cast(ts_ms - lag(ts_ms) OVER w >= 1800000 AS INT), 1) n FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY ts_ms, id)), s AS (SELECT *, sum(n) OVER (PARTITION BY symbol ORDER BY ts_ms, id) k FROM g)
+    SELECT symbol, min(ts_ms) start_ms, max(ts_ms) end_ms, count(*) trades FROM s GROUP BY symbol, k"""
+)
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.sessions(views.tape(spark, sf_dir))
+
+
+@query()
+def stream_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The book of a stream with a snapshot at its start and a gap in its ids; tests hold the hand cases."""
+    d = views.book_deltas(spark, sf_dir).where("u % 1000 <> 500")
+    rows = d.select(F.lit("X").alias("symbol"), "u", "ts_ms", (F.col("u") % 1000 == 1).alias("snap"), "side", F.col("tick").cast("long").alias("tick"), "size")
+    return bars.replay(spark, rows.orderBy("u"), bars.live_book)
