@@ -78,11 +78,19 @@ def sign_test(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return df.groupBy(*keys).agg(n.alias("n"), k.alias("positive"), F.least(2 * (1 - normal.cdf(F.greatest(z, F.lit(0.0)))), F.lit(1.0)).alias("p"))
 
 
+def bucket_of(df: DataFrame, x: str, n: int = 64) -> Column:
+    """Index of the bucket that holds x, from at most n approximate quantiles: larger x never has a smaller index. Only the bounds reach the driver."""
+    bounds = df.agg(F.percentile_approx(x, F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(2000))).first()[0] or []
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>"), lambda b: b < F.col(x)))
+
+
 def rank_auc(df: DataFrame, score: str, up: str) -> DataFrame:
-    """Exact AUC by rank sum, ties averaged: values are counted first, so the window runs over distinct scores."""
-    c = df.groupBy(score).agg(F.count_if(F.col(up)).alias("u"), F.count_if(~F.col(up)).alias("d"))
-    below = F.sum("d").over(Window.orderBy(score)) - F.col("d")
-    return c.select("u", "d", (F.col("u") * (below + 0.5 * F.col("d"))).alias("won")).agg(divide(F.sum("won"), (F.sum("u") * F.sum("d")).cast("double")).alias("auc"), F.sum("u").alias("n_up"), F.sum("d").alias("n_down"))
+    """Exact AUC by rank sum, ties averaged: values are counted first, then counted up within buckets of the scores and over the buckets, so no task holds all scores."""
+    c = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(up)).alias("u"), F.count_if(~F.col(up)).alias("d")).withColumn("b", bucket_of(df, score))
+    within = F.sum("d").over(Window.partitionBy("b").orderBy(score)) - F.col("d")
+    starts = c.groupBy("b").agg(F.sum("d").alias("s")).select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("start"))
+    won = c.withColumn("within", within).join(F.broadcast(starts), "b")  # one row a bucket
+    return won.select("u", "d", (F.col("u") * (F.col("start") + F.col("within") + 0.5 * F.col("d"))).alias("won")).agg(divide(F.sum("won"), (F.sum("u") * F.sum("d")).cast("double")).alias("auc"), F.sum("u").alias("n_up"), F.sum("d").alias("n_down"))
 
 
 def bootstrap_means(df: DataFrame, cluster: str, x: str, replicates: int, seed: int = 0) -> DataFrame:

@@ -14,7 +14,7 @@ from tidewright.registry import query
 P = f"WITH {views.PANEL_SQL}"
 W = "PARTITION BY asset ORDER BY date"
 #: Gross exposure. The panel's prices jump by multiples from day to day, so a full position could lose more than all.
-EXPOSURE = 0.002
+EXPOSURE = 0.0002
 
 
 def r(x: str, name: str) -> str:
@@ -36,14 +36,14 @@ WEIGHTS = f"""a_ AS (SELECT asset, date, close, close / lag(close) OVER ({W}) -
     weights AS (SELECT asset, date, close, ret, sign(past) signal, sign(past) * (inverse / sum(inverse) OVER (PARTITION BY date) * {EXPOSURE}) weight FROM b_)"""
 DAILY = f"""{WEIGHTS}, h_ AS (SELECT asset, date, ret, coalesce(lag(coalesce(weight, 0)) OVER ({W}), 0) held FROM weights), m_ AS (SELECT *, coalesce(abs(held - lag(held) OVER ({W})), 0) moved FROM h_),
     each AS (SELECT asset, date, held, held * coalesce(ret, 0) gross, moved / 2 turnover, moved * 0.0005 / 2 AS "cost", greatest(-held, 0) * 0.02 / 252 borrow, held * coalesce(ret, 0) - moved * 0.0005 / 2 - greatest(-held, 0) * 0.02 / 252 net FROM m_),
-    daily AS (SELECT date, sum(gross) gross, sum(turnover) turnover, sum("cost") + sum(borrow) costs, sum(net) net, sum(abs(held)) exposure, count(*) FILTER (2 * turnover >= 0.01) trades FROM each GROUP BY date)"""
+    daily AS (SELECT date, sum(gross) gross, sum(turnover) turnover, sum("cost") + sum(borrow) costs, sum(net) net, sum(abs(held)) exposure, count(*) FILTER (2 * turnover >= {EXPOSURE / 20}) trades FROM each GROUP BY date)"""
 EQUITY = f"""{DAILY}, g_ AS (SELECT *, exp(sum(ln(1 + net)) OVER (ORDER BY date)) equity FROM daily), k_ AS (SELECT *, greatest(max(equity) OVER (ORDER BY date), 1.0) peak FROM g_),
     d_ AS (SELECT *, equity / peak - 1 drawdown, sum(cast(equity >= peak AS INT)) OVER (ORDER BY date) episode FROM k_),
     equity AS (SELECT *, coalesce(sum(cast(drawdown < 0 AS INT)) OVER (PARTITION BY episode ORDER BY date), 0) under_water FROM d_)"""
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.backtest(weights(spark, sf_dir))
+    return backtest.backtest(weights(spark, sf_dir), threshold=EXPOSURE / 20)
 
 
 @query(f"{P}, {DAILY} SELECT date, {r('gross', 'gross')}, {r('turnover', 'turnover')}, {r('costs', 'costs')}, {r('net', 'net')}, {r('exposure', 'exposure')}, trades FROM daily")
