@@ -122,3 +122,22 @@ def test_matrix_drops_assets_without_pairs():
     pdf = pd.DataFrame([("a", "a", 1.0), ("a", "b", 0.1), ("b", "b", 1.0), ("c", "c", 1.0), ("a", "c", 0.2)], columns=["a", "b", "cov"])
     names, m = risk.matrix(pdf)
     assert len(names) == 2 and not np.isnan(m).any()
+
+
+def test_hawkes_finds_clustering():
+    rng = np.random.default_rng(6)
+    poisson = np.sort(rng.uniform(0, 86_400, 600))
+    clustered = np.sort(np.concatenate([c + np.cumsum(rng.exponential(60, 6)) for c in rng.uniform(0, 80_000, 100)]))
+    assert k.hawkes(poisson, (1 / 300,), 86_400)[1].sum() < 0.3 < k.hawkes(clustered, (1 / 300,), 86_400)[1].sum()
+    assert k.hawkes(np.zeros(0), (1.0,), 10.0)[0] == 0
+
+
+def test_inverse_account_of_one_trade():
+    # 1 coin of target at 50,000 is 50,000 dollars; the price then rises by a tenth
+    out = k.inverse_account(np.array([50_000.0, 55_000.0]), np.array([1.0, 1.0]), np.zeros(2), equity=1.0, fee=0.0)
+    assert math.isclose(out[1], 1 + 50_000 * (1 / 50_000 - 1 / 55_000), abs_tol=1e-12)
+
+
+def test_grid_sells_what_it_bought_one_step_higher():
+    out = k.grid_result(np.array([100.0, 99.0, 100.0]), 0.01, 3)
+    assert math.isclose(out[-1], 1.0)

@@ -180,3 +180,63 @@ def window_pvalue(hours: DataFrame, at: int) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy(F.desc("lots"))
     n = F.count("*").over(Window.partitionBy("symbol"))
     return h.select("symbol", "ts_ms", "lots", (F.count("*").over(w.rangeBetween(Window.unboundedPreceding, 0)) / n).alias("p"))
+
+
+def early_warning(hours: DataFrame, fit_until: int, q: float = 0.95) -> DataFrame:
+    """Flags of hours whose activity or move exceeds its quantile of the hours before ``fit_until``, and the lead to the next hour with the largest kind of move."""
+    w = Window.partitionBy("symbol").orderBy("ts_ms")
+    x = hours.withColumn("move", F.abs(F.col("tick") - F.lag("tick").over(w)))
+    limits = x.where(F.col("ts_ms") < fit_until).groupBy("symbol").agg(F.percentile("lots", F.lit(q)).alias("l_lots"), F.percentile("move", F.lit(q)).alias("l_move"))
+    f = x.where(F.col("ts_ms") >= fit_until).join(limits, "symbol").withColumn("active", F.col("lots") > F.col("l_lots")).withColumn("event", F.col("move") > F.col("l_move"))
+    nxt = F.min(F.when(F.col("event"), F.col("ts_ms"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return f.select("symbol", "ts_ms", "active", "event", nxt.alias("next_ms")).where("active").select("symbol", "ts_ms", "event", ((F.col("next_ms") - F.col("ts_ms")) / 3_600_000).alias("lead_hours"))
+
+
+def cascades(hours: DataFrame) -> DataFrame:
+    """Linear probability of a top-fifth move in the next hour given a top-fifth hour of flow now: slope with its standard error clustered by day."""
+    w = Window.partitionBy("symbol").orderBy("ts_ms")
+    base = hours.select("symbol", "ts_ms", "lots", F.abs(F.col("tick") - F.lag("tick").over(w)).alias("move")).where("move IS NOT NULL")
+    five = base.select("symbol", "ts_ms", (F.ntile(5).over(Window.partitionBy("symbol").orderBy("lots", "ts_ms")) == 5).cast("double").alias("x"), (F.ntile(5).over(Window.partitionBy("symbol").orderBy("move", "ts_ms")) == 5).cast("double").alias("m"))
+    xy = five.select("symbol", F.expr(f"ts_ms div {DAY}").alias("day"), "x", F.lead("m").over(w).alias("y")).where("y IS NOT NULL")
+    fit = xy.groupBy("symbol").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.avg("x").alias("mx"), F.count("*").alias("n"), F.var_pop("x").alias("vx"))
+    scores = xy.join(fit, "symbol").groupBy("symbol", "day").agg(F.sum((F.col("x") - F.col("mx")) * (F.col("y") - F.col("a") - F.col("b") * F.col("x"))).alias("s"))
+    g = F.count("*")
+    return scores.join(fit, "symbol").groupBy("symbol").agg(F.max("b").alias("slope"), (F.sqrt(F.sum(F.col("s") * F.col("s")) * g / (g - 1)) / F.max(F.col("n") * F.col("vx"))).alias("se"), F.max("n").alias("n"))
+
+
+def queue_fills(orders: DataFrame, tape: DataFrame, hold_ms: int) -> DataFrame:
+    """When a resting order (id, symbol, ts_ms, tick, side) is touched (Q0) and traded through (Q1) within ``hold_ms``: the pairs meet on time buckets of that length."""
+    b = orders.withColumn("__b", F.explode(F.array(F.floor(F.col("ts_ms") / hold_ms), F.floor(F.col("ts_ms") / hold_ms) + 1)))
+    t = tape.select("symbol", F.col("ts_ms").alias("t"), F.col("tick").alias("p"), F.floor(F.col("ts_ms") / hold_ms).alias("__b"))
+    met = b.join(t, ["symbol", "__b"]).where((F.col("t") > F.col("ts_ms")) & (F.col("t") <= F.col("ts_ms") + hold_ms))
+    worse = (F.col("p") - F.col("tick")) * F.col("side")
+    hit = met.groupBy("id").agg(F.min(F.when(worse <= 0, F.col("t"))).alias("q0_ms"), F.min(F.when(worse < 0, F.col("t"))).alias("q1_ms"))
+    return orders.join(hit, "id", "left")
+
+
+def latency_walk(levels: DataFrame, size: float, steps: int = 1) -> DataFrame:
+    """Price met against price expected when an order of ``size`` arrives ``steps`` checkpoints later."""
+    from tidewright.operators.book import walk
+
+    p = walk(levels, size).select("moment", "price")
+    w = Window.orderBy("moment")
+    return p.select("moment", "price", F.lead("price", steps).over(w).alias("met")).select("moment", "price", "met", (F.col("met") - F.col("price")).alias("slip"))
+
+
+def repeated_orders(orders: DataFrame, least: int = 3, cv: float = 0.8) -> DataFrame:
+    """Runs of orders of one size and side in a day with even gaps: at least ``least``, gap sd over mean below ``cv``."""
+    day = F.expr(f"ts_ms div {DAY}")
+    w = Window.partitionBy("symbol", "day", "side", "lots").orderBy("ts_ms", "n")
+    x = orders.withColumn("day", day).withColumn("gap", F.col("ts_ms") - F.lag("ts_ms").over(w))
+    g = x.groupBy("symbol", "day", "side", "lots").agg(F.count("*").alias("orders"), F.avg("gap").alias("gap_ms"), F.stddev_pop("gap").alias("sd"))
+    return g.where((F.col("orders") >= least) & (F.col("sd") < cv * F.col("gap_ms"))).select("symbol", "day", "side", "lots", "orders", "gap_ms")
+
+
+def crossing_flow(hours: DataFrame, fast: int = 6, slow: int = 24) -> DataFrame:
+    """Activity in the hour after the fast mean crosses the slow one, less that of quiet hours of the same hour of the day."""
+    w = Window.partitionBy("symbol").orderBy("ts_ms")
+    mean = lambda n: F.when(F.count("tick").over(w.rowsBetween(-(n - 1), 0)) >= n, F.avg("tick").over(w.rowsBetween(-(n - 1), 0)))
+    x = hours.select("symbol", "ts_ms", "lots", F.signum(mean(fast) - mean(slow)).alias("s"))
+    x = x.select("symbol", F.pmod(F.expr("ts_ms div 3600000"), F.lit(24)).alias("hour"), F.lead("lots").over(w).alias("next"), (F.col("s") != F.lag("s").over(w)).alias("crossed")).where("next IS NOT NULL AND crossed IS NOT NULL")
+    quiet = x.where("NOT crossed").groupBy("symbol", "hour").agg(F.avg("next").alias("base"))
+    return x.where("crossed").join(quiet, ["symbol", "hour"]).groupBy("symbol").agg(F.avg(F.col("next") - F.col("base")).alias("excess"), F.count("*").alias("n"))

@@ -375,3 +375,83 @@ def fifo_queue(events: list[tuple[str, float]], ahead: float, cancel_power: floa
         else:
             behind += size
     return front
+
+
+def hawkes(times: np.ndarray, decays: tuple[float, ...], end: float, rounds: int = 200) -> tuple[float, np.ndarray]:
+    """Base rate and branching ratios of exponential kernels with given decays, by expectation-maximisation; each event is an offspring of the base or of the past through one kernel."""
+    n, k = len(times), len(decays)
+    if n == 0:
+        return 0.0, np.zeros(k)
+    beta = np.asarray(decays)
+    r = np.zeros((n, k))
+    for i in range(1, n):
+        r[i] = np.exp(-beta * (times[i] - times[i - 1])) * (r[i - 1] + 1)
+    seen = (1 - np.exp(-beta[None, :] * (end - times)[:, None])).sum(0)
+    mu, a = 0.5 * n / end, np.full(k, 0.5 / k)
+    for _ in range(rounds):
+        parts = a * beta * r
+        rate = mu + parts.sum(1)
+        mu, a = (mu / rate).sum() / end, (parts / rate[:, None]).sum(0) / np.maximum(seen, 1e-12)
+    return float(mu), a
+
+
+def inverse_account(price: np.ndarray, target: np.ndarray, funding: np.ndarray, equity: float = 1.0, buffer: float = 0.1, fee: float = 0.0005, lot: float = 10.0) -> np.ndarray:
+    """Equity in coin, hour by hour, of inverse contracts of ``target`` times equity: profit, funding, buffer, rounding to lots, fees."""
+    amount, out = 0.0, np.empty(len(price))
+    for i, p in enumerate(price):
+        if i:
+            equity += amount * (1 / price[i - 1] - 1 / p) - abs(amount) / p * np.sign(amount) * funding[i]
+        want = round(target[i] * equity * p / lot) * lot
+        if abs(want - amount) > buffer * equity * p:
+            equity -= fee * abs(want - amount) / p
+            amount = want
+        out[i] = equity
+    return out
+
+
+def grid_result(price: np.ndarray, step: float, levels: int) -> np.ndarray:
+    """Running result of a paired grid around the first price: each level bought on the way down is sold one step higher."""
+    if not len(price):
+        return np.zeros(0)
+    base, open_, cash, out = price[0], set(), 0.0, np.empty(len(price))
+    for i, p in enumerate(price):
+        for k in range(1, levels + 1):
+            buy = base * (1 - k * step)
+            if p <= buy and k not in open_:
+                open_.add(k)
+                cash -= buy
+            elif k in open_ and p >= buy + base * step:
+                open_.discard(k)
+                cash += buy + base * step
+        out[i] = cash + len(open_) * p
+    return out
+
+
+def branching(tape: DataFrame, decays: tuple[float, ...] = (1 / 600, 1 / 7200)) -> DataFrame:
+    """(symbol, day, mu, branching) of a Hawkes process of each day's trades, times in seconds."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf.ts_ms.to_numpy()) % 86_400_000 / 1000
+        mu, a = hawkes(t, decays, 86_400.0)
+        return pd.DataFrame({"symbol": [pdf.symbol.iloc[0]], "day": [int(pdf.day.iloc[0])], "mu": [mu], "branching": [float(a.sum())]})
+
+    return tape.withColumn("day", F.expr("ts_ms div 86400000")).groupBy("symbol", "day").applyInPandas(run, "symbol string, day long, mu double, branching double")
+
+
+def stream_factory(df: DataFrame, speeds: tuple[int, ...] = (10, 20, 60), target: float = 0.1, rate: float = 0.1) -> DataFrame:
+    """(asset, date, speed, position, gross, traded): sign of the past return times target over volatility, adjusted by ``rate`` a day; one group per asset and speed."""
+    schema = "asset string, date date, speed int, position double, gross double, traded double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        c, n = pdf["close"].to_numpy(), int(pdf.speed.iloc[0])
+        r = returns(c)
+        past = np.concatenate([np.full(min(n, len(c)), np.nan), np.sign(c[n:] / c[:-n] - 1)]) if len(c) > n else np.full(len(c), np.nan)
+        vol = pd.Series(r).rolling(20).std().to_numpy() * math.sqrt(252)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            pos = partial_adjustment(past * np.minimum(target / vol, 2), rate)
+        held = np.concatenate([[0.0], pos[:-1]])[: len(pos)]
+        return pd.DataFrame({"asset": pdf.asset, "date": pdf.date, "speed": n, "position": pos, "gross": held * np.nan_to_num(r), "traded": np.abs(np.diff(pos, prepend=0.0))})
+
+    spread = df.select("asset", "date", "close", F.explode(F.array(*map(F.lit, speeds))).alias("speed"))
+    return spread.groupBy("asset", "speed").applyInPandas(run, schema)
