@@ -104,7 +104,7 @@ def resample(panel: DataFrame, bucket: Column) -> DataFrame:
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each key. The rank filter is pushed below the shuffle, so each task sends k rows a key."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
 def shuffled(df: DataFrame, block: list[str], id_col: str, value: str, seed: int = 0) -> DataFrame:

@@ -119,7 +119,7 @@ def yearly_scaled(daily: DataFrame, target: float = 0.10, years: int = 3, least:
 
 def walk_forward(streams: DataFrame) -> DataFrame:
     """(stream, date, r): each year the stream with the best Sharpe of all earlier years, and its return in that year."""
-    sums = streams.groupBy("stream", F.year("date").alias("year")).agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
+    sums = streams.groupBy("stream", F.year("date").cast("long").alias("year")).agg(F.count("r").alias("n"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
     past = Window.partitionBy("stream").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     n, s, q = (F.sum(c).over(past) for c in ("n", "s", "q"))
     scored = sums.select("stream", "year", F.col("s").alias("now"), divide(s / n, F.sqrt((q - s * s / n) / (n - 1))).alias("score")).where("score IS NOT NULL")

@@ -147,7 +147,7 @@ def flow_fifths(tape: DataFrame, ms: int) -> DataFrame:
     b = tape.groupBy("symbol", F.floor(F.col("ts_ms") / ms).alias("b")).agg(F.sum(side() * F.col("lots")).alias("q"), F.min_by("tick", at).alias("open"), F.max_by("tick", at).alias("close"))
     nxt = b.select("symbol", (F.col("b") - 1).alias("b"), (F.col("close") - F.col("open")).alias("next"))
     w = Window.partitionBy("symbol").orderBy("q", "b")
-    five = b.join(nxt, ["symbol", "b"]).select("symbol", F.floor(F.col("b") * ms / DAY).alias("day"), (F.col("close") - F.col("open")).alias("move"), "next", F.ntile(5).over(w).alias("fifth"))
+    five = b.join(nxt, ["symbol", "b"]).select("symbol", F.floor(F.col("b") * ms / DAY).alias("day"), (F.col("close") - F.col("open")).alias("move"), "next", F.ntile(5).over(w).cast("long").alias("fifth"))
     means = five.groupBy("symbol", "fifth").agg(F.avg("move").alias("move"), F.avg("next").alias("mean"), F.count("*").alias("n"))
     days = five.groupBy("symbol", "fifth", "day").agg(F.sum("next").alias("s"), F.count("*").alias("k")).join(means, ["symbol", "fifth"])
     e = F.col("s") - F.col("k") * F.col("mean")
@@ -169,7 +169,7 @@ def capacity(panel: DataFrame, n: int = 20, bins: int = 10) -> DataFrame:
     w = by_asset()
     base = panel.select("asset", "date", "volume", simple_return(F.col("close")).alias("r"))
     x = base.select("asset", "date", divide(F.col("volume"), rolling(F.avg, F.col("volume"), w, n, lag=1)).alias("x"), divide(F.abs("r"), rolling(F.stddev_samp, F.col("r"), w, n, lag=1)).alias("y")).where("x > 0 AND y > 0")
-    binned = x.select("x", "y", F.ntile(bins).over(Window.partitionBy("asset").orderBy("x", "date")).alias("bin")).groupBy("bin").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+    binned = x.select("x", "y", F.ntile(bins).over(Window.partitionBy("asset").orderBy("x", "date")).cast("long").alias("bin")).groupBy("bin").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
     slope = binned.agg(F.regr_slope(F.ln("y"), F.ln("x")).alias("slope"))
     return binned.crossJoin(F.broadcast(slope))  # one row
 

@@ -86,7 +86,7 @@ def silence_flags(tape: DataFrame, ms: int = 3_600_000, examples: int = 20) -> D
     """Pauses longer than ``ms``; the first ``examples`` of each symbol and day."""
     x = by_day(tape, ["ts_ms"], ["ts_ms", "id"]).where(F.col("ts_ms") - F.col("prev_ts_ms") > ms)
     n = F.row_number().over(Window.partitionBy("symbol", "day").orderBy("ts_ms", "id"))
-    return x.select("symbol", "day", "id", F.col("prev_ts_ms").alias("from_ms"), "ts_ms", n.alias("n")).where(F.col("n") <= examples)
+    return x.select("symbol", "day", "id", F.col("prev_ts_ms").alias("from_ms"), "ts_ms", n.cast("long").alias("n")).where(F.col("n") <= examples)
 
 
 def spikes(tape: DataFrame, before: int = 50, after: int = 10, least: float = 0.005, sds: float = 10.0, back: float = 0.2) -> DataFrame:

@@ -25,7 +25,7 @@ def _usd() -> F.Column:
     return (F.col("tick") * F.col("lots")).alias("usd")
 
 
-@query(f"""{T} SELECT symbol, count(*) n, sum(lots) lots, min(tick) lo, max(tick) hi, {r('sum(tick * lots) / sum(lots)', 'vwap')}, cast(sum(lots) FILTER (NOT is_buyer_maker) AS BIGINT) bought, count(DISTINCT tick) prices,
+@query(f"""{T} SELECT symbol, count(*) n, cast(sum(lots) AS BIGINT) lots, min(tick) lo, max(tick) hi, {r('sum(tick * lots) / sum(lots)', 'vwap')}, cast(sum(lots) FILTER (NOT is_buyer_maker) AS BIGINT) bought, count(DISTINCT tick) prices,
     count(DISTINCT ts_ms // 86400000) AS "days", max_by(tick, (ts_ms, id)) FILTER (is_buyer_maker) last_bid, max_by(tick, (ts_ms, id)) FILTER (NOT is_buyer_maker) last_ask FROM tape GROUP BY 1""")
 def grouped_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     buy, at = ~F.col("is_buyer_maker"), F.struct("ts_ms", "id")
@@ -116,7 +116,7 @@ def quarter_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{P} SELECT year(date) AS \"year\", " + ", ".join(f"sum(trades) FILTER (asset = '{a}')::BIGINT {a}" for a in ("AF", "NF", "NO", "RF")) + " FROM panel_bars GROUP BY 1")
 def pivot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.panel_bars(spark, sf_dir).groupBy(F.year("date").alias("year")).pivot("asset", ["AF", "NF", "NO", "RF"]).agg(F.sum("trades"))
+    return views.panel_bars(spark, sf_dir).groupBy(F.year("date").cast("long").alias("year")).pivot("asset", ["AF", "NF", "NO", "RF"]).agg(F.sum("trades"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) n, cast(sum(cast(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) cents FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")

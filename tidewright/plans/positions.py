@@ -60,10 +60,10 @@ def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = spark.createDataFrame([("AF", "closed"), ("NF", "open"), ("NO", "open"), ("RF", "closed"), ("AO", "closed"), ("RO", "closed")], "asset string, class string")
     each = backtest.contributions(weights(spark, sf_dir)).join(F.broadcast(classes), "asset")
-    return rounded(each.groupBy(F.year("date").alias("year"), "class").agg(F.sum("net").alias("net"), F.sum("gross").alias("gross")))
+    return rounded(each.groupBy(F.year("date").cast("long").alias("year"), "class").agg(F.sum("net").alias("net"), F.sum("gross").alias("gross")))
 
 
-@query(f"{P}, {EQUITY} SELECT date, {r('net', 'r')}, {r('equity', 'equity')}, {r('peak', 'peak')}, {r('drawdown', 'drawdown')}, under_water FROM equity")
+@query(f"{P}, {EQUITY} SELECT date, {r('net', 'r')}, {r('equity', 'equity')}, {r('peak', 'peak')}, {r('drawdown', 'drawdown')}, cast(under_water AS BIGINT) under_water FROM equity")
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(backtest.equity(daily(spark, sf_dir)))
 
@@ -86,7 +86,7 @@ def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{P}, {WEIGHTS}, s AS (SELECT asset, date, coalesce(signal, 0) signal, ret FROM weights), c AS (SELECT *, coalesce(cast(signal <> lag(signal) OVER ({W}) AS INT), 1) c, coalesce(lag(signal) OVER ({W}), 0) held FROM s),
+    f"""{P}, {WEIGHTS}, s AS (SELECT asset, date, cast(coalesce(signal, 0) AS INT) signal, ret FROM weights), c AS (SELECT *, coalesce(cast(signal <> lag(signal) OVER ({W}) AS INT), 1) c, coalesce(lag(signal) OVER ({W}), 0) held FROM s),
     n AS (SELECT *, sum(c) OVER ({W}) run FROM c) SELECT asset, signal, min(date) AS "first", max(date) AS "last", count(*) AS "days", {r('sum(CASE WHEN c = 0 THEN held * coalesce(ret, 0) ELSE 0 END)', 'pnl')} FROM n GROUP BY asset, run, signal"""
 )
 def trade_spells(spark: SparkSession, sf_dir: str) -> DataFrame:

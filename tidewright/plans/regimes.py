@@ -44,8 +44,8 @@ VINT = 'all_v AS (SELECT y AS vintage, m."month", m.value FROM macro m, (SELECT
 def real_time_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each year's vintage holds what was published by its end."""
     m = views.macro(spark, sf_dir)
-    years = m.select(F.year("available").alias("vintage")).distinct()
-    v = m.crossJoin(F.broadcast(years)).where(F.col("available") < F.make_date(F.col("vintage") + 1, F.lit(1), F.lit(1)))  # a few years
+    years = m.select(F.year("available").cast("long").alias("vintage")).distinct()
+    v = m.crossJoin(F.broadcast(years)).where(F.col("available") < F.make_date((F.col("vintage") + 1).cast("int"), F.lit(1), F.lit(1)))  # a few years
     return rounded(regimes.real_time(v.select("vintage", "month", "value")))
 
 

@@ -43,7 +43,7 @@ PAIRS = f"""{RETURNS}, p AS (SELECT x.y, x.asset a, z.asset b, count(*) n, covar
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.ln("close")
-    x = views.panel_bars(spark, sf_dir).select(F.year("date").alias("y"), F.col("date").alias("i"), "asset", (c - F.lag(c).over(by_asset())).alias("r"))
+    x = views.panel_bars(spark, sf_dir).select(F.year("date").cast("long").alias("y"), F.col("date").alias("i"), "asset", (c - F.lag(c).over(by_asset())).alias("r"))
     return risk.pairs(x, "y")
 
 

@@ -83,7 +83,7 @@ def darvas_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.darvas(views.panel_bars(spark, sf_dir))
 
 
-_SIGNAL = f"coalesce(sign(close / lag(close, 20) OVER ({W}) - 1), 0) signal"
+_SIGNAL = f"cast(coalesce(sign(close / lag(close, 20) OVER ({W}) - 1), 0) AS INT) signal"
 _RUN = f"sum(c) OVER ({W}) run"
 _CHANGED = f"coalesce(cast(signal <> lag(signal) OVER ({W}) AS INT), 1) c"
 
