@@ -31,7 +31,7 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
 )
-#: A line with so many bars is a menu.
+#: A line also fails if over half its words shout or repeat the word before, or if signs exceed 3 in 10 words. A line with so many bars is a menu.
 NAV_BARS = 3
 #: Windows of so many words count as repeats; a document of fewer words than MIN_WORDS, or with over MAX_REPEAT percent of its
 #: words in repeats, fails the base rules.
@@ -94,7 +94,8 @@ def _measure(buf: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndar
     dup[once] = False
     real_owner = owner[np.searchsorted(line_of, real)]
     n_dup = _per(real_owner[dup], n)
-    n_repeat = _repeat_words(tn.span_hash(sums, start, end), owner, n)
+    h = tn.span_hash(sums, start, end)
+    n_repeat = _repeat_words(h, owner, n)
     # rules by line
     ends = _per(line_of[_MARK[buf[end - 1]]], m)
     np.cumsum(buf == 0x7C, out=by_byte[1:])
@@ -102,7 +103,9 @@ def _measure(buf: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndar
     np.cumsum(buf == 0x21, out=by_byte[1:])
     shouts = by_byte[line_end] - by_byte[line_start]
     signs = symbols[line_end] - symbols[line_start]
-    bad = (ends == 0) | (bars >= NAV_BARS) | (2 * shouts > in_line) | (10 * signs > 3 * in_line)
+    again = np.flatnonzero((h[1:] == h[:-1]) & (line_of[1:] == line_of[:-1])) + 1
+    stutters = _per(line_of[again], m)
+    bad = (ends == 0) | (bars >= NAV_BARS) | (2 * shouts > in_line) | (10 * signs > 3 * in_line) | (2 * stutters > in_line)
     low = tn.lower_ascii(buf).tobytes()
     for phrase in BOILERPLATE:
         p = phrase.encode()

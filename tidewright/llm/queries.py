@@ -39,6 +39,7 @@ def _op1_sql() -> str:
       OR length(line) - length(replace(line, '|', '')) >= {_quality.NAV_BARS}
       OR 2 * (length(line) - length(replace(line, '!', ''))) > len(lw)
       OR 10 * len(regexp_extract_all(line, '[#*$%&|<>]')) > 3 * len(lw)
+      OR 2 * len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) > len(lw)
       OR {phrases} bad FROM m WHERE len(lw) > 0),
     s AS (SELECT doc_id, count(*) n_lines, count(*) - count(DISTINCT line) n_dup_lines, count(*) FILTER (bad) n_bad_lines, coalesce(sum(n) FILTER (bad), 0) lost FROM r GROUP BY 1),
     o AS (SELECT w.id, cast(len(w) AS BIGINT) n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) word_chars,
