@@ -1,7 +1,7 @@
 """Line deduplication over overlapping three-line windows, with DataFrame functions only.
 
-A line ends at a newline or after a word that ends in ``.``, ``!`` or ``?``, and holds ``LINE_WORDS`` words at most, so that
-prose without newlines has lines too. Every three consecutive lines of a text are hashed (128 bits). Of a window that occurs more than
+A line ends at a newline, or after a word that ends in ``.``, ``!`` or ``?`` once it has ``LEAST_WORDS`` words, and holds ``LINE_WORDS``
+words at most, so that prose without newlines has lines too. Every three consecutive lines of a text are hashed (128 bits). Of a window that occurs more than
 once anywhere, all but the first occurrence (smallest id, then smallest place) are removed; overlapping windows merge.
 """
 
@@ -14,11 +14,11 @@ from tidewright.operators.skew import split_join
 from tidewright.session import materialise
 
 WINDOW = 3
-LINE_WORDS = 20
+LEAST_WORDS, LINE_WORDS = 4, 20
 #: Windows of fewer characters never count: a few short words recur by chance.
 MIN_CHARS = 40
 #: A line, and the white space after it. Java and RE2 read it alike.
-LINE = rf"(?:[^ \t-\r]*[^ \t-\r.!?][ \t\x0B-\r]+){{0,{LINE_WORDS - 1}}}[^ \t-\r]+"
+LINE = rf"(?:[^ \t-\r]+[ \t\x0B-\r]+){{0,{LEAST_WORDS - 1}}}(?:[^ \t-\r]*[^ \t-\r.!?][ \t\x0B-\r]+){{0,{LINE_WORDS - LEAST_WORDS}}}[^ \t-\r]+"
 LINE_AND_SPACE = LINE + r"[ \t-\r]*"
 BLANKS = " \t\n\x0b\x0c\r"
 
