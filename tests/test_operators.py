@@ -207,3 +207,30 @@ def test_holes_are_accounted_for(spark):
 def test_inverse_contract(spark):
     df = spark.createDataFrame([(10_000.0, 50_000.0, 55_000.0)], "a double, p double, q double")
     assert abs(df.select(scalars.inverse_pnl(F.col("a"), F.col("p"), F.col("q"))).first()[0] - 10_000 * (1 / 50_000 - 1 / 55_000)) < 1e-12
+
+
+def test_least_squares_matches_numpy(spark):
+    from tidewright.operators import forecast
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 2))
+    y = 1 + x @ [2.0, -3.0] + rng.normal(size=300) * 0.1
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y, strict=True)], "a double, b double, y double")
+    fit = forecast.least_squares(df, "y", ["a", "b"])
+    want = np.linalg.lstsq(np.c_[np.ones(300), x], y, rcond=None)[0]
+    assert np.allclose([fit["intercept"], fit["a"], fit["b"]], want, atol=1e-8) and fit["r2"] > 0.99
+    assert forecast.least_squares(df.where("a > 1e9"), "y", ["a"]) == {}
+
+
+def test_propagator_of_uncorrelated_signs_is_the_response():
+    from tidewright.operators import forecast
+
+    assert np.allclose(forecast.propagator([0.0, 0.0, 0.0], [1.0, 0.8, 0.7]), [1.0, 0.8, 0.7])
+
+
+def test_long_only_moves_are_exploded_forwards(spark):
+    from tidewright.operators import forecast
+
+    t = spark.createDataFrame([(1, "x", 0, 120, 1, False), (2, "x", 1, 230, 1, False), (3, "x", 2, 90, 1, True)], TAPE)
+    got = sorted((r.level, r.up) for r in forecast.level_visits(t, 50).collect())
+    assert got == [(100, False), (150, True), (200, True)]

@@ -99,7 +99,7 @@ def bootstrap_means(df: DataFrame, cluster: str, x: str, replicates: int, seed:
     sums = df.where(F.col(x).isNotNull()).groupBy(cluster).agg(F.sum(x).alias("s"), F.count(x).alias("k"))
     numbered = sums.select((F.row_number().over(Window.orderBy(cluster)) - 1).alias("i"), "s", "k")
     size = numbered.agg(F.count("*").alias("g"))
-    reps = spark.range(replicates).select(F.col("id").alias("rep")).crossJoin(F.broadcast(size))  # one row
+    reps = spark.range(replicates).select(F.col("id").alias("rep")).crossJoin(F.broadcast(size)).where("g > 0")  # one row
     picks = reps.select("rep", "g", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j")).select("rep", (draw(F.lit(seed), F.col("rep"), F.col("j")) % F.col("g")).cast("int").alias("i"))
     return picks.join(numbered, "i").groupBy("rep").agg((F.sum("s") / F.sum("k")).alias("mean"))
 
@@ -110,7 +110,7 @@ def block_bootstrap(df: DataFrame, order: str, x: str, block: int, replicates: i
     w = Window.orderBy(order)
     rows = df.where(F.col(x).isNotNull()).select((F.row_number().over(w) - 1).alias("i"), F.sum(x).over(w.rowsBetween(0, block - 1)).alias("s"), F.count(x).over(w.rowsBetween(0, block - 1)).alias("k")).where(F.col("k") == block)
     size = rows.agg(F.count("*").alias("g"))
-    reps = spark.range(replicates).select(F.col("id").alias("rep")).crossJoin(F.broadcast(size))  # one row
+    reps = spark.range(replicates).select(F.col("id").alias("rep")).crossJoin(F.broadcast(size)).where("g > 0")  # one row
     picks = reps.select("rep", "g", F.explode(F.sequence(F.lit(0), F.ceil(F.col("g") / block) - 1)).alias("j")).select("rep", (draw(F.lit(seed), F.col("rep"), F.col("j")) % F.col("g")).cast("int").alias("i"))
     return picks.join(rows, "i").groupBy("rep").agg((F.sum("s") / F.sum("k")).alias("mean"))
 
