@@ -31,10 +31,12 @@ def horizons(left: DataFrame, right: DataFrame, by: str, on: str, value: str, st
 
     ``left`` needs a column ``id`` that names its rows.
     """
+    rest = [c for c in left.columns if c != "id"]
     shifted = left.select("*", F.explode(F.array(*map(F.lit, steps))).alias("__step")).withColumn("__from", F.col(on)).withColumn(on, F.col(on) + F.col("__step"))
     found = asof(shifted, right, by, on, [value])
-    wide = found.groupBy("id").agg(*[F.max(F.when(F.col("__step") == s, F.col(value))).alias(f"{value}_{s}") for s in steps])
-    return left.join(wide, "id")
+    own = F.first(F.struct(*[(F.col("__from") if c == on else F.col(c)).alias(c) for c in rest])).alias("__own")  # the left side is read once
+    wide = found.groupBy("id").agg(own, *[F.max(F.when(F.col("__step") == s, F.col(value))).alias(f"{value}_{s}") for s in steps])
+    return wide.select("id", *[F.col(f"__own.{c}").alias(c) for c in rest], *[f"{value}_{s}" for s in steps])
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, by: str, at: str, start: str, end: str, bucket: int) -> DataFrame:

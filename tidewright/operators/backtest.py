@@ -50,19 +50,19 @@ def backtest(weights: DataFrame, cost: float = 0.0005, borrow: float = 0.02, cas
     )
 
 
-def equity(daily: DataFrame, ret: str = "net") -> DataFrame:
-    """date, equity, peak, drawdown and the run of days under water. One series: a single window over days, not over assets."""
+def equity(daily: DataFrame, ret: str = "net", keep: tuple[str, ...] = ()) -> DataFrame:
+    """date, equity, peak, drawdown and the run of days under water, and the columns ``keep``. One series: a single window over days, not over assets."""
     w = Window.orderBy("date")
-    grown = daily.select("date", F.col(ret).alias("r"), F.exp(F.sum(F.ln(1 + F.col(ret))).over(w)).alias("equity"))
+    grown = daily.select("date", *keep, F.col(ret).alias("r"), F.exp(F.sum(F.ln(1 + F.col(ret))).over(w)).alias("equity"))
     peaks = grown.select("*", F.greatest(F.max("equity").over(w), F.lit(1.0)).alias("peak"))
     dd = peaks.select("*", (F.col("equity") / F.col("peak") - 1).alias("drawdown"), F.sum((F.col("equity") >= F.col("peak")).cast("int")).over(w).alias("episode"))
     under = F.sum((F.col("drawdown") < 0).cast("int")).over(Window.partitionBy("episode").orderBy("date"))
-    return dd.select("date", "r", "equity", "peak", "drawdown", F.coalesce(under, F.lit(0)).alias("under_water"))
+    return dd.select("date", *keep, "r", "equity", "peak", "drawdown", F.coalesce(under, F.lit(0)).alias("under_water"))
 
 
 def summary(daily: DataFrame) -> DataFrame:
     """One row: days, mean, vol, Sharpe, CAGR, max drawdown, longest time under water, Omega, Sortino, Calmar, turnover."""
-    e = equity(daily).join(daily.select("date", "turnover", "trades", "exposure"), "date")
+    e = equity(daily, keep=("turnover", "trades", "exposure"))
     r = F.col("r")
     n = F.count("*")
     growth = F.exp(F.sum(F.ln(1 + r)))
