@@ -234,3 +234,10 @@ def test_long_only_moves_are_exploded_forwards(spark):
     t = spark.createDataFrame([(1, "x", 0, 120, 1, False), (2, "x", 1, 230, 1, False), (3, "x", 2, 90, 1, True)], TAPE)
     got = sorted((r.level, r.up) for r in forecast.level_visits(t, 50).collect())
     assert got == [(100, False), (150, True), (200, True)]
+
+
+def test_scratch_is_this_applications_own(spark):
+    from tidewright.session import materialise, scratch
+
+    assert spark.sparkContext.applicationId in scratch(spark, "x")
+    assert materialise(spark.range(3), "three").count() == 3

@@ -39,8 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tidewright/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, in a folder of this application's own."""
+    return f"{shared_dir(spark)}/tidewright/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written in the shared folder. Frames that were read from there are of no use after it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidewright/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
