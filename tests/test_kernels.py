@@ -141,3 +141,32 @@ def test_inverse_account_of_one_trade():
 def test_grid_sells_what_it_bought_one_step_higher():
     out = k.grid_result(np.array([100.0, 99.0, 100.0]), 0.01, 3)
     assert math.isclose(out[-1], 1.0)
+
+
+def test_filters_settle():
+    assert abs(k.steady_gain(1.0) - (math.sqrt(5) - 1) / 2) < 1e-9
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=500)
+    y = 2 * x + 1 + rng.normal(size=500) * 0.1
+    y[100] = np.nan
+    assert abs(k.hedge_ratio(y, x)[-1] - 2) < 0.1
+    f = k.kalman(np.array([1.0, np.nan, 50.0]), np.eye(1), np.ones(1), np.eye(1) * 0.01, 1.0, cap=1.0)
+    assert math.isnan(f["surprise"][1]) and f["states"][2, 0] < 5  # the surprise is capped
+    v = k.hidden_volatility(np.full(50, 1.02), np.full(50, 1.0))
+    assert np.isfinite(v).all() and np.ptp(v[20:]) < 1e-3
+
+
+def test_selections():
+    block = np.full((6, 6), 0.05)
+    block[:3, :3] = block[3:, 3:] = 0.9
+    np.fill_diagonal(block, 1)
+    assert risk.clusters(block).tolist() == [0, 0, 0, 1, 1, 1]
+    assert len({i // 3 for i in risk.greedy_selection(block, 2)}) == 2
+    tree = risk.spanning_tree(block)
+    assert len(tree) == 5 and sum(i // 3 != j // 3 for i, j in tree) == 1
+    c = covariance()
+    assert risk.effective_bets(c, risk.spectral_parity(c)) >= risk.effective_bets(c, risk.inverse_volatility(c)) - 1e-9
+    other = covariance(seed=8)
+    w = risk.minimax([c, other])
+    worst = lambda w: max(w @ c @ w, w @ other @ w)
+    assert worst(w) <= min(worst(risk.minimum_variance(c)), worst(risk.minimum_variance(other))) * 1.05

@@ -455,3 +455,56 @@ def stream_factory(df: DataFrame, speeds: tuple[int, ...] = (10, 20, 60), target
 
     spread = df.select("asset", "date", "close", F.explode(F.array(*map(F.lit, speeds))).alias("speed"))
     return spread.groupBy("asset", "speed").applyInPandas(run, schema)
+
+
+def kalman(y: np.ndarray, transition: np.ndarray, observe: np.ndarray, q: np.ndarray, noise: float, start: np.ndarray | None = None, cap: float = math.inf) -> dict[str, np.ndarray]:
+    """A linear filter with any number of states: forecast, surprise, z, gain of the first state and the states. ``observe`` is one row, or one a day.
+
+    Missing values only predict; surprises beyond ``cap`` standard deviations are cut to that.
+    """
+    k = len(transition)
+    a = np.zeros(k) if start is None else np.asarray(start, float)
+    p = np.eye(k) * 1e6
+    rows = np.broadcast_to(np.atleast_2d(observe), (len(y), k))
+    out = {name: np.full(len(y), np.nan) for name in ("forecast", "surprise", "z", "gain")}
+    states = np.empty((len(y), k))
+    for i, v in enumerate(y):
+        if i:
+            a, p = transition @ a, transition @ p @ transition.T + q
+        h = rows[i]
+        f = h @ a
+        out["forecast"][i] = f
+        if not math.isnan(v):
+            s = float(h @ p @ h + noise)
+            gain = p @ h / s
+            e = max(-cap, min(cap, (v - f) / math.sqrt(s))) * math.sqrt(s)
+            out["surprise"][i], out["z"][i], out["gain"][i] = v - f, (v - f) / math.sqrt(s), gain[0]
+            a = a + gain * e
+            p = p - np.outer(gain, h @ p)
+        states[i] = a
+    return out | {"states": states}
+
+
+def hedge_ratio(y: np.ndarray, x: np.ndarray, drift: float = 1e-4, noise: float = 1e-2) -> np.ndarray:
+    """Slope of y on x that walks at random, with an intercept."""
+    design = np.stack([x, np.ones(len(x))], 1)
+    return kalman(y, np.eye(2), design, np.eye(2) * drift, noise)["states"][:, 0]
+
+
+def hidden_volatility(h: np.ndarray, l: np.ndarray, drift: float = 0.01) -> np.ndarray:  # noqa: E741
+    """Volatility from the log range: ln ln(H / L) observes ln sigma with mean 0.43 and sd 0.29; a walk at random underneath."""
+    with np.errstate(divide="ignore"):
+        y = np.log(np.log(h / l)) - 0.43
+    y[~np.isfinite(y)] = np.nan
+    return np.exp(kalman(y, np.eye(1), np.ones(1), np.eye(1) * drift, 0.29**2)["states"][:, 0])
+
+
+def steady_gain(q_over_noise: float, rounds: int = 10_000) -> float:
+    """Gain of a random walk plus noise once the filter has settled."""
+    p = 1.0
+    for _ in range(rounds):
+        new = (p + q_over_noise) / (p + q_over_noise + 1)
+        if abs(new - p) < 1e-15:
+            break
+        p = new
+    return p

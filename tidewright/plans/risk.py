@@ -120,3 +120,21 @@ def value_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = by_asset().rowsBetween(-300, -200)
     x = F.ln("close")
     return rounded(views.panel_bars(spark, sf_dir).select("asset", "date", (-(x - F.when(F.count("*").over(w) >= 100, F.avg(x).over(w)))).alias("value")))
+
+
+@query()
+def market_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters, greedy choice and spanning-tree degree by year; tests hold their properties."""
+    return risk.selections(_pairs(spark, sf_dir), "y")
+
+
+@query()
+def hidden_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volatility behind the daily range, and the slope of the close on the open, both by filters."""
+    import numpy as np
+
+    from tidewright.operators import kernels
+
+    base = views.panel_bars(spark, sf_dir).select("asset", "date", "open", "high", "low", "close")
+    a = lambda d, c: d[c].to_numpy(float)
+    return rounded(kernels.per_asset(base, {"vol": lambda d: kernels.hidden_volatility(a(d, "high"), a(d, "low")), "beta": lambda d: kernels.hedge_ratio(np.log(a(d, "close")), np.log(a(d, "open")))}))
