@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,12 +118,29 @@ def backtest_overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inf.overfitting(_streams(spark, sf_dir), 6))
 
 
-@query()
+_EULER = 0.5772156649015329
+_Q = [NormalDist().inv_cdf(1 - 1 / x) for x in (18, 18 * 2.718281828459045)]
+_BASE = f"sd * ({(1 - _EULER) * _Q[0] + _EULER * _Q[1]!r}::DOUBLE)"
+
+
+@query(
+    f"""{P}, {STREAMS}, m AS (SELECT stream, count(r) n, avg(r) m, avg(r * r) q2, avg(r * r * r) q3, avg(r * r * r * r) q4 FROM streams GROUP BY 1), c AS (SELECT *, q2 - m * m m2, q3 - 3 * m * q2 + 2 * m * m * m m3, q4 - 4 * m * q3 + 6 * m * m * q2 - 3 * m * m * m * m m4 FROM m),
+    p AS (SELECT stream, n, m / sqrt(m2) sr, m3 / m2 ** 1.5 g3, m4 / (m2 * m2) g4 FROM c), t AS (SELECT stddev_samp(sr) sd, count(*) tries FROM p), b AS (SELECT p.*, t.* FROM p, t ORDER BY sr DESC, stream DESC LIMIT 1),
+    z AS (SELECT *, (sr - {_BASE}) * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr) z FROM b) SELECT stream, {r('sr', 'sharpe')}, {r(_BASE, 'expected')}, {r(normal.cdf_sql('z'), 'dsr')}, tries FROM z"""
+)
 def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inf.deflated_sharpe(_streams(spark, sf_dir)))
 
 
-@query()
+_D3 = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {c[1]} * {b[2]}) - {b[0]} * ({a[1]} * {c[2]} - {c[1]} * {a[2]}) + {c[0]} * ({a[1]} * {b[2]} - {b[1]} * {a[2]}))"
+_K0, _K1, _K2, _RHS = ("n", "x1", "x2"), ("x1", "x2", "x3"), ("x2", "x3", "x4"), ("y0", "y1", "y2")
+
+
+@query(
+    f"""{P}, {DAILY}, d AS (SELECT net y, lag(net) OVER (ORDER BY date) x FROM daily), s AS (SELECT count(*)::DOUBLE n, sum(x) x1, sum(x ** 2) x2, sum(x ** 3) x3, sum(x ** 4) x4, sum(y) y0, sum(x * y) y1, sum(x * x * y) y2, sum(y * y) yy FROM d WHERE x IS NOT NULL),
+    b AS (SELECT *, {_D3(_RHS, _K1, _K2)} / {_D3(_K0, _K1, _K2)} b0, {_D3(_K0, _RHS, _K2)} / {_D3(_K0, _K1, _K2)} b1, {_D3(_K0, _K1, _RHS)} / {_D3(_K0, _K1, _K2)} b2 FROM s)
+    SELECT {r('b0', 'b0')}, {r('b1', 'b1')}, {r('b2', 'b2')}, {r('(b0 * y0 + b1 * y1 + b2 * y2 - y0 * y0 / n) / (yy - y0 * y0 / n)', 'r2')} FROM b"""
+)
 def smile_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests hold it against numpy's least squares."""
     d = daily(spark, sf_dir).select("net", F.lag("net").over(Window.orderBy("date")).alias("x"))

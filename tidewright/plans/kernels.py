@@ -196,3 +196,65 @@ def adaptive_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = lambda d: d["tick"].to_numpy(float)
     v = lambda d: np.where(d["is_buyer_maker"], -d["lots"], d["lots"]).astype(float)
     return k.per_symbol_day(views.tape(spark, sf_dir), {"bar": lambda d: k.adaptive_imbalance_bars(v(d), 60.0), "steps": lambda d: k.ladder_steps(p(d), 0.001)})
+
+
+_AD = f"""{P}, x AS (SELECT asset, date, high, low, close c, row_number() OVER ({W}) i, ln(close) y, greatest(high - low, abs(high - lag(close) OVER ({W})), abs(low - lag(close) OVER ({W}))) tr, abs(close - lag(close) OVER ({W})) mv,
+    abs(close - lag(close, 10) OVER ({W})) net, high - lag(high) OVER ({W}) up, lag(low) OVER ({W}) - low dn FROM panel_bars),
+  b AS (SELECT *, coalesce(net / nullif(sum(mv) OVER ({W} ROWS 9 PRECEDING), 0), 0) er, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END pl, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END mi FROM x)"""
+_FAST, _SLOW = 2 / 3, 2 / 31
+_P11, _P12, _P22 = "(s.p11 + 2 * s.p12 + s.p22 + 0.001)", "(s.p12 + s.p22)", "(s.p22 + 0.00001)"
+_S = f"({_P11} + 0.01)"
+_A14, _N20 = f"{1 / 14!r}::DOUBLE", f"{2 / 21!r}::DOUBLE"
+_ATR, _PL, _MI, _EMA, _A20 = f"(s.a + {_A14} * (b.tr - s.a))", f"(s.ep + {_A14} * (b.pl - s.ep))", f"(s.em + {_A14} * (b.mi - s.em))", f"(s.k + {_N20} * (b.c - s.k))", "(s.a20 + 0.05::DOUBLE * (b.tr - s.a20))"
+_DX = f"CASE WHEN {_PL} + {_MI} > 0 THEN 100 * abs({_PL} - {_MI}) / ({_PL} + {_MI}) ELSE 0 END"
+
+
+@query(
+    fold(
+        _AD,
+        {"kama": "NULL", "l": "b.y", "m": "0", "p11": "1 - 1 / 1.01::DOUBLE", "p12": "0", "p22": "1", "a": "b.tr", "ep": "0", "em": "0", "adx": "0", "k": "b.c", "a20": "b.tr", "st": "0"},
+        {
+            "kama": f"CASE WHEN b.i < 11 THEN NULL WHEN b.i = 11 THEN b.c ELSE s.kama + (b.er * {_FAST - _SLOW!r}::DOUBLE + {_SLOW!r}::DOUBLE) ** 2 * (b.c - s.kama) END",
+            "l": f"s.l + s.m + {_P11} / {_S} * (b.y - s.l - s.m)", "m": f"s.m + {_P12} / {_S} * (b.y - s.l - s.m)",
+            "p11": f"{_P11} * (1 - {_P11} / {_S})", "p12": f"{_P12} * (1 - {_P11} / {_S})", "p22": f"{_P22} - {_P12} / {_S} * {_P12}",
+            "a": _ATR, "ep": _PL, "em": _MI, "adx": f"s.adx + {_A14} * ({_DX} - s.adx)", "k": _EMA, "a20": _A20, "st": f"CASE WHEN b.c > {_EMA} + {_A20} THEN 1 WHEN b.c < {_EMA} - {_A20} THEN -1 ELSE s.st END",
+        },
+        f"asset, date, {r('kama', 'kama')}, {r('m', 'slope')}, {r('adx', 'adx')}, st keltner",
+    )
+)
+def adaptive_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = lambda d: (d["high"].to_numpy(), d["low"].to_numpy(), d["close"].to_numpy())
+    c = lambda d: d["close"].to_numpy()
+    base = panel(spark, sf_dir).select("asset", "date", "high", "low", "close")
+    return rounded(k.per_asset(base, {"kama": lambda d: k.kama(c(d)), "slope": lambda d: k.kalman_trend(np.log(c(d))), "adx": lambda d: k.adx(*a(d)), "keltner": lambda d: k.keltner(*a(d))}))
+
+
+_ST = f"""{P}, b AS (SELECT asset, date, high h, low l, close c, row_number() OVER ({W}) i, {_channel(20, 'max', 'high', 'hi')}, {_channel(20, 'min', 'low', 'lo')}, greatest(high - low, abs(high - lag(close) OVER ({W})), abs(low - lag(close) OVER ({W}))) tr,
+    lag(high) OVER ({W}) h1, lag(low) OVER ({W}) l1, lag(close) OVER ({W}) c1, lag(high, 2) OVER ({W}) h2, lag(low, 2) OVER ({W}) l2 FROM panel_bars)"""
+_CA = "(s.a + 0.05::DOUBLE * (b.tr - s.a))"
+_BEST = "(CASE WHEN s.p = 1 THEN greatest(s.best, b.c) ELSE least(s.best, b.c) END)"
+_STOP = f"(CASE WHEN s.p = 1 THEN greatest(s.stop, {_BEST} - 3 * {_CA}) ELSE least(s.stop, {_BEST} + 3 * {_CA}) END)"
+_POS = f"CASE WHEN s.p <> 0 THEN CASE WHEN s.p * (b.c - {_STOP}) < 0 THEN 0 ELSE s.p END WHEN b.c > b.hi THEN 1 WHEN b.c < b.lo THEN -1 ELSE 0 END"
+_SAR = "(CASE WHEN s.up = 1 THEN least(s.sar + s.af * (s.ep - s.sar), b.l1, b.l2) ELSE greatest(s.sar + s.af * (s.ep - s.sar), b.h1, b.h2) END)"
+_FLIP = f"(s.up = 1 AND b.l < {_SAR} OR s.up = 0 AND b.h > {_SAR})"
+_NEW = "(s.up = 1 AND b.h > s.ep OR s.up = 0 AND b.l < s.ep)"
+
+
+@query(
+    fold(
+        _ST,
+        {"a": "b.tr", "p": "0", "best": "0", "stop": "0", "o": "0", "up": "0", "sar": "0", "ep": "0", "af": "0.02"},
+        {
+            "a": _CA, "p": f"CASE WHEN b.hi IS NULL THEN s.p ELSE {_POS} END", "best": f"CASE WHEN b.hi IS NULL THEN s.best WHEN s.p <> 0 THEN {_BEST} ELSE b.c END",
+            "stop": f"CASE WHEN b.hi IS NULL THEN s.stop WHEN s.p <> 0 THEN {_STOP} WHEN b.c > b.hi THEN b.c - 3 * {_CA} WHEN b.c < b.lo THEN b.c + 3 * {_CA} ELSE s.stop END", "o": f"CASE WHEN b.hi IS NULL THEN 0 ELSE {_POS} END",
+            "up": f"CASE WHEN b.i = 2 THEN CASE WHEN b.c >= b.c1 THEN 1 ELSE 0 END WHEN {_FLIP} THEN 1 - s.up ELSE s.up END",
+            "sar": f"CASE WHEN b.i = 2 THEN CASE WHEN b.c >= b.c1 THEN b.l1 ELSE b.h1 END WHEN {_FLIP} THEN s.ep ELSE {_SAR} END",
+            "ep": f"CASE WHEN b.i = 2 THEN CASE WHEN b.c >= b.c1 THEN b.h ELSE b.l END WHEN {_FLIP} THEN CASE WHEN s.up = 1 THEN b.l ELSE b.h END WHEN {_NEW} THEN CASE WHEN s.up = 1 THEN b.h ELSE b.l END ELSE s.ep END",
+            "af": f"CASE WHEN b.i = 2 OR {_FLIP} THEN 0.02 WHEN {_NEW} THEN least(0.2, s.af + 0.02) ELSE s.af END",
+        },
+        "asset, date, o chandelier, CASE WHEN i = 1 THEN 0 WHEN up = 1 THEN 1 ELSE -1 END::DOUBLE sar",
+    )
+)
+def trailing_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = lambda d: (d["high"].to_numpy(), d["low"].to_numpy(), d["close"].to_numpy())
+    return k.per_asset(panel(spark, sf_dir).select("asset", "date", "high", "low", "close"), {"chandelier": lambda d: k.chandelier(*a(d)), "sar": lambda d: k.parabolic_sar(*a(d))})
