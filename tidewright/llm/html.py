@@ -280,7 +280,7 @@ _CLASSES = {
     "form": ("newsletter", "signup", "search", "subscribe", "login", "search-form", "contact-form"),
     "aside": ("sidebar", "widget", "related", "side", "rail", "recommended", "popular", "more", "teaser"),
     "share": ("share", "social", "sharing", "share-buttons", "tools", "meta-links"),
-    "comments": ("comments", "comment", "replies", "discussion", "comment-list", "reader-comments", "responses", "disqus"),
+    "comments": ("comments", "comment", "replies", "discussion", "comment-list", "reader-comments", "responses", "disqus", "commentlist", "comment-body", "thread", "reviews", "feedback", "guestbook", "kommentare", "commentaires", "comentarios"),
     "footer": ("footer", "site-footer", "bottom", "copyright", "legal", "credits"),
     "main": ("content", "post", "entry", "article", "entry-content", "article-body", "story", "post-content", "main", "text", "body"),
 }
@@ -367,7 +367,10 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         parts.append("<article>")
         end = "</article>" + end
     if maybe(0.85):
+        wrapped = maybe(0.2)  # the article's own header holds its title
+        parts.append("<header>" if wrapped else "")
         block(pick(("h1", "h1", "h2")), prose(1, 14), 1)
+        parts.append("</header>" if wrapped else "")
     closes = maybe(0.7)
     for _ in range(int(rng.integers(1, 14))):
         kind = rng.random()
@@ -397,6 +400,12 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     for kind in ("comments", "aside", "form", "ad", "notice", "menu"):
         if maybe(0.3):
             furniture(kind)
+    if tag in ("article", "main") and maybe(0.3):  # what stands outside the article under a name never seen
+        outer = pick(("div", "section", "ol"))
+        parts.append(f'<{outer} class="{word()}">')
+        for _ in range(int(rng.integers(1, 4))):
+            block("li" if outer == "ol" else "p", prose(2, 60), 0)
+        parts.append(f"</{outer}>")
     parts.append("</div>" if wrapper else "")
     if maybe(0.85):
         furniture("footer")
