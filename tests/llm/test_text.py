@@ -86,6 +86,46 @@ def test_spaced_seeds_find_substituted_passages(spark):
         assert r.n_matched == best and r.n_matched >= 0.8 * r.n_words
 
 
+def best_overlap(doc, item):
+    """The most equal words of any segment of any diagonal with 13 of them and the share, by trying all."""
+    best = 0
+    for s in range(1 - len(item), len(doc)):
+        same = np.array([doc[s + k] == w for k, w in enumerate(item) if 0 <= s + k < len(doc)])
+        equal = np.concatenate([[0], np.cumsum(same)])
+        n, m = np.arange(len(equal))[None] - np.arange(len(equal))[:, None], equal[None] - equal[:, None]
+        best = max(best, int(np.where((m >= 13) & (5 * m >= 4 * n), m, 0).max()))
+    return best
+
+
+def test_overlaps_are_those_of_all_segments(spark):
+    rng = random.Random(4)
+    items = {k: prose(rng, n).split() for k, n in enumerate([27, 100, 16, *(rng.randrange(15, 60) for _ in range(30))])}
+    docs = {}
+    for k, words in items.items():
+        w, n = list(words), len(words)
+        if k in (0, 2):  # three words in the middle
+            gone = range(n // 2 - 1, n // 2 + 2)
+        elif k == 1:  # every fifth word
+            gone = range(4, n, 5)
+        elif k % 2:  # neighbours
+            gone = {a + x for a in rng.sample(range(n - 3), max(1, n // 15)) for x in range(3)}
+        else:
+            gone = rng.sample(range(n), n // 5)
+        for x in gone:
+            w[x] = "other"
+        docs[k] = prose(rng, 30).split() + w + prose(rng, 30).split()
+    got = decontaminate.overlaps(
+        spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    ).collect()
+    plain = lambda words: [re.sub(r"\W", "", w) for w in words]
+    want = {(d, i): m for d, x in docs.items() for i, y in items.items() if (m := best_overlap(plain(x), plain(y)))}
+    assert {(r.doc_id, r.item_id): r.n_matched for r in got} == want
+    assert {(0, 0), (1, 1), (2, 2)} <= set(want) and want[0, 0] == 24 and want[1, 1] == 80
+    for r in got:
+        d, i = plain(docs[r.doc_id])[r.first_word :][: r.n_words], plain(items[r.item_id])
+        assert 5 * r.n_matched >= 4 * r.n_words and any(sum(a == b for a, b in zip(d, i[s:], strict=False)) == r.n_matched for s in range(len(i) - r.n_words + 1))
+
+
 def test_test_sets_in_blocks_give_the_same(spark, sf, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {tuple(r) for r in decontaminate.overlaps(docs, bench).collect()}

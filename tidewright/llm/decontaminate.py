@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import textnum as tn
 
-#: Masks: 1 is hashed, 0 is ignored.
-MASKS = ("1101100101011", "1011010011011", "1110010110101")
+#: Masks: 1 is hashed, 0 is ignored. The last finds every overlap of 13 equal words and the share: 13 to 15 equal words have at most 3 others
+#: between them, and k >= 16 at most k / 4, so four equal words always stand together.
+MASKS = ("1101100101011", "1011010011011", "1110010110101", "1111")
 SPAN = len(MASKS[0])
 #: An overlap has at least so many equal words, or the whole item if that is shorter, and this share of its words equal.
 MIN_WORDS, MIN_SHARE = 13, 0.8
+#: What a word counts, in whole numbers: a sum of 0 or more means the share.
+EQUAL, OTHER = 1, -4
 #: Items of fewer words overlap nothing: any text may hold them.
 MIN_ITEM = 5
 #: Bytes of test texts that one pass over the documents holds in each task; a larger test set is taken in blocks of that size.
@@ -96,12 +99,14 @@ class Tests:
         w = self.words[item]
         i, j = max(a, diagonal), min(b, diagonal + len(w))
         same = h[i:j] == w[i - diagonal : j - diagonal]
-        # the best segment: an equal word gains 1 - MIN_SHARE, another loses MIN_SHARE, so any with a sum of 0 or more has the share
-        total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - MIN_SHARE, -MIN_SHARE))])
-        gain = total - np.minimum.accumulate(total)
-        end = int(np.argmax(gain))
-        begin = int(np.flatnonzero(total[: end + 1] == total[: end + 1].min())[-1])
-        matched = int(same[begin:end].sum())
+        # of the segments with the share (an equal word counts 1, another -4, in whole numbers) the one with the most equal words: for
+        # each end the earliest start whose sum so far is no larger
+        total = np.concatenate([[0], np.cumsum(np.where(same, EQUAL, OTHER))])
+        equal = np.concatenate([[0], np.cumsum(same)])
+        start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+        end = int(np.argmax(equal - equal[start]))
+        inside = np.flatnonzero(same[start[end] : end]) + start[end]
+        begin, end, matched = (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
         if end > begin and matched >= min(MIN_WORDS, len(w)):
             return i + begin - a, end - begin, matched
         return None
