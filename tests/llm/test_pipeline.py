@@ -1,8 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm.conftest import WORDS
 from tests.llm.test_dedup import brute
-from tidewright.llm import decontaminate, toxicity
+from tidewright.llm import decontaminate, linededup, toxicity
 from tidewright.session import materialise
 
 
@@ -30,3 +33,23 @@ def test_stages_take_effect(spark, sf):
 
 def test_run_is_the_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_passages_go_wherever_they_begin(spark, sf):
+    rng = random.Random(6)
+    plain = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+    said = plain(90)
+    shouted = [f"{w.upper()}!!" for w in plain(90)]
+    docs = [(100 * p + k, " ".join(plain(20 + k) + passage + plain(25))) for p, passage in enumerate((said, shouted)) for k in range(20)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), sf).collect()}
+    for i, text in docs:
+        inner = (said, shouted)[i // 100]
+        left = sum(w in inner for w in got[i].split())
+        assert (got[i] == text) if i % 100 == 0 else left < 60, i
+
+
+def test_phrases_join_to_the_text(spark):
+    texts = ["a\x01b \x02 c\x02a \x01\x01, d\x02b e\n\n f.  g! ", "", " \n", "one", "é " * 50, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", linededup.phrases("t").alias("p")).collect()
+    assert [r.p and "".join(r.p) for r in rows if r.t and r.t.strip()] == [t.lstrip() for t in texts if t and t.strip()]
+    assert rows[-1].p is None

@@ -7,6 +7,8 @@ once anywhere, all but the first occurrence (smallest id, then smallest place) a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +23,37 @@ MIN_CHARS = 40
 LINE = rf"(?:[^ \t-\r]+[ \t\x0B-\r]+){{0,{LEAST_WORDS - 1}}}(?:[^ \t-\r]*[^ \t-\r.!?][ \t\x0B-\r]+){{0,{LINE_WORDS - LEAST_WORDS}}}[^ \t-\r]+"
 LINE_AND_SPACE = LINE + r"[ \t-\r]*"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Of phrases: last characters of a word that ends a sentence, and what the hash of a word is divided by.
+STOPS, CUT_HASH = ".!?", 11
+#: Follows the word that ends a phrase, until they are cut. A MARK of the text itself is written otherwise meanwhile.
+MARK = "\x01"
+PHRASE = rf"(?:[^ \t-\r\x01]+[ \t\x0B-\r]+){{0,{LINE_WORDS - 1}}}[^ \t-\r\x01]+[ \t-\r]*\x01?"
 
 
 def _lines(text: str) -> F.Column:
     return F.regexp_extract_all(F.col(text), F.lit(LINE_AND_SPACE), F.lit(0))
 
 
-def windows(docs: DataFrame, key: str, order: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(k, o, pos, a, b): each window of each text with the 128-bit hash (a, b) of its lines."""
-    lines = docs.select(F.col(key).alias("k"), F.col(order).alias("o"), F.transform(_lines(text), lambda x: F.rtrim(x, F.lit(BLANKS))).alias("p"))
+def phrases(text: str) -> F.Column:
+    """Lines whose ends the words alone decide, so that a passage is cut alike wherever it begins.
+
+    A line ends at a newline, after a word that ends a sentence where the word before does not (shouted words, each with its marks, would
+    make lines too short to count), and after a word whose hash is divisible by ``CUT_HASH``.
+    ``LINE_WORDS`` words without any of these end one too, counted from the end before.
+    """
+    held = F.replace(F.replace(F.col(text), F.lit("\x02"), F.lit("\x02b")), F.lit(MARK), F.lit("\x02a"))
+    word = lambda x: F.rtrim(x, F.lit(BLANKS))
+    stops = lambda x: F.coalesce(F.substring(word(x), -1, 1).isin(*STOPS), F.lit(False))
+    words = F.regexp_extract_all(held, F.lit(r"[^ \t-\r]+[ \t-\r]*"), F.lit(0))
+    ends = lambda x, before: (F.pmod(F.xxhash64(word(x)), F.lit(CUT_HASH)) == 0) | (stops(x) & ~stops(before))
+    marked = F.concat_ws("", F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda x, before: F.when(ends(x, before), F.concat(x, F.lit(MARK))).otherwise(x)))
+    back = lambda x: F.replace(F.replace(F.replace(x, F.lit(MARK), F.lit("")), F.lit("\x02a"), F.lit(MARK)), F.lit("\x02b"), F.lit("\x02"))
+    return F.when(F.col(text).isNotNull(), F.transform(F.regexp_extract_all(marked, F.lit(PHRASE), F.lit(0)), back))
+
+
+def windows(docs: DataFrame, key: str, order: str, text: str, min_chars: int = MIN_CHARS, cut: Callable[[str], F.Column] = _lines) -> DataFrame:
+    """(k, o, pos, a, b): each window of each text, cut into lines by ``cut``, with the 128-bit hash (a, b) of its lines."""
+    lines = docs.select(F.col(key).alias("k"), F.col(order).alias("o"), F.transform(cut(text), lambda x: F.rtrim(x, F.lit(BLANKS))).alias("p"))
     places = F.when(F.size("p") >= WINDOW, F.sequence(F.lit(0), F.size("p") - WINDOW)).otherwise(F.array().cast("array<int>"))
     whole = F.transform(
         F.filter(F.transform(places, lambda i: F.struct(i.alias("pos"), F.slice("p", i + 1, WINDOW).alias("w"))), lambda x: F.length(F.concat_ws("", x["w"])) >= min_chars),
@@ -38,7 +62,7 @@ def windows(docs: DataFrame, key: str, order: str, text: str, min_chars: int = M
     return lines.select("k", "o", F.inline(whole))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, cut: Callable[[str], F.Column] = _lines) -> DataFrame:
     """``docs`` with later occurrences of repeated windows removed from ``text``, plus ``n_lines`` and ``n_removed`` (long).
 
     Where lines go, the text before them ends with a newline; a text that loses nothing stays as it is, byte by byte. A null text
@@ -48,14 +72,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("r"), F.xxhash64(f"`{id_col}`", f"`{text}`").alias("k"), F.col(f"`{id_col}`").alias("o"), F.col(f"`{text}`").alias("t"))
-    found = materialise(windows(source, "k", "o", "t", min_chars), "windows")
+    found = materialise(windows(source, "k", "o", "t", min_chars, cut), "windows")
     first = F.min(F.struct("o", "pos")).alias("first")
     repeated = materialise(found.groupBy("a", "b").agg(F.count("*").alias("n"), first).where("n > 1"), "repeated")
     rows = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     later = split_join(found, repeated, ["a", "b"], "n", rows).where(~F.struct("o", "pos").eqNullSafe(F.col("first")))
-    cut = later.groupBy("k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    cut = cut.select("k", F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + WINDOW - 1)))).alias("gone"))
-    lined = source.join(cut.hint("shuffle_hash"), "k", "left").select("r", "t", _lines("t").alias("p"), "gone")
+    lost = later.groupBy("k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    lost = lost.select("k", F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + WINDOW - 1)))).alias("gone"))
+    lined = source.join(lost.hint("shuffle_hash"), "k", "left").select("r", "t", cut("t").alias("p"), "gone")
     every = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.size("p") - 1)).otherwise(F.array().cast("array<int>"))
     kept = lined.select("r", "t", "p", "gone", F.when(F.col("gone").isNotNull(), F.array_except(every, F.col("gone"))).alias("kept"))
 
