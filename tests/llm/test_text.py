@@ -167,6 +167,14 @@ def test_leaves_of_broken_markup():
     assert html.leaves("") == [] and html.leaves("<<<>") != None  # noqa: E711
 
 
+def test_leaves_lose_no_text_to_other_elements():
+    texts = lambda page: [b[1] for b in html.leaves(page)]
+    for x in ("<svg-icon></svg-icon>", "<button-group></button-group>", "<title-card></title-card>", "<svg/>", '<svg class="a>b" />', "<math/>", "<svg><title>no</title><path/></svg>", '<script data-x="a>b">no</script>'):
+        assert texts(f"<p>one</p>{x}<p>two three</p>") == ["one", "two three"], x
+    assert texts("<p>one</p><object><p>two</p></object><button>three</button><p>four") == ["one", "two", "three", "four"]
+    assert texts(f"<p data-x=\"{'a > b ' * 2000}\">one</p><p>two") == ["one", "two"]
+
+
 def test_extract_reads_every_row(spark):
     article = "<html><body><nav><a href=x>Home</a></nav><article><h1>Head</h1><p>Long text of   the\n article. </p></article><footer>Copyright</footer></body></html>"
     got = html.extract(spark.createDataFrame([(1, "u", article), (2, None, None), (3, "v", ""), (1, "u", article)], "page_id long, url string, html string")).collect()

@@ -24,14 +24,16 @@ PATHS, WORDS, WIDTH, HIDDEN, NUMBERS = 4096, 4096, 16, 24, 5
 TRAIN_PAGES, EPOCHS, BATCH, SEED = 1600, 6, 32, 11
 #: Elements that begin a block, whose content is no text, that have no end tag, and that end the open one of their kind.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = "script|style|noscript|template|iframe|textarea|svg|title|select|math|button|object|canvas"
+RAW = "script|style|noscript|template|iframe|textarea|svg|title|math"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select div section article aside nav".split())
 
+#: The rest of a tag: quoted values of any length are skipped whole, and nothing is tried twice.
+_ATTRS = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>"']|"[^"]{0,4096}"|'[^']{0,4096}')*)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)""",
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>]){_ATTRS}(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])(?:{_ATTRS}>|[^>]*>).*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
