@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str], strict: bool = False, forward: bool = False, tolerance: int | None = None) -> DataFrame:
+#: Length of the spans of ``on`` that as-of joins sort apart: a day of milliseconds.
+SPAN = 86_400_000
+
+
+def asof(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str], strict: bool = False, forward: bool = False, tolerance: int | None = None, span: int = SPAN) -> DataFrame:
     """``left`` with ``values`` of the last right row whose ``on`` is at most the left one (before it if strict; after it if forward), null if older than ``tolerance``.
 
-    Both sides are shuffled once on ``by`` and sorted once; equal right times keep the last in order of all values. A right row's null values are values too.
+    Both sides are shuffled once on ``by`` and the span of ``on``, and sorted once, so one key of a long history is many tasks. Into each span goes the
+    right row that holds at its start (at its end if forward), found by a window over one row a key and span. Equal right times keep the last in
+    order of all values. A right row's null values are values too.
     """
     cols = left.columns
     keep = F.struct(F.col(on).alias("__at"), *values)
@@ -18,7 +24,14 @@ def asof(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str],
         before = 1 - before
     a = left.select(F.col(by).alias("__by"), F.col(on).alias("__on"), F.lit(before).alias("__k"), F.struct(*cols).alias("__l"), F.lit(None).cast(right.select(keep.alias("s")).schema["s"].dataType).alias("__r"))
     b = right.select(F.col(by).alias("__by"), F.col(on).alias("__on"), F.lit(1 - before).alias("__k"), F.lit(None).cast(a.schema["__l"].dataType).alias("__l"), keep.alias("__r"))
-    w = Window.partitionBy("__by").orderBy(F.col("__on"), F.col("__k"), F.col("__r"))
+    bucket = F.floor(F.col("__on") / span)
+    a, b = a.withColumn("__span", bucket), b.withColumn("__span", bucket)
+    edge = (F.min if forward else F.max)(F.struct("__on", "__k", "__r")).alias("__e")
+    spans = b.groupBy("__by", "__span").agg(edge).unionByName(a.select("__by", "__span").distinct(), allowMissingColumns=True).groupBy("__by", "__span").agg(F.max("__e").alias("__e"))
+    order = Window.partitionBy("__by").orderBy(F.desc("__span") if forward else "__span").rowsBetween(Window.unboundedPreceding, -1)
+    held = spans.select("__by", "__span", F.last("__e", ignorenulls=True).over(order).alias("__e")).where("__e IS NOT NULL")
+    b = b.unionByName(held.select("__by", "__span", "__e.__on", "__e.__k", "__e.__r"), allowMissingColumns=True)
+    w = Window.partitionBy("__by", "__span").orderBy(F.col("__on"), F.col("__k"), F.col("__r"))
     match = F.first("__r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     out = a.unionByName(b).withColumn("__m", match).where("__l IS NOT NULL")
     if tolerance is not None:
@@ -64,9 +77,9 @@ def available_from(month: Column, months: int, day: int) -> Column:
     return F.date_add(F.add_months(F.trunc(month, "MM"), months), day - 1)
 
 
-def event_windows(events: DataFrame, bars: DataFrame, by: str, on: str, step: int, before: int, after: int) -> DataFrame:
-    """Bars around events by offset: every event is exploded to its offsets and equi-joined, so the plan has no range join."""
-    each = events.select(by, F.col(on).alias("event"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset"))
+def event_windows(events: DataFrame, bars: DataFrame, by: str, on: str, step: int, before: int, after: int, carry: list[str] | None = None) -> DataFrame:
+    """Bars around events by offset, with the events' columns ``carry``: every event is exploded to its offsets and equi-joined, so the plan has no range join."""
+    each = events.select(by, *(carry or []), F.col(on).alias("event"), F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset"))
     return each.withColumn(on, (F.floor(F.col("event") / step) + F.col("offset")) * step).join(bars, [by, on])
 
 
