@@ -59,11 +59,13 @@ def asof_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.horizons(views.tape(spark, sf_dir).select("id", "symbol", "ts_ms", "tick"), _quotes(spark, sf_dir), "symbol", "ts_ms", "quote", STEPS)
 
 
-@query(f"{T}, i AS (SELECT symbol, ts_ms s, ts_ms + 7200000 e, id iid FROM tape WHERE id % 50 = 0) SELECT t.id, t.symbol, t.ts_ms, iid FROM tape t JOIN i ON t.symbol = i.symbol AND t.ts_ms >= s AND t.ts_ms < e")
+@query(f"{T}, i AS (SELECT symbol, ts_ms s, ts_ms + 1800000 e, id iid FROM tape) SELECT iid, i.symbol, count(*) n, cast(sum(t.lots) AS BIGINT) lots, max(t.id) last_id FROM tape t JOIN i ON t.symbol = i.symbol AND t.ts_ms >= s AND t.ts_ms < e GROUP BY 1, 2")
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = views.tape(spark, sf_dir).select("id", "symbol", "ts_ms")
-    gaps = t.where("id % 50 = 0").select("symbol", F.col("ts_ms").alias("s"), (F.col("ts_ms") + 2 * HOUR).alias("e"), F.col("id").alias("iid"))
-    return asof.in_intervals(t, gaps, "symbol", "ts_ms", "s", "e", HOUR).select("id", "symbol", "ts_ms", "iid")
+    """What trades in the half hour from each trade on: every trade is a point and an interval."""
+    t = views.tape(spark, sf_dir).select("id", "symbol", "ts_ms", "lots")
+    spans = t.select("symbol", F.col("ts_ms").alias("s"), (F.col("ts_ms") + HOUR // 2).alias("e"), F.col("id").alias("iid"))
+    pairs = asof.in_intervals(t, spans, "symbol", "ts_ms", "s", "e", HOUR // 2)
+    return pairs.groupBy("iid", "symbol").agg(F.count("*").alias("n"), F.sum("lots").alias("lots"), F.max("id").alias("last_id"))
 
 
 HOURLY = f"hourly AS (SELECT symbol, ts_ms // {HOUR} * {HOUR} ts_ms, max_by(tick, (ts_ms, id)) tick, sum(lots) lots FROM tape GROUP BY 1, 2)"
@@ -83,13 +85,15 @@ def calendar_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{T}, {HOURLY}, e AS (SELECT symbol, ts_ms event FROM tape WHERE id % 200 = 0), o AS (SELECT symbol, event, "offset", (event // {HOUR} + "offset") * {HOUR} ts_ms FROM e, range(-3, 4) t("offset"))
+    f"""{T}, {HOURLY}, e AS (SELECT symbol, ts_ms event FROM tape), o AS (SELECT symbol, event, "offset", (event // {HOUR} + "offset") * {HOUR} ts_ms FROM e, range(-3, 4) t("offset"))
     SELECT "offset", count(*) n, {r6_sql('avg(lots)')} AS lots FROM o JOIN hourly USING (symbol, ts_ms) GROUP BY 1"""
 )
 def event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = views.tape(spark, sf_dir).where("id % 200 = 0").select("symbol", "ts_ms")
-    found = asof.event_windows(events, hourly(spark, sf_dir), "symbol", "ts_ms", HOUR, 3, 3)
-    return rounded(found.groupBy(F.col("offset").cast("long").alias("offset")).agg(F.count("*").alias("n"), F.avg("lots").alias("lots")))
+    """Activity around every trade. Events of one bar share their windows, so they are counted by bar before they are spread."""
+    events = views.tape(spark, sf_dir).groupBy("symbol", (F.floor(F.col("ts_ms") / HOUR) * HOUR).alias("ts_ms")).agg(F.count("*").alias("k"))
+    found = asof.event_windows(events, hourly(spark, sf_dir), "symbol", "ts_ms", HOUR, 3, 3, ["k"])
+    n = F.sum("k")
+    return rounded(found.groupBy(F.col("offset").cast("long").alias("offset")).agg(n.alias("n"), (F.sum(F.col("k") * F.col("lots")) / n).alias("lots")))
 
 
 @query(

@@ -136,13 +136,13 @@ def cascade_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{T}, o AS (SELECT id, symbol, ts_ms, CASE WHEN is_buyer_maker THEN tick - 2 ELSE tick + 2 END tick, CASE WHEN is_buyer_maker THEN 1 ELSE -1 END side FROM tape WHERE id % 20 = 0)
+    f"""{T}, o AS (SELECT id, symbol, ts_ms, CASE WHEN is_buyer_maker THEN tick - 2 ELSE tick + 2 END tick, CASE WHEN is_buyer_maker THEN 1 ELSE -1 END side FROM tape)
     SELECT o.id, o.symbol, o.ts_ms, o.tick, o.side, min(t.ts_ms) FILTER ((t.tick - o.tick) * o.side <= 0) q0_ms, min(t.ts_ms) FILTER ((t.tick - o.tick) * o.side < 0) q1_ms FROM o LEFT JOIN tape t ON t.symbol = o.symbol AND t.ts_ms > o.ts_ms AND t.ts_ms <= o.ts_ms + {6 * HOUR} GROUP BY 1, 2, 3, 4, 5"""
 )
 def resting_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = views.tape(spark, sf_dir)
     side = F.when(F.col("is_buyer_maker"), 1).otherwise(-1)
-    o = t.where("id % 20 = 0").select("id", "symbol", "ts_ms", (F.col("tick") - 2 * side).alias("tick"), side.alias("side"))
+    o = t.select("id", "symbol", "ts_ms", (F.col("tick") - 2 * side).alias("tick"), side.alias("side"))
     return flow.queue_fills(o, t, 6 * HOUR)
 
 
