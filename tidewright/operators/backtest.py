@@ -142,9 +142,13 @@ def crises(daily: DataFrame, depth: float = 0.15) -> DataFrame:
 
 
 def quadrants(daily: DataFrame, level: str = "turnover", least: int = 250) -> DataFrame:
-    """Sharpe by regime: yesterday's level against its expanding mean, times the sign of its change over 63 days."""
+    """Sharpe by regime: yesterday's level against its expanding mean, times the sign of its change over 63 days.
+
+    Levels are compared as whole numbers of 1e-9, so that the order in which they were summed decides nothing. One row a day: the window has no key.
+    """
     w = Window.orderBy("date")
-    base = daily.select("date", F.col("net").alias("r"), F.lag(level).over(w).alias("x"))
-    mean = F.when(F.count("x").over(upto(w)) >= least, F.avg("x").over(upto(w)))
-    marked = base.select("r", (F.col("x") > mean).alias("high"), (F.col("x") > F.lag("x", 63).over(w)).alias("rising")).where("high IS NOT NULL AND rising IS NOT NULL")
+    base = daily.select("date", F.col("net").alias("r"), F.round(F.lag(level).over(w) * 1e9).cast("long").alias("x"))
+    n = F.count("x").over(upto(w))
+    high = F.when(n >= least, F.col("x") * n > F.sum("x").over(upto(w)))
+    marked = base.select("r", high.alias("high"), (F.col("x") > F.lag("x", 63).over(w)).alias("rising")).where("high IS NOT NULL AND rising IS NOT NULL")
     return marked.groupBy("high", "rising").agg(F.count("*").alias("days"), divide(F.avg("r"), F.stddev_samp("r")).alias("sharpe"))

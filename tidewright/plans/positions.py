@@ -150,7 +150,7 @@ def crisis_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{P}, {DAILY}, a AS (SELECT date, net, lag(turnover) OVER (ORDER BY date) x FROM daily), b AS (SELECT net, x > CASE WHEN count(x) OVER (ORDER BY date) >= 250 THEN avg(x) OVER (ORDER BY date) END high, x > lag(x, 63) OVER (ORDER BY date) rising FROM a)
+    f"""{P}, {DAILY}, a AS (SELECT date, net, cast(round(lag(turnover) OVER (ORDER BY date) * 1e9) AS BIGINT) x FROM daily), b AS (SELECT net, CASE WHEN count(x) OVER (ORDER BY date) >= 250 THEN x * count(x) OVER (ORDER BY date) > sum(x) OVER (ORDER BY date) END high, x > lag(x, 63) OVER (ORDER BY date) rising FROM a)
     SELECT high, rising, count(*) AS "days", {r('avg(net) / stddev_samp(net)', 'sharpe')} FROM b WHERE high IS NOT NULL AND rising IS NOT NULL GROUP BY 1, 2"""
 )
 def regime_quadrants(spark: SparkSession, sf_dir: str) -> DataFrame:
