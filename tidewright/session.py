@@ -26,12 +26,14 @@ def local_session(app: str = "tidewright", cores: str = "*", partitions: int = 8
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is made and named.
+    Only where the session names none and runs on one machine, as in tests, a temporary folder is made and named; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         own = getattr(spark, "_tidewright_shared", None)
         if own is None:
+            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
             own = "file://" + tempfile.mkdtemp(prefix="tidewright-")
             spark._tidewright_shared = own
         named = own
