@@ -1,9 +1,11 @@
 """Similarity join of documents by the Jaccard index of their word n-grams, through a MinHash LSH forest.
 
-Each of TREES signatures of a document is a string of minhashes, and its prefixes are the nodes of a trie. Documents that share a prefix
-in any trie are candidates; prefixes are shortened from LONGEST until a pair at the threshold shares one with the target recall. Runs of
-the sorted tries are found by grouping on the prefix's hash. Candidates are joined to components by stars, so no bucket is
-expanded to pairs, and inside a component all texts are verified exactly, in blocks, each pair of blocks in one task.
+Each of TREES signatures of a text is a string of LONGEST minhashes, and a tree of the forest is the trie of one signature of all texts: here the sorted
+list of its strings, in which the texts below any node of the trie stand together. One range sort holds all tries. Neighbours in it that share a
+prefix are linked with its length, and every text shortens the prefix by which it is matched, from LONGEST on, until the partners that it has met are
+expected to share one with the target recall; a text that met none goes down to the length that gives the recall at the threshold itself. Links
+shorter than that are left, the others join to components, and inside a component all texts are verified exactly, in blocks, each pair
+of blocks in one task. No bucket is expanded to pairs.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm import textnum as tn
@@ -23,7 +25,11 @@ from tidewright.operators.skew import split_join
 from tidewright.session import materialise
 
 N, THRESHOLD = 5, Fraction(4, 5)
-TREES, LONGEST, RECALL = 32, 12, 0.999
+TREES, LONGEST, RECALL = 32, 10, 0.999
+#: Neighbours are taken for partners from this estimate of their similarity on; its standard error is below 0.04 at the threshold.
+NEAR = 0.65
+#: Longs of 64 one-bit minhashes that the estimate is made from, and rows of the sorted tries in one task, about.
+SKETCH, SORTED_ROWS = 4, 1_000_000
 #: Texts, and their bytes, in one block of a component at most, about.
 BLOCK_TEXTS, BLOCK_BYTES = 2048, 16 << 20
 U = np.uint64
@@ -69,30 +75,112 @@ def set_names(key: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [a + b for a, b in zip(*([x.tobytes() for x in p.astype(">u8")] for p in parts), strict=True)]
 
 
-def prefixes(key: np.ndarray, first: np.ndarray, p: int) -> np.ndarray:
-    """Hash of the prefix of length p in every trie: array of (texts, TREES)."""
-    out = np.empty((len(first) - 1, TREES), U)
+def signatures(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(strings, sketches) of sets: the strings of all trees, 2 bytes a minhash, as bytes of shape (texts, TREES, 2 * LONGEST), and SKETCH longs of one bit a minhash."""
+    n = len(first) - 1
+    strings, bits = np.empty((n, TREES, LONGEST), ">u2"), np.zeros((n, SKETCH), U)
     for tree in range(TREES):
-        x = np.full(len(first) - 1, tree + 1, U)
-        for level in range(p):
-            a, b = _SEEDS[:, tree * LONGEST + level]
-            x = x * U(0xD6E8FEB86659FD93) + np.minimum.reduceat((key ^ a) * b, first[:-1])
-        out[:, tree] = tn.mix(x)
-    return out
+        for level in range(LONGEST):
+            k = tree * LONGEST + level
+            a, b = _SEEDS[:, k]
+            least = np.minimum.reduceat((key ^ a) * b, first[:-1])
+            strings[:, tree, level] = (least ^ (least >> U(29))) & U(0xFFFF)
+            if k < 64 * SKETCH:
+                bits[:, k // 64] |= ((least >> U(20)) & U(1)) << U(k % 64)
+    return strings.view(np.uint8).reshape(n, TREES, 2 * LONGEST), bits
 
 
-def _signed(p: int):
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, buf, at in tn.slices(batch.column(3)):
+            key, first = shingle_sets(buf, at)
+            strings, bits = signatures(key, first)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * SKETCH, pa.int32()), pa.array(bits.view(np.int64).ravel()))
+            sent = [*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array(set_names(key, first), pa.binary()), pa.array([x.tobytes() for x in strings], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(sent, names=["doc_id", "t1", "t2", "node", "strings", "sketch"])
+
+
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """Bytes of a column whose values all have ``width``."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(len(column), width)
+
+
+ADJACENT = "a binary, b binary, shared int, edge binary"
+
+
+def _adjacent(floor: int):
+    """From sorted rows (string, node) the neighbours that share a prefix of at least ``floor`` levels, and the first and last row of the task, with b null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
         for batch in batches:
-            for a, b, buf, at in tn.slices(batch.column(1)):
-                key, first = shingle_sets(buf, at)
-                trees = prefixes(key, first, p)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * TREES, pa.int32()), pa.array(trees.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(set_names(key, first), pa.binary()), lists], names=["doc_id", "node", "trees"])
+            if not batch.num_rows:
+                continue
+            ends = [] if held is not None else [0]
+            rows = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
+            string, node = rows["string"].combine_chunks() if isinstance(rows["string"], pa.ChunkedArray) else rows["string"], rows["node"].combine_chunks() if isinstance(rows["node"], pa.ChunkedArray) else rows["node"]
+            x = _fixed(string, 1 + 2 * LONGEST)
+            level = np.ascontiguousarray(x[:, 1:]).view(">u2")
+            same = np.cumprod(level[1:] == level[:-1], axis=1, dtype=np.int32).sum(1) * (x[1:, 0] == x[:-1, 0])
+            at = np.flatnonzero(same >= floor)
+            yield _edges(node.take(pa.array(at)), node.take(pa.array(at + 1)), same[at], None)
+            if ends:
+                yield _edges(node.slice(0, 1), None, np.array([0]), string.slice(0, 1))
+            held = batch.slice(batch.num_rows - 1, 1)
+        if held is not None:
+            yield _edges(held.column("node"), None, np.array([0]), held.column("string"))
 
     return run
 
 
+def _edges(a: pa.Array, b: pa.Array | None, shared: np.ndarray, edge: pa.Array | None) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.binary())
+    return pa.RecordBatch.from_arrays([a.cast(pa.binary()), none if b is None else b.cast(pa.binary()), pa.array(shared.astype(np.int32)), none if edge is None else edge.cast(pa.binary())], names=["a", "b", "shared", "edge"])
+
+
+def neighbours(nodes: DataFrame, floor: int) -> DataFrame:
+    """(a, b, shared) for distinct pairs of nodes that stand together in some sorted trie: the levels that they share there at most.
+
+    ``nodes`` are (node, strings). The sort is by ranges of the strings, with the node as the last key, so a prefix that very many texts share is cut over
+    tasks like any other. The rows at the edges of tasks, two a task, are linked afterwards.
+    """
+    spread = nodes.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda i: F.substr("strings", i * (2 * LONGEST) + 1, F.lit(2 * LONGEST)))).alias("tree", "s"), "node")
+    rows = spread.select(F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), "s").alias("string"), "node")
+    tasks = max(8, -(-nodes.count() * TREES // SORTED_ROWS))
+    found = materialise(rows.repartitionByRange(tasks, "string", "node").sortWithinPartitions("string", "node").mapInArrow(_adjacent(floor), ADJACENT), "tries")
+    order = Window.orderBy("edge", "a")  # two rows a task
+    same = sum(((F.substring("edge", 1, 1 + 2 * p) == F.substring(F.lag("edge").over(order), 1, 1 + 2 * p)).cast("int") for p in range(1, LONGEST + 1)), F.lit(0))
+    across = found.where("b IS NULL").select("a", F.lag("a").over(order).alias("b"), same.alias("shared")).where(F.col("b").isNotNull() & (F.col("shared") >= floor))
+    both = found.where("b IS NOT NULL").select("a", "b", "shared").unionByName(across).where("a != b")
+    return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("shared").alias("shared"))
+
+
+def chance(s: Column, p: int) -> Column:
+    """Chance that a pair of similarity s shares a prefix of length p in some tree."""
+    return 1 - F.pow(1 - F.pow(s, F.lit(float(p))), F.lit(float(TREES)))
+
+
+def shortened(pairs: DataFrame, sketches: DataFrame, floor: int, recall: float = RECALL) -> DataFrame:
+    """The pairs (a, b, shared) that share the prefix to which either of them has come down.
+
+    A text comes down from LONGEST until, by its estimated similarities to the partners that it has met, it is expected to share a prefix with ``recall`` of them;
+    one that has met none comes down to ``floor``. Pairs that are no partners stay: they hold a run of the trie together.
+    """
+    sketch = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"))
+    differ = sum(F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(SKETCH))
+    s = 1 - 2 * differ / (64.0 * SKETCH)
+    known = materialise(pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "shared", s.alias("s")), "pairs")
+    ends = known.where(F.col("s") >= NEAR).select(F.explode(F.array("a", "b")).alias("x"), F.greatest("s", F.lit(float(THRESHOLD))).alias("s"))
+    lengths = range(floor + 1, LONGEST + 1)
+    depth = ends.groupBy("x").agg(sum(((F.avg(chance(F.col("s"), p)) >= recall).cast("int") for p in lengths), F.lit(floor)).alias("depth"))
+    of = lambda x: depth.select(F.col("x").alias(x), F.col("depth").alias(f"d{x}"))
+    own = lambda x: F.coalesce(f"d{x}", F.lit(floor))
+    return known.join(of("a"), "a", "left").join(of("b"), "b", "left").where((F.col("shared") >= F.least(own("a"), own("b"))) | (F.col("s") < NEAR)).select("a", "b")
+
+
 def _linked(names: list[bytes], column: pa.Array, copies: np.ndarray, left: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """For each text of a group: index of the least text linked with it through links of the group, and the copies of its links.
 
@@ -187,21 +275,22 @@ def classes(docs: DataFrame) -> DataFrame:
     class whose other ids are not null one of those. Equal sets meet once, as a node; a component of candidates larger than a block is split, and its blocks meet
     in pairs. Other columns are ignored.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = materialise(source.mapInArrow(_signed(prefix_length()), "doc_id long, node binary, trees array<long>"), "signed")
-    nodes = materialise(signed.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("trees").alias("trees")), "nodes")
-    tries = nodes.select("node", F.explode("trees").alias("prefix"))
-    shared = materialise(tries.groupBy("prefix").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1"), "prefixes")
-    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    stars = split_join(tries, shared, ["prefix"], "n", total).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    candidate = materialise(components(stars), "candidates")
-    members = candidate.join(nodes.select("node", "copies", "rep"), "node")
-    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    texts = source.select(key(F.col("doc_id")).alias("rep_key"), "text")
-    texts = texts.join(members.select("node", "component", "copies", key(F.col("rep")).alias("rep_key")), "rep_key")
-    # a repeated id may hold other texts: only the node's own text stays
-    texts = texts.select("component", "node", "copies", "text").mapInArrow(_own_text, "component binary, node binary, copies long, text string")
-    texts = materialise(texts, "texts")
+    return _classes(docs).select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """The columns of :func:`classes` with the hashes of the text (t1, t2) and the name of the class (root)."""
+    source = _keyed(docs)
+    signed = materialise(source.mapInArrow(_signed, "doc_id long, t1 long, t2 long, node binary, strings binary, sketch array<long>"), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2")).alias("rep")
+    nodes = materialise(signed.groupBy("node").agg(F.count("*").alias("copies"), first, F.first("strings").alias("strings"), F.first("sketch").alias("sketch")), "nodes")
+    floor = prefix_length()
+    linked = shortened(neighbours(nodes.select("node", "strings"), floor), nodes.select("node", "sketch"), floor)
+    candidate = materialise(components(linked), "candidates")
+    members = candidate.join(nodes.select("node", "copies", "rep"), "node").select("node", "component", "copies", _whole(F.col("rep.doc_id")).alias("id"), "rep.t1", "rep.t2")
+    texts = source.select(_whole(F.col("doc_id")).alias("id"), "t1", "t2", "text").join(members, ["id", "t1", "t2"])
+    # rows that repeat an id and its text bring one text
+    texts = materialise(texts.groupBy("component", "node", "copies").agg(F.first("text").alias("text")), "texts")
     sizes = texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"), F.count("*").alias("n"))
     sizes = materialise(sizes.where("n > 1"), "sizes")
     found = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -216,27 +305,34 @@ def classes(docs: DataFrame) -> DataFrame:
         whole = components(more.select(F.col("node").alias("a"), F.col("root").alias("b")))
         sums = more.groupBy("node").agg(F.sum("links").alias("links"))
         one = one.unionByName(sums.join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("root"), "links"))
-    known = nodes.join(one, "node", "left").select("node", "copies", "rep", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = nodes.join(one, "node", "left").select("node", "copies", F.col("rep.doc_id").alias("rep"), F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     known = materialise(known, "classes")
     ids = known.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n_nodes"))
     total = known.count()
-    named = materialise(split_join(known, ids, ["root"], "n_nodes", total).select("node", "copies", "class_id", "links"), "named")
-    rows = signed.select("doc_id", "node")
-    return split_join(rows, named, ["node"], "copies", rows.count()).select("doc_id", "class_id", (F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"))
+    named = materialise(split_join(known, ids, ["root"], "n_nodes", total).select("node", "copies", "root", "class_id", "links"), "named")
+    rows = signed.select("doc_id", "t1", "t2", "node")
+    return split_join(rows, named, ["node"], "copies", rows.count()).select("doc_id", "t1", "t2", "root", "class_id", (F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"))
 
 
-def _own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, buf, at in tn.slices(batch.column(3)):
-            own = pa.array(set_names(*shingle_sets(buf, at)), pa.binary())
-            part = batch.slice(a, b - a)
-            yield part.filter(pa.compute.equal(part.column(1), own))
+def _whole(c: Column) -> Column:
+    """An id that joins: null stands for itself."""
+    return F.coalesce(c, F.lit(-(1 << 63)))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, text): two hashes name the text, so rows that repeat an id, or have none, are told apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("t"), "text").alias("t2"), "text")
 
 
 def unique(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is the class_id of their class: one document of each class stays, with all its columns.
+    """One document of each class, with all its columns: the row with the least id, and of rows that share that id (or have none) those of the text whose hashes are least.
 
-    Rows that repeat an id are the same document and stay or go together.
+    Rows that repeat both id and text are the same document and stay together.
     """
-    kept = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__kept")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == kept["__kept"], "left_semi")
+    found = _classes(docs)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "t1", "t2")).alias("k")
+    kept = found.groupBy("root").agg(least).select(_whole(F.col("k.doc_id")).alias("__id"), F.col("k.t1").alias("__t1"), F.col("k.t2").alias("__t2"))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    same = (_whole(docs["doc_id"].cast("long")) == kept["__id"]) & (F.xxhash64(text) == kept["__t1"]) & (F.xxhash64(F.lit("t"), text) == kept["__t2"])
+    return docs.join(kept, same, "left_semi")
