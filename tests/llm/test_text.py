@@ -126,10 +126,11 @@ def test_overlaps_are_those_of_all_segments(spark):
         assert 5 * r.n_matched >= 4 * r.n_words and any(sum(a == b for a, b in zip(d, i[s:], strict=False)) == r.n_matched for s in range(len(i) - r.n_words + 1))
 
 
-def test_test_sets_in_blocks_give_the_same(spark, sf, monkeypatch):
+def test_a_full_bitmap_and_short_tiles_give_the_same(spark, sf, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {tuple(r) for r in decontaminate.overlaps(docs, bench).collect()}
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    for name, value in (("FILTER_BITS", 64), ("TILE", 7), ("BROADCAST_TEXTS", 0)):
+        monkeypatch.setattr(decontaminate, name, value)
     assert {tuple(r) for r in decontaminate.overlaps(docs, bench).collect()} == whole and whole
     assert decontaminate.clean(docs, bench).count() == docs.count() - len({r[0] for r in whole})
 

@@ -1,20 +1,24 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Fixed masks pick some of the tokens of a window and ignore the rest, so a hash survives substitutions at the ignored places. Hashes
-of test items are joined with those of the documents, and around each hit the ungapped alignment is verified word by word.
+of test items (seeds) are joined with those of the documents, and around each hit the ungapped alignment is verified word by word.
+
+The documents are read once, however many test items there are. A bitmap of fixed size over the seeds' hashes goes to every task and lets
+most windows of most texts fall at once; what it lets through, right or wrong, meets the seeds in a shuffle join. Equal texts are looked at once.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import textnum as tn
+from tidewright.session import materialise
 
 #: Masks: 1 is hashed, 0 is ignored. The last finds every overlap of 13 equal words and the share: 13 to 15 equal words have at most 3 others
 #: between them, and k >= 16 at most k / 4, so four equal words always stand together.
@@ -26,8 +30,12 @@ MIN_WORDS, MIN_SHARE = 13, 0.8
 EQUAL, OTHER = 1, -4
 #: Items of fewer words overlap nothing: any text may hold them.
 MIN_ITEM = 5
-#: Bytes of test texts that one pass over the documents holds in each task; a larger test set is taken in blocks of that size.
-BLOCK_BYTES = 16 << 20
+#: Bits of the bitmap over the seeds (8 MB). A larger test set fills it, lets more windows through to the join, and loses nothing.
+FILTER_BITS = 1 << 26
+#: Words of a text in one row; tasks that a hot key is dealt over, and hot keys at most.
+TILE, SALTS, HOT = 4096, 64, 512
+#: Up to so many overlapping texts are broadcast to the documents (about 10 MB); more are joined by a shuffle.
+BROADCAST_TEXTS = 200_000
 _MULT = 0xD6E8FEB86659FD93
 SCHEMA = "item_id long, first_word long, n_words long, n_matched long"
 
@@ -51,133 +59,189 @@ def _spaced(h: np.ndarray, mask: str) -> np.ndarray:
     return tn.mix(out)
 
 
-class Tests:
-    """Hashes of a block of test items: sorted keys with (item, place) of each."""
+def _masks(n: int) -> list[str]:
+    """Masks that the seeds of an item of n words have: a short item must stand whole."""
+    return list(MASKS) if n >= SPAN else ["1" * n]
+
 
-    def __init__(self, items: list[tuple[int, str]]):
-        column = pa.array([t or "" for _, t in items], pa.string())
-        self.ids = [i for i, _ in items]
-        self.words: list[np.ndarray] = []
-        for _, _, buf, at in tn.slices(column):
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, item_id, words) of items with enough words; words as hashes."""
+    for batch in batches:
+        for a, b, buf, at in tn.slices(batch.column(2)):
             h, first = _word_hashes(buf, at)
-            self.words += [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        short = {len(w) for w in self.words if MIN_ITEM <= len(w) < SPAN}
-        self.masks = [*MASKS, *("1" * n for n in sorted(short))]
-        keys, item, place = [], [], []
-        for i, w in enumerate(self.words):
-            for mask in self.masks:
-                if mask in MASKS if len(w) >= SPAN else mask == "1" * len(w):
-                    k = _spaced(w, mask)
-                    keys.append(k)
-                    item.append(np.full(len(k), i))
-                    place.append(np.arange(len(k)))
-        none = np.zeros(0, np.int64)
-        key = np.concatenate([np.zeros(0, np.uint64), *keys])
-        order = np.argsort(key, kind="stable")
-        self.key, self.item, self.place = key[order], np.concatenate([none, *item])[order], np.concatenate([none, *place])[order]
-        self.bits = np.uint64((1 << max(16, min(26, int(len(key)).bit_length() + 5))) - 1)
-        self.filter = np.zeros(int(self.bits) + 1, bool)
-        self.filter[self.key & self.bits] = True
-
-    def hits(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct (text, item, diagonal); the diagonal is the place of the item's first word in h."""
-        found = []
+            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
+            rows = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["item", "item_id", "words"])
+            yield rows.filter(pa.array(np.diff(first) >= MIN_ITEM))
+
+
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, item, place) of every masked window of the items (item, words)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            w = batch.column(1)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = [_spaced(w, mask) for mask in _masks(len(w))]
+            place = np.concatenate([np.arange(len(k), dtype=np.int32) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array([batch.column(0)[i].as_py()] * len(place), pa.binary()), pa.array(place)], names=["key", "item", "place"])
+
+
+@dataclass
+class Filter:
+    """The masks in use, and the words of the bitmap that are not 0."""
+
+    masks: list[str]
+    at: np.ndarray
+    word: np.ndarray
+    bits: int
+
+    def bitmap(self) -> np.ndarray:
+        out = np.zeros(self.bits // 64, np.uint64)
+        out[self.at] = self.word
+        return out
+
+    def windows(self, bitmap: np.ndarray, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, key) of the windows inside one text that the bitmap lets through, in order of place."""
+        places, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for mask in self.masks:
             k = _spaced(h, mask)
-            at = np.flatnonzero(self.filter[k & self.bits])
-            lo, hi = np.searchsorted(self.key, k[at], "left"), np.searchsorted(self.key, k[at], "right")
-            text = np.searchsorted(first, at, "right") - 1
-            ok = (hi > lo) & (at + len(mask) <= first[np.minimum(text + 1, len(first) - 1)])
-            at, lo, hi, text = at[ok], lo[ok], hi[ok], text[ok]
-            n = hi - lo
-            which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(np.stack([np.repeat(text, n), self.item[which], np.repeat(at, n) - self.place[which]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-
-    def verify(self, h: np.ndarray, a: int, b: int, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """(first word in the text, words, equal words) of the best overlap on a diagonal of the text h[a:b]."""
-        w = self.words[item]
-        i, j = max(a, diagonal), min(b, diagonal + len(w))
-        same = h[i:j] == w[i - diagonal : j - diagonal]
-        # of the segments with the share (an equal word counts 1, another -4, in whole numbers) the one with the most equal words: for
-        # each end the earliest start whose sum so far is no larger
-        total = np.concatenate([[0], np.cumsum(np.where(same, EQUAL, OTHER))])
-        equal = np.concatenate([[0], np.cumsum(same)])
-        start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
-        end = int(np.argmax(equal - equal[start]))
-        inside = np.flatnonzero(same[start[end] : end]) + start[end]
-        begin, end, matched = (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
-        if end > begin and matched >= min(MIN_WORDS, len(w)):
-            return i + begin - a, end - begin, matched
-        return None
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
-    """The test items in blocks of about BLOCK_BYTES; one block, maybe empty, at least."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-n_bytes // BLOCK_BYTES))
-    for block in range(blocks):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
-
-
-def _found(tests: Tests, buf: np.ndarray, at: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
-    """The best overlap of each (text, item) of a slice."""
-    h, first = _word_hashes(buf, at)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for text, item, diagonal in tests.hits(h, first).tolist():
-        if over := tests.verify(h, first[text], first[text + 1], item, diagonal):
-            old = best.get((text, item))
-            if old is None or (over[2], -over[0]) > (old[2], -old[0]):
-                best[text, item] = over
-    return best
+            low = k & np.uint64(self.bits - 1)
+            at = np.flatnonzero((bitmap[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1))
+            end = first[np.searchsorted(first, at, "right")] if len(at) else at
+            at = at[at + len(mask) <= end]
+            places.append(at)
+            keys.append(k[at])
+        place, key = np.concatenate(places), np.concatenate(keys)
+        order = np.argsort(place, kind="stable")
+        return place[order], key[order]
+
+
+HITS = "t1 long, t2 long, tile int, places array<int>, keys array<long>, words array<long>"
+
+
+def _hits(seen: Filter, tile: int):
+    """From rows (t1, t2, text) the tiles of all texts that have a window which the bitmap lets through, with these windows and the words' hashes."""
+
+    def lists(values: np.ndarray, cut: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values, kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = seen.bitmap()
+        for batch in batches:
+            for a, _, buf, at in tn.slices(batch.column(2)):
+                h, first = _word_hashes(buf, at)
+                place, key = seen.windows(bitmap, h, first)
+                for i in np.unique(np.searchsorted(first, place, "right") - 1).tolist():
+                    lo, hi = int(first[i]), int(first[i + 1])
+                    own = slice(*np.searchsorted(place, [lo, hi]).tolist())
+                    p, k, w = place[own] - lo, key[own], h[lo:hi]
+                    starts = np.arange(0, hi - lo, tile)
+                    names = [pa.array([batch.column(c)[a + i].as_py()] * len(starts), pa.int64()) for c in (0, 1)]
+                    cut = np.append(np.searchsorted(p, starts), len(p))
+                    yield pa.RecordBatch.from_arrays(
+                        [*names, pa.array((starts // tile).astype(np.int32)), lists(p, cut, pa.int32()), lists(k.view(np.int64), cut, pa.int64()), lists(w.view(np.int64), np.append(starts, len(w)), pa.int64())],
+                        names=[x.split()[0] for x in HITS.split(", ")],
+                    )
+
+    return run
+
+
+def best_segment(same: np.ndarray) -> tuple[int, int, int]:
+    """(begin, end, equal words) of the segment with the share that has the most equal words; its first and last word are equal.
+
+    An equal word counts 1, another -4, in whole numbers; for each end the earliest start whose sum so far is no larger.
+    """
+    total = np.concatenate([[0], np.cumsum(np.where(same, EQUAL, OTHER))])
+    equal = np.concatenate([[0], np.cumsum(same)])
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    end = int(np.argmax(equal - equal[start]))
+    inside = np.flatnonzero(same[start[end] : end]) + start[end]
+    return (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
+
+
+OVERLAP = "t1 long, t2 long, item binary, first_word long, n_words long, n_matched long"
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (t1, t2, item, diagonal, window, words) those whose best segment is an overlap. The window holds the text's words from the later of 0 and the diagonal on."""
+    for batch in batches:
+        found, rows = [], []
+        window, words = batch.column(4), batch.column(5)
+        for i, diagonal in enumerate(batch.column(3).to_pylist()):
+            w = words[i].values.to_numpy(zero_copy_only=False)
+            skip = max(0, -diagonal)
+            t = window[i].values.to_numpy(zero_copy_only=False)[: len(w) - skip]
+            begin, end, matched = best_segment(t == w[skip : skip + len(t)])
+            if end > begin and matched >= min(MIN_WORDS, len(w)):
+                rows.append(i)
+                found.append((max(0, diagonal) + begin, end - begin, matched))
+        if rows:
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), *(pa.array(x, pa.int64()) for x in zip(*found, strict=True))], names=[x.split()[0] for x in OVERLAP.split(", ")])
+
+
+def _salted(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Hits (t1, t2, at, key) with the seeds of their key. The HOT keys that most hits have are dealt over SALTS tasks, with the seeds of each copied to all of them."""
+    hot = hits.groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {SALTS}").orderBy(F.desc("n"), "key").limit(HOT).select("key").toPandas()
+    hot = F.broadcast(hits.sparkSession.createDataFrame(hot, "key long").withColumn("hot", F.lit(True)))
+    a = hits.join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("t1", "t2", "at"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+    every = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return a.join(seeds.join(hot, "key", "left").withColumn("salt", F.explode(every)).drop("hot"), ["key", "salt"])
+
+
+def _names(text: Column) -> list[Column]:
+    """Two hashes that name a text; a null is an empty one."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(whole).alias("t1"), F.xxhash64(F.lit("t"), whole).alias("t2")]
+
+
+def _overlapping(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, item, first_word, n_words, n_matched) of the texts and items that overlap, the best of each pair; and the items (item, item_id, words)."""
+    spark = docs.sparkSession
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    named = named.select(F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "text"))).alias("item"), "item_id", "text")
+    items = materialise(named.mapInArrow(_items, "item binary, item_id long, words array<long>"), "items")
+    seeds = materialise(items.select("item", "words").mapInArrow(_seeds, "key long, item binary, place int"), "seeds")
+    short = [r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < SPAN).distinct().collect()]
+    low = seeds.select(F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("b"))
+    words = low.groupBy(F.expr("shiftrightunsigned(b, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 AS int)))").alias("word")).toPandas()
+    seen = Filter([*MASKS, *("1" * n for n in sorted(short))], words["at"].to_numpy(np.int64), words["word"].to_numpy(np.int64).view(np.uint64), FILTER_BITS)
+    sent, tile = spark.sparkContext.broadcast(seen), TILE
+    passed = docs.select(*_names(F.col("text")), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: _hits(sent.value, tile)(batches), HITS)
+    once = passed.groupBy("t1", "t2", "tile").agg(F.first(F.struct("places", "keys", "words")).alias("h"))
+    tiles = materialise(once.select("t1", "t2", "tile", "h.*"), "hits")
+    hits = tiles.select("t1", "t2", F.explode(F.arrays_zip("places", "keys")).alias("h")).select("t1", "t2", F.col("h.places").alias("at"), F.col("h.keys").alias("key"))
+    met = _salted(hits, seeds).select("t1", "t2", "item", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    # from here on a hot key is rows that meet one row each: adaptive execution splits it
+    placed = met.join(items.select("item", "words"), "item").withColumn("begin", F.greatest("diagonal", F.lit(0))).withColumn("last", F.col("diagonal") + F.size("words") - 1)
+    parts = placed.withColumn("tile", F.explode(F.sequence(F.floor(F.col("begin") / TILE).cast("int"), F.floor(F.col("last") / TILE).cast("int"))))
+    held = parts.join(tiles.select("t1", "t2", "tile", F.col("words").alias("text")), ["t1", "t2", "tile"])
+    offset = F.col("tile") * TILE
+    cut = F.slice("text", F.greatest(F.col("begin") - offset, F.lit(0)) + 1, F.greatest(F.col("last") + 1 - F.greatest("begin", offset), F.lit(0)).cast("int"))
+    windows = held.groupBy("t1", "t2", "item", "diagonal").agg(F.sort_array(F.collect_list(F.struct("tile", cut.alias("w")))).alias("parts"), F.first("words").alias("words"))
+    pairs = windows.select("t1", "t2", "item", "diagonal", F.flatten("parts.w").alias("window"), "words")
+    verified = pairs.mapInArrow(_verify, OVERLAP)
+    best = verified.groupBy("t1", "t2", "item").agg(F.max_by(F.struct("first_word", "n_words", "n_matched"), F.struct("n_matched", -F.col("first_word"))).alias("o"))
+    return materialise(best.select("t1", "t2", "item", "o.*"), "overlaps"), items
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row for each document and item that overlap: columns ``keep`` of docs (doc_id by default), then SCHEMA.
 
     Of several overlaps of a pair the one with the most equal words counts, then the first. Words are runs of letters, digits and
-    non-ASCII characters, in lower case. Null and empty texts and items overlap nothing; an item of 5 to 12 words
-    must stand whole, one of fewer overlaps nothing; repeated rows report alike; null ids stay null. Nothing is shuffled: each pass over the documents holds a block of
-    at most BLOCK_BYTES of test texts, and there are as many passes as the test set needs.
+    non-ASCII characters, in lower case. Null and empty texts and items overlap nothing; an item of 5 to 12 words must stand whole, one of fewer overlaps
+    nothing; repeated documents report each, repeated test rows once; null ids stay null.
     """
     keep = ["doc_id"] if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[:-1]), SCHEMA])
-    names = [*keep, *(x.split()[0] for x in SCHEMA.split(", "))]
-
-    def one(items: list[tuple[int | None, str]]) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = Tests(held.value)
-            for batch in batches:
-                for a, _, buf, at in tn.slices(batch.column(len(keep))):
-                    if best := _found(tests, buf, at):
-                        rows = pa.array([a + t for t, _ in best])
-                        values = [[tests.ids[i] for _, i in best], *zip(*best.values(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in range(len(keep))), *(pa.array(v, pa.int64()) for v in values)], names=names)
-
-        return source.mapInArrow(run, schema)
-
-    return functools.reduce(DataFrame.unionByName, map(one, _blocks(benchmark)))
+    found, items = _overlapping(docs, benchmark)
+    named = [x.split()[0] for x in SCHEMA.split(", ")]
+    report = materialise(found.join(items.select("item", "item_id"), "item").select(F.struct("t1", "t2").alias("t"), *named), "report")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__{c}") for c in keep], F.struct(*_names(F.col("text"))).alias("t"))
+    both = rows.join(F.broadcast(report) if report.count() <= BROADCAST_TEXTS else report, "t")
+    return both.select(*[F.col(f"`__{c}`").alias(c) for c in keep], *named)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text overlaps no test item (see :func:`overlaps`), with all their columns. Nothing is shuffled."""
-    at = docs.columns.index("text")
-
-    def one(docs: DataFrame, items: list[tuple[int | None, str]]) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tests = Tests(held.value)
-            for batch in batches:
-                stays = np.ones(batch.num_rows, bool)
-                for a, _, buf, offsets in tn.slices(batch.column(at)):
-                    stays[[a + t for t, _ in _found(tests, buf, offsets)]] = False
-                yield batch.filter(pa.array(stays))
-
-        return docs.mapInArrow(run, docs.schema)
-
-    return functools.reduce(one, _blocks(benchmark), docs)
+    """The rows of docs whose text overlaps no test item (see :func:`overlaps`), with all their columns."""
+    found = _overlapping(docs, benchmark)[0].select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
+    t1, t2 = _names(docs["text"])
+    same = (t1 == found["__t1"]) & (t2 == found["__t2"])
+    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found, same, "left_anti")
