@@ -25,6 +25,8 @@ from tidewright.session import materialise, scratch
 MIN_REVISIT = 100
 #: A new archive begins after so many bytes; ranges with gaps up to GAP are read at once, up to READ bytes.
 ARCHIVE_BYTES, GAP, READ = 64 << 20, 64 << 10, 8 << 20
+#: Up to so many repeated digests are broadcast to the pages (about 20 MB); more are joined by a shuffle. Bytes of archives that one task reads, about.
+BROADCAST_DIGESTS, TASK_BYTES = 200_000, 32 << 20
 
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string, type string, refers_to long"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -71,19 +73,25 @@ def _parsed(raw: bytes) -> tuple:
 
 
 def assign(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, bytes, digest, kind, refers_to): of equal payloads the smallest page_id is the response.
+    """(page_id, url, html, bytes, digest, kind, refers_to): of equal payloads the smallest page_id is the response; a revisit has no html.
 
-    Counted with partial sums; the rows of digests that many pages share are joined without moving them.
+    Digests are counted with partial sums. While those that repeat are few enough to be broadcast, no page is moved; beyond that the pages of the hottest ones
+    still stay, and the others are shuffled by their digest.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
     rows = rows.select("*", F.octet_length("html").cast("long").alias("bytes"), F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
     of = rows.where(f"bytes >= {MIN_REVISIT}").groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
     of = materialise(of.where("n > 1 AND first IS NOT NULL"), "digests")
-    total = of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    copies = split_join(rows.select("page_id", "digest"), of, ["digest"], "n", total).where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    joined = rows.join(copies, ["page_id", "digest"], "left")
-    return joined.withColumn("kind", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    size = of.agg(F.count("*").alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("pages")).first()
+    if size.digests <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(of.select("digest", "first")), "digest", "left")
+    else:
+        repeated = split_join(rows, of, ["digest"], "n", size.pages).drop("n")
+        joined = rows.join(of, "digest", "left_anti").withColumn("first", F.lit(None).cast("long")).unionByName(repeated)
+    refers = F.when(F.col("page_id") > F.col("first"), F.col("first"))
+    kind = F.when(refers.isNull(), "response").otherwise("revisit")
+    return joined.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "bytes", "digest", kind.alias("kind"), refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -111,7 +119,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    raw = _record(page_id, url, digest, size, kind, refers, html.encode() if kind == "response" else b"")
+                    raw = _record(page_id, url, digest, size, kind, refers, html.encode() if html else b"")
                     out.write(raw)
                     index.append((name, at, len(raw), page_id, url, digest, kind, refers))
                     at += len(raw)
@@ -147,8 +155,8 @@ def ranges(rows: list[tuple[int, int]], gap: int = GAP, most: int = READ) -> lis
 def read_archives(index: DataFrame, payload: bool = True) -> DataFrame:
     """Records of the selected index rows, columns RECORDS, parsed from the archives and checked against their digests.
 
-    The index rows of one archive meet in one task, in order of their offsets; an archive has about ARCHIVE_BYTES. Without
-    ``payload`` the column is null.
+    The index is dealt to tasks by ranges of (archive, offset), as many as the selected records have bytes for, so neighbouring records are read at once and
+    no archive is bound to one task. Without ``payload`` the column is null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,5 +186,7 @@ def read_archives(index: DataFrame, payload: bool = True) -> DataFrame:
             if opened is not None:
                 opened.close()
 
-    chosen = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    chosen = index.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return chosen.mapInArrow(run, RECORDS)
