@@ -24,7 +24,7 @@ PATHS, WORDS, WIDTH, HIDDEN, NUMBERS = 4096, 4096, 16, 24, 5
 TRAIN_PAGES, EPOCHS, BATCH, SEED = 1600, 6, 32, 11
 #: Elements that begin a block, whose content is no text, that have no end tag, and that end the open one of their kind.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = "script|style|noscript|template|iframe|textarea|svg|title|math"
+RAW = "script|style|noscript|template|iframe|textarea|svg|title"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select div section article aside nav".split())
@@ -32,7 +32,7 @@ SCOPE = frozenset("ul ol dl table select div section article aside nav".split())
 #: The rest of a tag: quoted values of any length are skipped whole, and nothing is tried twice.
 _ATTRS = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>]){_ATTRS}(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])(?:{_ATTRS}>|[^>]*>).*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>]){_ATTRS}(?<=/)>|<(?P<raw>{RAW})(?=[\s/>])(?:{_ATTRS}>|[^>]*>).*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_ATTRS})>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
@@ -60,7 +60,7 @@ def leaves(page: str) -> list[tuple[list[int], str, float]]:
             text = "".join(held)
             held.clear()
             text = " ".join((entities.unescape(text) if "&" in text else text).split())
-            if text and not any(tag == "head" for tag, _ in stack):
+            if text:
                 out.append(([t for _, ts in stack for t in ts], text, min(1.0, linked / len(text))))
         linked = 0
 
@@ -86,8 +86,6 @@ def leaves(page: str) -> list[tuple[list[int], str, float]]:
                         del stack[k:]
                         break
             else:
-                if tag == "body":
-                    stack[:] = [x for x in stack if x[0] != "head"]
                 while stack and tag in ENDS.get(stack[-1][0], ()):
                     stack.pop()
                 if tag in ("li", "dt", "dd", "td", "th", "tr"):
@@ -97,7 +95,8 @@ def leaves(page: str) -> list[tuple[list[int], str, float]]:
                             break
                         if stack[k][0] in SCOPE:
                             break
-                if tag not in VOID:
+                # a head holds no text of its own: what stands in it, closed or not, belongs to the body
+                if tag not in VOID and tag != "head":
                     stack.append((tag, _tokens(tag, m["attrs"] or m["attrs2"] or "")))
     if at < len(page):
         held.append(page[at:])
@@ -149,8 +148,27 @@ class Labeller:
         x[:, 2 * WIDTH + 4] = 1
         return x, (path, path_of, word, word_of, count)
 
+    def logits(self, x: np.ndarray, mask: np.ndarray, steps: int = 4096) -> np.ndarray:
+        """Logits for padded input (time, page, feature). Besides these and the input only the states of ``steps`` blocks are held, however long a page is."""
+        z = x @ self.p["skip"] + self.p["bias"]
+        starts = range(0, len(x), steps)
+        for k, d in enumerate("fb"):
+            h = np.zeros((x.shape[1], HIDDEN), np.float32)
+            c = np.zeros_like(h)
+            out = self.p["out"][k * HIDDEN : (k + 1) * HIDDEN]
+            for a in starts if d == "f" else reversed(starts):
+                zx = x[a : a + steps] @ self.p[f"x{d}"] + self.p[f"b{d}"]
+                for t in range(len(zx)) if d == "f" else range(len(zx) - 1, -1, -1):
+                    v = zx[t] + h @ self.p[f"h{d}"]
+                    s = 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+                    m = mask[a + t][:, None]
+                    new = np.where(m, s[:, HIDDEN : 2 * HIDDEN] * c + s[:, :HIDDEN] * np.tanh(v[:, 2 * HIDDEN : 3 * HIDDEN]), c)
+                    h, c = np.where(m, s[:, 3 * HIDDEN :] * np.tanh(new), h), new
+                    z[a + t] += h @ out
+        return z
+
     def run(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, dict]:
-        """Logits for padded input (time, page, feature), and the states."""
+        """Logits for padded input (time, page, feature), and the states, which the gradient needs."""
         kept: dict = {}
         both = []
         for d in "fb":
@@ -226,7 +244,7 @@ class Labeller:
             time, page, mask = self.padded(lengths)
             padded = np.zeros((*mask.shape, x.shape[1]), np.float32)
             padded[time, page] = x
-            z, _ = self.run(padded, mask)
+            z = self.logits(padded, mask)
             p = 1 / (1 + np.exp(-z[time, page]))
             for i, s in zip(own, np.split(p, np.cumsum(lengths)[:-1]), strict=True):
                 out[i] = s
@@ -307,7 +325,7 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[int]]:
         return text.replace(" ", " &amp; ", 1) if maybe(0.1) else text
 
     def block(tag: str, text: str, label: int, close: bool = True, attrs: str = "") -> None:
-        inner = f"<b>{text}" if maybe(0.08) else f"{text[: len(text) // 2]}<em>{text[len(text) // 2 :]}</em>" if maybe(0.05) and "&" not in text else text
+        inner = f"<{pick(('b', 'i', 'span', 'strong', 'font', 'u'))}>{text}" if maybe(0.08) else f"{text[: len(text) // 2]}<em>{text[len(text) // 2 :]}</em>" if maybe(0.05) and "&" not in text else text
         parts.append(f"<{tag}{attrs}>{inner}" + (f"</{tag}>" if close else ""))
         labels.append(label)
 
@@ -356,7 +374,15 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[int]]:
                 block(pick(("p", "div")), said("menu" if kind == "head" else kind, 2, 50), 0)
         parts.append(end)
 
-    parts.append(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{prose(3, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
+    if maybe(0.8):
+        parts.append(pick(("<!DOCTYPE html>", "<!doctype html>\n", "")) + pick((f'<html lang="{word()[:2]}">', "<html>", '<html class="no-js">')))
+    if maybe(0.85):
+        parts.append("<head>")
+        for _ in range(int(rng.integers(0, 4))):
+            parts.append(pick(("<title>{}</title>", "<style>.{}{{color:red}}</style>", '<meta name="description" content="{}">', "<script>let {0}=1;</script>", '<link rel="stylesheet" href="/{}.css">')).format(word()))
+        parts.append(pick(("</head>", "</head>", "")))
+    if maybe(0.8):
+        parts.append(pick(("<body>", "<body>", f'<body class="{word()}">')))
     wrapper = opened("div", "main", False) if maybe(0.3) else ""
     for kind in ("head", "menu", "notice", "ad", "menu"):
         if maybe(0.5):
