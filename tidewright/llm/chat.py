@@ -55,8 +55,8 @@ def format_chat(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
 
     ``formatted`` is the text; ``loss`` has, for each turn of ``loss_role``, (turn, start, length): the code points of its content,
     counted from its turn marker; ``attachments`` has (position, turn, type, ref, tokens) in order of their placeholders, and
-    ``attachment_tokens`` their sum. Null parts and roles are empty, a null size counts as one unit; rows of equal turn follow
-    in order of role and content and repeated rows each make a turn; null conversations are one conversation. Other columns are ignored. A conversation is one
+    ``attachment_tokens`` their sum. Null parts and roles are empty, a null size counts as one unit; a null turn comes last, rows of equal turn follow
+    in order of role and content, and repeated rows each make a turn; null conversations are one conversation. Other columns are ignored. A conversation is one
     value, and so is one row in one task; nothing else is gathered.
     """
     parts = F.coalesce(F.col("parts").cast(PARTS), F.array().cast(PARTS))
@@ -66,7 +66,7 @@ def format_chat(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
     attached = F.filter("parts", lambda p: p["type"].isin(*PLACEHOLDER))
     tokens = lambda p: F.ceil(F.coalesce(p["size"], F.lit(1.0)) * _by_type(p["type"], TOKENS_PER_UNIT, F.lit(0.0)))
     held = F.transform(attached, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), tokens(p).cast("long").alias("tokens")))
-    rows = rows.select("conv_id", F.struct("turn", "role", content.alias("content"), held.alias("held")).alias("t"))
+    rows = rows.select("conv_id", F.struct(F.col("turn").isNull().alias("unnumbered"), "turn", "role", content.alias("content"), held.alias("held")).alias("t"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     head = lambda t: F.concat(F.lit(TURN), F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
     spans = F.transform("t", lambda t, i: F.struct(i.alias("turn"), F.length(head(t)).cast("long").alias("start"), F.length(t["content"]).cast("long").alias("length"), t["role"].alias("role")))
