@@ -2,8 +2,10 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from tests.llm.conftest import prose
-from tidewright.llm import jaccard, linededup, mixing
+from tidewright.llm import jaccard, linededup, mixing, textnum
 
 
 def brute(docs):
@@ -64,14 +66,61 @@ def test_one_document_of_each_class_stays(spark):
     assert kept == {c for _, c, _ in brute(docs)}
 
 
-def test_prefix_is_the_longest_that_meets_the_recall():
+def test_floor_is_the_longest_prefix_that_meets_the_recall_at_the_threshold():
     p = jaccard.prefix_length()
     missed = lambda p: (1 - 0.8**p) ** jaccard.TREES
     assert missed(p) <= 1 - jaccard.RECALL < missed(p + 1)
 
 
+def test_neighbours_are_those_of_the_sorted_tries(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SORTED_ROWS", 37)  # many tasks, whose edges must meet
+    column = pa.array([t for _, t in near_copies(4, 6, 12)])
+    rows = []
+    for _, _, buf, at in textnum.slices(column):
+        key, first = jaccard.shingle_sets(buf, at)
+        strings, bits = jaccard.signatures(key, first)
+        rows += [(n, s.tobytes()) for n, s in zip(jaccard.set_names(key, first), strings, strict=True)]
+    rows = list(dict(rows).items())
+    want = {}
+    for tree in range(jaccard.TREES):
+        sort = sorted((s[tree * 2 * jaccard.LONGEST : (tree + 1) * 2 * jaccard.LONGEST], n) for n, s in rows)
+        for (s, a), (t, b) in zip(sort, sort[1:], strict=False):
+            shared = next((k for k in range(jaccard.LONGEST) if s[2 * k : 2 * k + 2] != t[2 * k : 2 * k + 2]), jaccard.LONGEST)
+            if shared >= 5:
+                want[min(a, b), max(a, b)] = max(shared, want.get((min(a, b), max(a, b)), 0))
+    got = jaccard.neighbours(spark.createDataFrame(rows, "node binary, strings binary"), 5).collect()
+    assert {(bytes(r.a), bytes(r.b)): r.shared for r in got} == want and want
+
+
+def test_prefixes_are_shortened_by_the_partners_met(spark):
+    near, far = [-1] * (jaccard.SKETCH - 1) + [-1 ^ (1 << 20) - 1], [0] * jaccard.SKETCH  # agreement 0.92, similarity 0.84
+    nodes = spark.createDataFrame([(b"a", [-1] * jaccard.SKETCH), (b"b", [-1] * jaccard.SKETCH), (b"c", near), (b"d", far)], "node binary, sketch array<long>")
+    pairs = spark.createDataFrame([(b"a", b"b", 10), (b"a", b"c", 9), (b"b", b"d", 7), (b"c", b"d", 7)], "a binary, b binary, shared int")
+    got = {(bytes(r.a), bytes(r.b)) for r in jaccard.shortened(pairs, nodes, 7).collect()}
+    # b has met only its equal: it stays at the longest prefix; c comes down to what its similarity asks for; pairs with d are no partners
+    assert got == {(b"a", b"b"), (b"a", b"c"), (b"b", b"d"), (b"c", b"d")}
+    alone = spark.createDataFrame([(b"a", b"b", 8)], "a binary, b binary, shared int")
+    assert jaccard.shortened(alone, nodes, 7).count() == 0  # equals are sure to share ten levels elsewhere
+
+
+def test_null_ids_and_repeated_ids_stay_linear(spark):
+    docs = near_copies(9, 1, 1500)
+    docs = [(None if k % 3 else 5, t) for k, t in docs]
+    got = jaccard.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == brute(docs)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    rng = random.Random(11)
+    shared, tails = prose(rng, 80), [prose(rng, 40) for _ in range(3)]
+    docs = [(1, shared + "\n" + tails[0]), (1, shared + "\n" + tails[1]), (2, shared + "\n" + tails[2])]
+    got = sorted(linededup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect(), key=lambda r: (r.doc_id, r.n_removed))
+    assert [r.n_removed > 0 for r in got] == [False, True, True]
+    assert got[1].n_removed == got[2].n_removed
+
+
 def lines_of(text):
-    return re.findall(linededup.LINE, text or "")
+    return re.findall(linededup.LINE.replace(r"\z", r"\Z"), text or "")
 
 
 def test_later_windows_go_and_first_ones_stay(spark):
@@ -116,6 +165,32 @@ def test_mix_meets_targets(spark, odd):
         assert abs(took - target) <= 64 + 0.02 * target
 
 
+def test_shards_hold_the_words_that_are_taken(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    got = mixing.shards(docs).collect()
+    assert sum(len(re.findall(mixing.WORDS, r.text)) for r in got) == sum(r.taken for r in mixing.taken(docs).collect())
+    places = [(r.shard, r.position) for r in got]
+    assert len(set(places)) == len(places) and max(len(re.findall(mixing.WORDS, r.text)) for r in got) == mixing.BLOCK
+    long = next(r.text for r in docs.collect() if r.doc_id == 11)
+    words = re.findall(mixing.WORDS, long)
+    assert any(r.text == " ".join(words[k : k + mixing.BLOCK]) for r in got if r.key == "vb" for k in range(0, 40_000, 1) if r.text.startswith(words[k]))
+
+
+def test_shards_draw_their_sources(spark):
+    weights = {"a": 40_000, "b": 9_000, "c": 500, "d": 3, "e": 0}
+    start, rows = 0, []
+    for key, m in weights.items():
+        rows.append((key, m, start))
+        start += m
+    counted = spark.createDataFrame(rows, "key string, m long, start long")
+    got = Counter((r.id // 1000, r.key) for r in mixing.drawn(counted, start, 1000).collect())
+    assert sum(got.values()) == start and not [k for _, k in got if k == "e"]
+    for s in range(start // 1000):  # each shard is a draw of its own
+        assert sum(n for (t, _), n in got.items() if t == s) == 1000
+        assert abs(got[s, "b"] - 1000 * 9_000 / start) < 5 * (1000 * 0.18 * 0.82) ** 0.5
+    assert len({got[s, "b"] for s in range(start // 1000)}) > 10
+
+
 def test_targets_reshare_what_is_above_the_cap(spark):
     sizes = {"a": 10, "b": 100, "c": 1000, None: 50, "d": 400}
     df = spark.createDataFrame([(f"k{s}", s, n) for s, n in sizes.items()], "key string, source string, source_size long")

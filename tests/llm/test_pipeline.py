@@ -48,8 +48,8 @@ def test_passages_go_wherever_they_begin(spark, sf):
         assert (got[i] == text) if i % 100 == 0 else left < 60, i
 
 
-def test_phrases_join_to_the_text(spark):
-    texts = ["a\x01b \x02 c\x02a \x01\x01, d\x02b e\n\n f.  g! ", "", " \n", "one", "é " * 50, None]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", linededup.phrases("t").alias("p")).collect()
+def test_lines_join_to_the_text(spark):
+    texts = ["a\x01b \x02 c\x02a, d\x02b e\n\n f.  g! ", "", " \n", "one", "é " * 50, "x" * 100_000 + " y" * 30, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", linededup.lines("t").alias("p")).collect()
     assert [r.p and "".join(r.p) for r in rows if r.t and r.t.strip()] == [t.lstrip() for t in texts if t and t.strip()]
     assert rows[-1].p is None

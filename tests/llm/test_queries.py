@@ -15,6 +15,23 @@ def test_odd_rows_match_sql(spark, odd, name):
     same(q.QUERIES[name](spark, odd), q.ORACLE_SQL[name], odd)
 
 
+def test_odd_documents_lose_lines_as_in_sql(spark, odd):
+    same(q.QUERIES["op3_line_dedup"](spark, odd), q.ORACLE_SQL["op3_line_dedup"], odd)
+
+
+def test_odd_pages_match_sql(spark, tmp_path):
+    big = "<p>" + "ä" * 200
+    rows = [(1, "a", big, 1), (1, "a", big, 2), (None, None, big, 3), (2, "b\r\nc", None, 4), (3, "", "", 5), (4, "x", big, 6), (4, "y", "other" * 30, 7), (0, "z", "x" * 200_000, 8)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, digest long").write.parquet(f"{tmp_path}/pages.parquet")
+    same(q.QUERIES["op2_warc"](spark, str(tmp_path)), q.ORACLE_SQL["op2_warc"], str(tmp_path))
+
+
+def test_odd_conversations_match_sql(spark, tmp_path):
+    rows = [(1, 0, "user", "a", 1), (1, 0, "user", "a", 1), (1, 1, "assistant", None, 2), (2, None, None, "<|end|>\\l[", 3), (2, 1, "assistant", "é" * 50_000, 4), (3, 1, "assistant", "", 5), (3, 1, "user", "b", 6)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, loss long").write.parquet(f"{tmp_path}/conversations.parquet")
+    same(q.QUERIES["op6_chat_format"](spark, str(tmp_path)), q.ORACLE_SQL["op6_chat_format"], str(tmp_path))
+
+
 @pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 11)])
 def test_every_operator_is_registered(name):
     assert len([x for x in q.QUERIES if x.startswith(name)]) == 1

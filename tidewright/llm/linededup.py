@@ -1,94 +1,93 @@
 """Line deduplication over overlapping three-line windows, with DataFrame functions only.
 
-A line ends at a newline, or after a word that ends in ``.``, ``!`` or ``?`` once it has ``LEAST_WORDS`` words, and holds ``LINE_WORDS``
-words at most, so that prose without newlines has lines too. Every three consecutive lines of a text are hashed (128 bits). Of a window that occurs more than
-once anywhere, all but the first occurrence (smallest id, then smallest place) are removed; overlapping windows merge.
+Prose has few newlines, so a line ends where the words alone decide, and a passage is cut alike wherever it stands: at a newline; after a word that
+ends a clause (``.!?,;:``), where the two before it end none; and after a word of 7, 10, 13 … characters, where the one before it has another length.
+LINE_WORDS words without any of these end one too, counted from the end before. Every three consecutive lines of a text are hashed (128 bits). Of a window that
+occurs more than once anywhere, all but the first occurrence (smallest id, then smallest place) are removed; overlapping windows merge.
+
+All windows are shuffled and sorted once, by their hash; what follows an equal one is a later occurrence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.operators.skew import split_join
+from tidewright.operators.skew import HOT_SHARE
 from tidewright.session import materialise
 
 WINDOW = 3
-LEAST_WORDS, LINE_WORDS = 4, 20
-#: Windows of fewer characters never count: a few short words recur by chance.
-MIN_CHARS = 40
-#: A line, and the white space after it. Java and RE2 read it alike.
-LINE = rf"(?:[^ \t-\r]+[ \t\x0B-\r]+){{0,{LEAST_WORDS - 1}}}(?:[^ \t-\r]*[^ \t-\r.!?][ \t\x0B-\r]+){{0,{LINE_WORDS - LEAST_WORDS}}}[^ \t-\r]+"
-LINE_AND_SPACE = LINE + r"[ \t-\r]*"
+MARKS, LINE_WORDS = ".!?,;:", 20
 BLANKS = " \t\n\x0b\x0c\r"
-#: Of phrases: last characters of a word that ends a sentence, and what the hash of a word is divided by.
-STOPS, CUT_HASH = ".!?", 11
-#: Follows the word that ends a phrase, until they are cut. A MARK of the text itself is written otherwise meanwhile.
-MARK = "\x01"
-PHRASE = rf"(?:[^ \t-\r\x01]+[ \t\x0B-\r]+){{0,{LINE_WORDS - 1}}}[^ \t-\r\x01]+[ \t-\r]*\x01?"
+_C, _GAP, _AFTER = r"[^ \t-\r]", r"[ \t\x0B-\r]+", r"[ \t-\r]"
+_CLAUSE = rf"(?:{_C}*[^ \t-\r{MARKS}]{_GAP}){{2}}{_C}*[{MARKS}]"
+_LENGTH = rf"(?:{_C}{{1,6}}|{_C}{{8,9}}(?:{_C}{{3}})*){_GAP}{_C}{{7}}(?:{_C}{{3}})*"
+#: A line and the white space after it. Java and RE2 read it alike: up to the earliest ending word, else as many words as may be.
+LINE = rf"(?:{_C}+{_GAP}){{0,{LINE_WORDS - 2}}}?(?:{_CLAUSE}|{_LENGTH})(?:{_AFTER}+|\z)|(?:{_C}+{_GAP}){{0,{LINE_WORDS - 1}}}{_C}+{_AFTER}*"
+#: Documents that are looked at, about, to find the windows which so many hold that they are dealt over SALTS tasks. They decide where rows go, not which.
+PROBED, SALTS = 5_000, 64
+
 
+def lines(text: str) -> Column:
+    """The lines of a text, each with the white space after it."""
+    return F.regexp_extract_all(F.col(text), F.lit(LINE), F.lit(0))
 
-def _lines(text: str) -> F.Column:
-    return F.regexp_extract_all(F.col(text), F.lit(LINE_AND_SPACE), F.lit(0))
 
+def windows(docs: DataFrame, order: str, key: str, text: str) -> DataFrame:
+    """(o, k, pos, a, b): each window of each text, with the 128-bit hash (a, b) of its lines without the white space after them."""
+    trimmed = lambda x: F.rtrim(x, F.lit(BLANKS))
+    hashed = F.transform(lines(text), lambda x: F.struct(F.xxhash64(trimmed(x)).alias("a"), F.xxhash64(F.lit("b"), trimmed(x)).alias("b")))
+    rows = docs.select(F.col(order).alias("o"), F.col(key).alias("k"), hashed.alias("h"))
+    places = F.when(F.size("h") >= WINDOW, F.sequence(F.lit(0), F.size("h") - WINDOW)).otherwise(F.array().cast("array<int>"))
+    of = lambda i, part: F.xxhash64(*[F.get("h", i + k)[part] for k in range(WINDOW)])
+    whole = F.transform(places, lambda i: F.struct(i.alias("pos"), of(i, "a").alias("a"), of(i, "b").alias("b")))
+    return rows.select("o", "k", F.inline(whole))
 
-def phrases(text: str) -> F.Column:
-    """Lines whose ends the words alone decide, so that a passage is cut alike wherever it begins.
 
-    A line ends at a newline, after a word that ends a sentence where the word before does not (shouted words, each with its marks, would
-    make lines too short to count), and after a word whose hash is divisible by ``CUT_HASH``.
-    ``LINE_WORDS`` words without any of these end one too, counted from the end before.
+def later(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """(o, k, pos): the windows that occurred before.
+
+    Ranks run within (a, b). A window in ``hot`` is dealt over SALTS tasks, ranked in each, and the first ones of these meet once more. Windows that share
+    (o, k, pos) are one occurrence.
     """
-    held = F.replace(F.replace(F.col(text), F.lit("\x02"), F.lit("\x02b")), F.lit(MARK), F.lit("\x02a"))
-    word = lambda x: F.rtrim(x, F.lit(BLANKS))
-    stops = lambda x: F.coalesce(F.substring(word(x), -1, 1).isin(*STOPS), F.lit(False))
-    words = F.regexp_extract_all(held, F.lit(r"[^ \t-\r]+[ \t-\r]*"), F.lit(0))
-    ends = lambda x, before: (F.pmod(F.xxhash64(word(x)), F.lit(CUT_HASH)) == 0) | (stops(x) & ~stops(before))
-    marked = F.concat_ws("", F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda x, before: F.when(ends(x, before), F.concat(x, F.lit(MARK))).otherwise(x)))
-    back = lambda x: F.replace(F.replace(F.replace(x, F.lit(MARK), F.lit("")), F.lit("\x02a"), F.lit(MARK)), F.lit("\x02b"), F.lit("\x02"))
-    return F.when(F.col(text).isNotNull(), F.transform(F.regexp_extract_all(marked, F.lit(PHRASE), F.lit(0)), back))
-
-
-def windows(docs: DataFrame, key: str, order: str, text: str, min_chars: int = MIN_CHARS, cut: Callable[[str], F.Column] = _lines) -> DataFrame:
-    """(k, o, pos, a, b): each window of each text, cut into lines by ``cut``, with the 128-bit hash (a, b) of its lines."""
-    lines = docs.select(F.col(key).alias("k"), F.col(order).alias("o"), F.transform(cut(text), lambda x: F.rtrim(x, F.lit(BLANKS))).alias("p"))
-    places = F.when(F.size("p") >= WINDOW, F.sequence(F.lit(0), F.size("p") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    whole = F.transform(
-        F.filter(F.transform(places, lambda i: F.struct(i.alias("pos"), F.slice("p", i + 1, WINDOW).alias("w"))), lambda x: F.length(F.concat_ws("", x["w"])) >= min_chars),
-        lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["w"]).alias("a"), F.xxhash64(F.lit("b"), x["w"]).alias("b")),
-    )
-    return lines.select("k", "o", F.inline(whole))
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, cut: Callable[[str], F.Column] = _lines) -> DataFrame:
+    order = ("o", "k", "pos")
+    held = found.join(F.broadcast(hot.select("a", "b", F.lit(True).alias("hot"))), ["a", "b"], "left")
+    dealt = held.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("k", "pos"), F.lit(SALTS))).otherwise(0))
+    ranked = dealt.withColumn("nth", F.rank().over(Window.partitionBy("a", "b", "salt").orderBy(*order))).where("nth > 1 OR hot")
+    again = F.col("hot").isNotNull() & (F.col("nth") == 1)
+    # what is known to be later meets nothing: its own place is its key
+    second = Window.partitionBy(F.when(again, F.col("a")).otherwise(F.col("k")), F.when(again, F.col("b")).otherwise(F.col("pos")), again).orderBy(*order)
+    return ranked.withColumn("again", F.rank().over(second)).where(~again | (F.col("again") > 1)).select(*order)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with later occurrences of repeated windows removed from ``text``, plus ``n_lines`` and ``n_removed`` (long).
 
     Where lines go, the text before them ends with a newline; a text that loses nothing stays as it is, byte by byte. A null text
     stays null and has no lines; texts of fewer than three lines stay. Rows that share an id and a text are the same occurrence and
-    are cut alike; a null id comes first. Columns named n_lines and n_removed are replaced. No group of rows of a common window is
-    gathered: windows are counted with partial sums, and the split join keeps rows of hot windows where they are.
+    are cut alike; of rows that share an id and differ in text, one comes first, by a hash of the text; a null id comes first. Columns named n_lines and
+    n_removed are replaced. No group of rows of a common window is gathered.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("r"), F.xxhash64(f"`{id_col}`", f"`{text}`").alias("k"), F.col(f"`{id_col}`").alias("o"), F.col(f"`{text}`").alias("t"))
-    found = materialise(windows(source, "k", "o", "t", min_chars, cut), "windows")
-    first = F.min(F.struct("o", "pos")).alias("first")
-    repeated = materialise(found.groupBy("a", "b").agg(F.count("*").alias("n"), first).where("n > 1"), "repeated")
-    rows = repeated.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    later = split_join(found, repeated, ["a", "b"], "n", rows).where(~F.struct("o", "pos").eqNullSafe(F.col("first")))
-    lost = later.groupBy("k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    lost = lost.select("k", F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + WINDOW - 1)))).alias("gone"))
-    lined = source.join(lost.hint("shuffle_hash"), "k", "left").select("r", "t", cut("t").alias("p"), "gone")
-    every = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.size("p") - 1)).otherwise(F.array().cast("array<int>"))
-    kept = lined.select("r", "t", "p", "gone", F.when(F.col("gone").isNotNull(), F.array_except(every, F.col("gone"))).alias("kept"))
-
-    def written(i: F.Column, j: F.Column) -> F.Column:
-        whole = F.element_at("p", i + 1)
-        follows = F.get("kept", j + 1)
-        return F.when(follows == i + 1, whole).when(follows.isNull() & (i == F.size("p") - 1), whole).when(follows.isNull(), F.rtrim(whole, F.lit(BLANKS))).otherwise(F.concat(F.rtrim(whole, F.lit(BLANKS)), F.lit("\n")))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("r"), F.col(f"`{id_col}`").alias("o"), F.xxhash64(f"`{text}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))
+    found = windows(source, "o", "k", "t")
+    share = min(1.0, PROBED / max(1, docs.count()))
+    probed = materialise(windows(source.sample(share, 7), "o", "k", "t").groupBy("a", "b").agg(F.count("*").alias("n")), "probed")
+    total = probed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = probed.where(F.col("n") >= max(8, int(total * HOT_SHARE))).select("a", "b")
+    lost = later(found, hot).groupBy("o", "k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    lost = lost.select(F.col("o").alias("__o"), F.col("k").alias("__k"), F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + WINDOW - 1)))).alias("gone"))
+    cut = source.join(lost.hint("shuffle_hash"), F.col("o").eqNullSafe(F.col("__o")) & (F.col("k") == F.col("__k")), "left")
+    cut = cut.select("r", "t", "gone", F.when(F.col("gone").isNotNull(), lines("t")).alias("p"))
+    every = F.when(F.size("p") > 0, F.sequence(F.lit(0), F.size("p") - 1))
+    kept = cut.select("r", "t", "p", "gone", F.when(F.col("gone").isNotNull(), F.array_except(every, F.col("gone"))).alias("kept"))
+
+    def written(i: Column, j: Column) -> Column:
+        whole, follows = F.element_at("p", i + 1), F.get("kept", j + 1)
+        bare = F.rtrim(whole, F.lit(BLANKS))
+        return F.when(follows == i + 1, whole).when(follows.isNull() & (i == F.size("p") - 1), whole).when(follows.isNull(), bare).otherwise(F.concat(bare, F.lit("\n")))
 
     new = F.when(F.col("kept").isNull(), F.col("t")).otherwise(F.concat_ws("", F.transform("kept", written)))
     out = [new.alias(c) if c == text else F.col(f"r.`{c}`").alias(c) for c in own]
-    n_lines = F.when(F.col("t").isNull(), 0).otherwise(F.size("p")).cast("long")
+    n_lines = F.coalesce(F.regexp_count("t", F.lit(LINE)), F.lit(0)).cast("long")
     return kept.select(*out, n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
