@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later occurrences of repeated windows of three phrases; n_chars counts the new text."""
-    cut = linededup.line_dedup(docs, cut=linededup.phrases).select(docs.columns)
+    """All documents, without later occurrences of repeated windows of three lines; n_chars counts the new text."""
+    cut = linededup.line_dedup(docs).select(docs.columns)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
