@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tidewright.operators import kernels as k
 from tidewright.operators import risk
@@ -170,3 +171,41 @@ def test_selections():
     w = risk.minimax([c, other])
     worst = lambda w: max(w @ c @ w, w @ other @ w)
     assert worst(w) <= min(worst(risk.minimum_variance(c)), worst(risk.minimum_variance(other))) * 1.05
+
+
+def test_greedy_selection_stops_where_little_is_gained():
+    corr = np.full((4, 4), 0.999)
+    np.fill_diagonal(corr, 1)
+    assert risk.greedy_selection(corr) == [0]
+    corr[3, :3] = corr[:3, 3] = 0.0
+    assert risk.greedy_selection(corr) == [0, 3]
+
+
+def test_partition_by_silhouette_finds_blocks():
+    block = np.full((9, 9), 0.05)
+    for a in (0, 3, 6):
+        block[a : a + 3, a : a + 3] = 0.8
+    np.fill_diagonal(block, 1)
+    assert sorted(map(sorted, risk.best_partition(block))) == [[0, 1, 2], [3, 4, 5], [6, 7, 8]]
+    w = risk.nested_clusters(block)
+    assert np.allclose(w, 1 / 9, atol=1e-6)
+
+
+def test_equal_risk_raises_where_it_is_not_reached():
+    with pytest.raises(ArithmeticError):
+        risk.equal_risk(covariance(), rounds=1)
+
+
+def test_stream_rules():
+    c = np.concatenate([np.linspace(100, 150, 80), np.linspace(150, 90, 80)])
+    rules = k.stream_rules(c + 0.5, c - 0.5, c, 20)
+    assert set(rules) == {"average", "channel", "return"}
+    for name, sign in rules.items():
+        assert sign[70] == 1 and sign[150] == -1, name
+
+
+def test_kama_state_turns_with_the_trend():
+    rng = np.random.default_rng(3)
+    p = 100 + np.concatenate([np.arange(80.0), 80 - np.arange(80.0)]) + rng.normal(size=160) * 0.1
+    assert k.kama_state(p)[70] == 1 and k.kama_state(p)[150] == -1
+    assert k.kama_state(p, None)[70] == 1 and set(k.kama_state(p)[:20]) == {0.0}

@@ -24,6 +24,15 @@ def envelopes(score: Column) -> dict[str, Column]:
     return {"sign": F.signum(score), "clip": F.least(F.greatest(score, F.lit(-1.0)), F.lit(1.0)), "tanh": F.tanh(score)}
 
 
+def excess_index(panel: DataFrame) -> DataFrame:
+    """Index of the daily return less the rate ``rf``, from the first close on, with high and low scaled alike (asset, date, index, high, low)."""
+    w = by_asset()
+    r = F.col("close") / F.lag("close").over(w) - 1 - F.col("rf")
+    x = panel.withColumn("step", F.ln(1 + F.coalesce(r, F.lit(0.0)))).withColumn("index", F.first("close").over(upto(w)) * F.exp(F.sum("step").over(upto(w))))
+    scale = F.col("index") / F.col("close")
+    return x.select("asset", "date", "index", (F.col("high") * scale).alias("high"), (F.col("low") * scale).alias("low"))
+
+
 def contributions(weights: DataFrame, cost: float = 0.0005, borrow: float = 0.02) -> DataFrame:
     """By asset and day: the weight held (yesterday's), gross return, turnover, cost, borrowing and net. Null weights are 0; the first row trades nothing."""
     w = by_asset()

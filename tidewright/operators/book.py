@@ -6,13 +6,14 @@ moments. Where every update counts, days are folded apart, each from the book at
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.windows import divide
+from tidewright.operators.asof import asof
 
 DAY = 86_400_000
 
@@ -79,30 +80,80 @@ def walk(levels: DataFrame, size: float, side: int = -1) -> DataFrame:
     return sums.select("moment", price.alias("price"), F.when(enough, F.col("w") * -side).alias("worst"), (F.abs(price - F.col("b") * -side)).alias("cost"))
 
 
-STATES = "ts_ms long, u long, bid long, ask long, q_bid double, q_ask double, q_bid5 double, q_ask5 double"
+#: Length of the spans that are folded apart.
+SPAN = 3_600_000
+LEVELS = "ts_ms long, u long, bid array<long>, bid_size array<double>, ask array<long>, ask_size array<double>"
 
 
-def _fold(parts: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-    pdf = parts.sort_values(["k", "u"])
-    book: dict[int, dict[int, float]] = {1: {}, -1: {}}
+def _fold(pdf: pd.DataFrame, best: int) -> pd.DataFrame:
+    """Best levels after each change of a span, whose opening levels have k = 0. Levels stay sorted: a change costs a search, not a sort."""
+    pdf = pdf.sort_values(["k", "u"])
+    keys: dict[int, list[int]] = {1: [], -1: []}  # the best first: minus the tick for bids
+    sizes: dict[int, dict[int, float]] = {1: {}, -1: {}}
     out = []
     for k, ts, u, side, tick, size in zip(pdf.k, pdf.ts_ms, pdf.u, pdf.side, pdf.tick, pdf["size"], strict=True):
+        at, held, key = keys[side], sizes[side], -side * tick
         if size > 0:
-            book[side][tick] = size
-        else:
-            book[side].pop(tick, None)
+            if key not in held:
+                bisect.insort(at, key)
+            held[key] = size
+        elif held.pop(key, None) is not None:
+            at.pop(bisect.bisect_left(at, key))
         if k == 1:
-            b, a = sorted(book[1], reverse=True)[:5], sorted(book[-1])[:5]
-            out.append((ts, u, b[0] if b else None, a[0] if a else None, book[1][b[0]] if b else None, book[-1][a[0]] if a else None, sum(book[1][t] for t in b) if b else None, sum(book[-1][t] for t in a) if a else None))
-    got = pd.DataFrame(out, columns=[c.split()[0] for c in STATES.split(", ")])
-    return got.astype({"bid": "Int64", "ask": "Int64"})
+            b, a = keys[1][:best], keys[-1][:best]
+            out.append((ts, u, [-x for x in b], [sizes[1][x] for x in b], a, [sizes[-1][x] for x in a]))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in LEVELS.split(", ")])
 
 
-def fold_states(deltas: DataFrame, ms: int = DAY) -> DataFrame:
-    """The book's state after every update. Buckets of ``ms`` are folded apart: each starts from the levels that hold at its start, so no group is longer than a bucket."""
+def fold_levels(deltas: DataFrame, best: int = 10, ms: int = SPAN) -> DataFrame:
+    """The ``best`` levels of both sides after every update, fewer where the book is thin. Spans of ``ms`` are folded apart: each starts from the levels
+    that hold at its start, so no group is longer than a span."""
     opening = checkpoints(deltas, ms).select((F.col("moment") / ms).cast("long").alias("bucket"), F.lit(0).alias("k"), F.col("moment").alias("ts_ms"), F.lit(0).cast("long").alias("u"), "side", "tick", "size")
     rows = deltas.select(F.floor(F.col("ts_ms") / ms).alias("bucket"), F.lit(1).alias("k"), "ts_ms", "u", "side", "tick", "size")
-    return rows.unionByName(opening).groupBy("bucket").applyInPandas(lambda pdf: _fold(pdf), STATES)
+    return rows.unionByName(opening).groupBy("bucket").applyInPandas(lambda pdf: _fold(pdf, best), LEVELS)
+
+
+def fold_states(deltas: DataFrame, ms: int = SPAN) -> DataFrame:
+    """The book's state after every update: best prices, their sizes, sizes of the best five; null where a side is empty."""
+    five = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda s, x: s + x))
+    first = lambda c: F.get(c, F.lit(0))
+    return fold_levels(deltas, 5, ms).select("ts_ms", "u", first("bid").alias("bid"), first("ask").alias("ask"), first("bid_size").alias("q_bid"), first("ask_size").alias("q_ask"), five("bid_size").alias("q_bid5"), five("ask_size").alias("q_ask5"))
+
+
+def level_flow(levels: DataFrame, ms: int, best: int = 10) -> DataFrame:
+    """(moment, level, ofi, n): order-flow imbalance at each of the ``best`` levels by bucket, between updates of one day at which both sides have them all."""
+    w = Window.partitionBy(F.floor(F.col("ts_ms") / DAY)).orderBy("u")
+    full = levels.where((F.size("bid") >= best) & (F.size("ask") >= best))
+    x = full.select("ts_ms", *[y for c in ("bid", "bid_size", "ask", "ask_size") for y in (c, F.lag(c).over(w).alias(f"p_{c}"))]).where("p_bid IS NOT NULL")
+
+    def change(i: Column) -> Column:
+        now, was = (lambda c: F.get(c, i)), (lambda c: F.get(f"p_{c}", i))
+        bid = F.when(now("bid") >= was("bid"), now("bid_size")).otherwise(0.0) - F.when(now("bid") <= was("bid"), was("bid_size")).otherwise(0.0)
+        ask = F.when(now("ask") <= was("ask"), now("ask_size")).otherwise(0.0) - F.when(now("ask") >= was("ask"), was("ask_size")).otherwise(0.0)
+        return bid - ask
+
+    each = x.select((F.floor(F.col("ts_ms") / ms) * ms).alias("moment"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(best - 1)), change)).alias("level", "e"))
+    return each.groupBy("moment", (F.col("level") + 1).cast("long").alias("level")).agg(F.sum("e").alias("ofi"), F.count("*").alias("n"))
+
+
+def hidden_flow(state: DataFrame, trades: DataFrame) -> DataFrame:
+    """By day: size traded, refilled within the same update (hidden), added and cancelled at an unchanged best bid. Trades are (ts_ms, tick, size).
+
+    Trades of a price are summed over time once, and every update looks its sum up as of its time; so what traded between two updates is a difference.
+    """
+    w = Window.partitionBy("day").orderBy("u")
+    x = state.where("bid IS NOT NULL").select(F.floor(F.col("ts_ms") / DAY).alias("day"), "u", "ts_ms", "bid", "q_bid")
+    day = F.floor(F.col("ts_ms") / DAY)
+    sums = trades.groupBy("tick", "ts_ms").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(Window.partitionBy("tick", day).orderBy("ts_ms")))
+    price = lambda c, t: F.concat_ws("/", c, F.floor(t / DAY))
+    known = sums.select(price(F.col("tick"), F.col("ts_ms")).alias("at"), "ts_ms", "upto")
+    asked = x.select("day", "u", "ts_ms", "q_bid", "bid", price(F.col("bid"), F.col("ts_ms")).alias("at"))
+    found = asof(asked, known, "at", "ts_ms", ["upto"]).withColumn("upto", F.coalesce("upto", F.lit(0.0)))
+    step = found.select("day", "bid", F.lag("bid").over(w).alias("before"), (F.col("q_bid") - F.lag("q_bid").over(w)).alias("dq"), (F.col("upto") - F.lag("upto").over(w)).alias("traded")).where("bid = before")
+    net = F.col("dq") + F.col("traded")
+    added = F.greatest(net, F.lit(0.0))
+    s = lambda c: F.sum(c)
+    return step.groupBy("day").agg(F.count("*").alias("n"), s("traded").alias("traded"), s(F.least(added, "traded")).alias("hidden"), s(added).alias("added"), s(F.greatest(-net, F.lit(0.0))).alias("cancelled"))
 
 
 def verify(deltas: DataFrame, snapshots: DataFrame, ms: int) -> DataFrame:

@@ -253,3 +253,48 @@ def crossing_flow(hours: DataFrame, fast: int = 6, slow: int = 24) -> DataFrame:
     x = x.select("symbol", F.pmod(F.expr("ts_ms div 3600000"), F.lit(24)).alias("hour"), F.lead("lots").over(w).alias("next"), (F.col("s") != F.lag("s").over(w)).alias("crossed")).where("next IS NOT NULL AND crossed IS NOT NULL")
     quiet = x.where("NOT crossed").groupBy("symbol", "hour").agg(F.avg("next").alias("base"))
     return x.where("crossed").join(quiet, ["symbol", "hour"]).groupBy("symbol").agg(F.avg(F.col("next") - F.col("base")).alias("excess"), F.count("*").alias("n"))
+
+
+def kyle_variants(tape: DataFrame, ms: int) -> DataFrame:
+    """By symbol: slope through the origin of a block's log return (in basis points) on the sum of signed roots of order values; and the slopes of the change
+    between trades on bought and sold lots, beside the change of the side (a spread), by least squares.
+
+    The three slopes solve normal equations of centred sums, written out, so one aggregation is all.
+    """
+    at = F.struct("ts_ms", "id")
+    s = side().cast("double")
+    blocks = tape.groupBy("symbol", F.floor(F.col("ts_ms") / ms).alias("b")).agg(F.sum(s * F.sqrt(F.col("lots") * F.col("tick") / 10.0)).alias("x"), (F.ln(F.max_by("tick", at).cast("double")) - F.ln(F.min_by("tick", at).cast("double"))).alias("r"))
+    root = blocks.groupBy("symbol").agg((1e4 * divide(F.sum(F.col("x") * F.col("r")), F.sum(F.col("x") * F.col("x")))).alias("root_value"))
+    w = Window.partitionBy("symbol", F.expr(f"ts_ms div {DAY}")).orderBy("ts_ms", "id")
+    q = s * F.col("lots")
+    t = tape.select("symbol", (F.col("tick") - F.lag("tick").over(w)).cast("double").alias("y"), F.greatest(q, F.lit(0.0)).alias("x1"), F.least(q, F.lit(0.0)).alias("x2"), (s - F.lag(s).over(w)).alias("x3")).where("y IS NOT NULL")
+    pair = lambda a, b: F.covar_pop(a, b).alias(f"{a}{b}")
+    names = ["x1", "x2", "x3"]
+    m = t.groupBy("symbol").agg(F.count("*").alias("n"), *[pair(a, b) for i, a in enumerate(names) for b in [*names[i:], "y"]])
+    c = lambda a, b: F.col(f"{min(a, b)}{max(a, b)}")
+
+    def det(cols: list) -> Column:
+        x, y, z = cols
+        return x[0] * (y[1] * z[2] - y[2] * z[1]) - y[0] * (x[1] * z[2] - x[2] * z[1]) + z[0] * (x[1] * y[2] - x[2] * y[1])
+
+    columns = [[c(a, b) for a in names] for b in [*names, "y"]]
+    slopes = [divide(det([columns[3] if k == j else columns[k] for k in range(3)]), det(columns[:3])).alias(name) for j, name in enumerate(("bought", "sold", "spread"))]
+    return root.join(m.select("symbol", "n", *slopes), "symbol")
+
+
+def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, control: str) -> DataFrame:
+    """Rank correlation of x and y by keys with the ranks of ``control`` held fixed."""
+    there = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(control).isNotNull())
+    ranked = there.select(*keys, *[average_ranks(there, keys, c).cast("double").alias(n) for c, n in ((x, "a"), (y, "b"), (control, "c"))])
+    r = ranked.groupBy(*keys).agg(F.corr("a", "b").alias("ab"), F.corr("a", "c").alias("ac"), F.corr("b", "c").alias("bc"), F.count("*").alias("n"))
+    left = (1 - F.col("ac") * F.col("ac")) * (1 - F.col("bc") * F.col("bc"))
+    return r.select(*keys, divide(F.col("ab") - F.col("ac") * F.col("bc"), F.sqrt(left)).alias("partial"), F.col("ab").alias("rho"), "n")
+
+
+def first_beyond(hours: DataFrame, split: Column) -> DataFrame:
+    """By symbol: the largest absolute change of an hour before ``split``, and the first hour from then on that exceeds it (ts_ms, move), null if none does."""
+    w = Window.partitionBy("symbol").orderBy("ts_ms")
+    moves = hours.select("symbol", "ts_ms", F.abs(F.col("tick") - F.lag("tick").over(w)).alias("move"), split.alias("split"))
+    most = moves.groupBy("symbol").agg(F.max(F.when(F.col("ts_ms") < F.col("split"), F.col("move"))).alias("largest"))
+    beyond = moves.join(most, "symbol").where("ts_ms >= split AND move > largest").groupBy("symbol").agg(F.min(F.struct("ts_ms", "move")).alias("f"))
+    return most.join(beyond, "symbol", "left").select("symbol", "largest", "f.ts_ms", "f.move")

@@ -132,6 +132,18 @@ def kama(p: np.ndarray, n: int = 10, fast: int = 2, slow: int = 30) -> np.ndarra
     return out
 
 
+def kama_state(p: np.ndarray, mult: float | None = 0.5, window: int = 20, n: int = 10) -> np.ndarray:
+    """Trend of Kaufman's average: the price against it, or (with ``mult``) up once it rises by more than that many deviations of its own last changes, down once it
+    falls by as much, else as before; 0 until then."""
+    k = kama(p, n)
+    if mult is None:
+        return np.nan_to_num(np.sign(p - k))
+    d = pd.Series(np.diff(k, prepend=np.nan))
+    edge = mult * d.rolling(window).std()
+    turn = np.sign(d).where(d.abs() > edge)
+    return turn.where(edge.notna()).ffill().fillna(0.0).to_numpy()
+
+
 def supertrend(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int = 10, k: float = 3.0) -> np.ndarray:  # noqa: E741
     """Ratcheting bands k ATR around (H + L) / 2; the trend turns when a close passes yesterday's band. Starts at +1."""
     a, mid = atr(h, l, c, n), (h + l) / 2
@@ -438,22 +450,37 @@ def branching(tape: DataFrame, decays: tuple[float, ...] = (1 / 600, 1 / 7200))
     return tape.withColumn("day", F.expr("ts_ms div 86400000")).groupBy("symbol", "day").applyInPandas(run, "symbol string, day long, mu double, branching double")
 
 
-def stream_factory(df: DataFrame, speeds: tuple[int, ...] = (10, 20, 60), target: float = 0.1, rate: float = 0.1) -> DataFrame:
-    """(asset, date, speed, position, gross, traded): sign of the past return times target over volatility, adjusted by ``rate`` a day; one group per asset and speed."""
-    schema = "asset string, date date, speed int, position double, gross double, traded double"
+#: Horizons in days of the stream factory.
+SPEEDS = (5, 10, 15, 20, 30, 40, 60, 90, 120, 160, 200, 250)
+
+
+def stream_rules(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int) -> dict[str, np.ndarray]:  # noqa: E741
+    """Signs of three rules at horizon n: two averages of the log price, a channel, the past return; NaN while too few rows are known."""
+    y = np.log(c)
+    average = np.sign(ema(y, 2 / (max(n // 4, 2) + 1), adjust=True, least=n) - ema(y, 2 / (n + 1), adjust=True, least=n))
+    past = np.full(len(c), np.nan)
+    past[n:] = np.sign(c[n:] / c[:-n] - 1) if len(c) > n else past[n:]
+    return {"average": average, "channel": donchian(h, l, c, n, max(n // 2, 2)), "return": past}
+
+
+def stream_factory(df: DataFrame, speeds: tuple[int, ...] = SPEEDS, target: float = 0.1, rate: float = 0.1) -> DataFrame:
+    """(asset, date, rule, speed, position, gross, traded): each rule's sign times target over volatility, adjusted by ``rate`` a day; one group per asset and speed."""
+    schema = "asset string, date date, rule string, speed int, position double, gross double, traded double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        c, n = pdf["close"].to_numpy(), int(pdf.speed.iloc[0])
+        h, l, c, n = pdf["high"].to_numpy(), pdf["low"].to_numpy(), pdf["close"].to_numpy(), int(pdf.speed.iloc[0])  # noqa: E741
         r = returns(c)
-        past = np.concatenate([np.full(min(n, len(c)), np.nan), np.sign(c[n:] / c[:-n] - 1)]) if len(c) > n else np.full(len(c), np.nan)
-        vol = pd.Series(r).rolling(20).std().to_numpy() * math.sqrt(252)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            pos = partial_adjustment(past * np.minimum(target / vol, 2), rate)
-        held = np.concatenate([[0.0], pos[:-1]])[: len(pos)]
-        return pd.DataFrame({"asset": pdf.asset, "date": pdf.date, "speed": n, "position": pos, "gross": held * np.nan_to_num(r), "traded": np.abs(np.diff(pos, prepend=0.0))})
-
-    spread = df.select("asset", "date", "close", F.explode(F.array(*map(F.lit, speeds))).alias("speed"))
+        vol = np.sqrt(pd.Series(r * r).ewm(span=n, min_periods=min(n, 60)).mean().to_numpy() * 252)
+        out = []
+        for rule, sign in stream_rules(h, l, c, n).items():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                pos = partial_adjustment(sign * target / vol, rate)
+            held = np.concatenate([[0.0], pos[:-1]])[: len(pos)]
+            out.append(pd.DataFrame({"asset": pdf.asset, "date": pdf.date, "rule": rule, "speed": n, "position": pos, "gross": held * np.nan_to_num(r), "traded": np.abs(np.diff(pos, prepend=0.0))}))
+        return pd.concat(out)
+
+    spread = df.select("asset", "date", "high", "low", "close", F.explode(F.array(*map(F.lit, speeds))).alias("speed"))
     return spread.groupBy("asset", "speed").applyInPandas(run, schema)
 
 

@@ -64,7 +64,7 @@ UPDATES = """l_ AS (SELECT DISTINCT side, tick FROM book_deltas), c_ AS (SELECT
 
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.fold_states(views.book_deltas(spark, sf_dir))
+    return book.fold_states(views.book_deltas(spark, sf_dir), 6 * HOUR)
 
 
 @query(f"{B}, {UPDATES} SELECT d.ts_ms, d.u, bid, ask, {r('q_bid', 'q_bid')}, {r('q_ask', 'q_ask')}, {r('q_bid5', 'q_bid5')}, {r('q_ask5', 'q_ask5')} FROM book_deltas d LEFT JOIN us USING (u)")
