@@ -25,10 +25,10 @@ def envelopes(score: Column) -> dict[str, Column]:
 
 
 def excess_index(panel: DataFrame) -> DataFrame:
-    """Index of the daily return less the rate ``rf``, from the first close on, with high and low scaled alike (asset, date, index, high, low)."""
+    """Index of the daily return less the rate ``rf``, from the first close on, with high and low scaled alike (asset, date, index, high, low). A loss of all leaves 1e-12 of it."""
     w = by_asset()
     r = F.col("close") / F.lag("close").over(w) - 1 - F.col("rf")
-    x = panel.withColumn("step", F.ln(1 + F.coalesce(r, F.lit(0.0)))).withColumn("index", F.first("close").over(upto(w)) * F.exp(F.sum("step").over(upto(w))))
+    x = panel.withColumn("step", F.ln(F.greatest(1 + F.coalesce(r, F.lit(0.0)), F.lit(1e-12)))).withColumn("index", F.first("close").over(upto(w)) * F.exp(F.sum("step").over(upto(w))))
     scale = F.col("index") / F.col("close")
     return x.select("asset", "date", "index", (F.col("high") * scale).alias("high"), (F.col("low") * scale).alias("low"))
 

@@ -112,14 +112,14 @@ def tail_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{P}, {views.MACRO_SQL}, c AS (SELECT asset, date, high, low, close, {r6_sql('m.value')} / 1e8 rf, close / lag(close) OVER ({W}) - 1 r FROM panel_bars p ASOF LEFT JOIN macro m ON p.date >= m.available),
-    g AS (SELECT *, first_value(close) OVER ({W}) * exp(sum(ln(1 + coalesce(r - coalesce(rf, 0), 0))) OVER ({W})) x FROM c) SELECT asset, date, {r('x', '"index"')}, {r('high * x / close', 'high')}, {r('low * x / close', 'low')} FROM g"""
+    f"""{P}, {views.MACRO_SQL}, c AS (SELECT asset, date, high, low, close, {r6_sql('m.value')} / 1e10 rf, close / lag(close) OVER ({W}) - 1 r FROM panel_bars p ASOF LEFT JOIN macro m ON p.date >= m.available),
+    g AS (SELECT *, first_value(close) OVER ({W}) * exp(sum(ln(greatest(1 + coalesce(r - coalesce(rf, 0), 0), 1e-12))) OVER ({W})) x FROM c) SELECT asset, date, {r('x', '"index"')}, {r('high * x / close', 'high')}, {r('low * x / close', 'low')} FROM g"""
 )
 def excess_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index of the return over cash, high and low scaled by the same factor; the cash rate is the last public macro value."""
     from tidewright.plans.joins import publication_lag
 
-    cash = publication_lag(spark, sf_dir).select("asset", "date", (F.coalesce("value", F.lit(0.0)) / 1e8).alias("rf"))
+    cash = publication_lag(spark, sf_dir).select("asset", "date", (F.coalesce("value", F.lit(0.0)) / 1e10).alias("rf"))
     return rounded(backtest.excess_index(views.panel_bars(spark, sf_dir).join(cash, ["asset", "date"])))
 
 
