@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
-Voters are words and word beginnings that go with toxic labels in a bounded sample of labelled rows. A generative label model
-(votes given a hidden class, fitted by expectation-maximisation) estimates each voter's rates in both classes, and from the
+Voters for toxic texts are a lexicon of abuse, patterns (shouting, runs of marks, starred words, abuse said to someone), and words and word beginnings that go with
+toxic labels in a bounded sample of labelled rows; a lexicon of civil words votes against. A generative label model (votes given a hidden class, fitted by
+expectation-maximisation) estimates each voter's rates in both classes, and from the
 residual correlations between voters how much each one repeats others; its posteriors, not the given labels, train a linear
 classifier over a wider vocabulary. That classifier scores whole texts in one narrow pass.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import textnum as tn
+from tidewright.session import materialise
 
 #: Labelled rows in the sample at most (those with the smallest hashes of their ids): the bound of what is broadcast and collected.
 SAMPLE_ROWS = 20_000
@@ -29,6 +31,11 @@ HOLD_OUT = 5
 REPEAT = 0.6
 #: Words of abuse that vote even where no label teaches them.
 LEXICON = ("idiot", "moron", "scum", "stupid", "worthless", "pathetic", "disgusting", "loser", "trash", "clown")
+#: Words that address someone, and civil words, which vote against.
+ADDRESS = ("you", "your", "u", "du", "dein", "tu", "vous", "usted", "eres")
+CIVIL = ("thanks", "thank", "please", "welcome", "danke", "bitte", "merci", "gracias")
+#: Patterns, each a feature of its own. No word holds a colon, so none has the hash of a name.
+PATTERNS = ("pattern:shouts", "pattern:marks", "pattern:starred", "pattern:said")
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -36,9 +43,34 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HOLD_OUT == 0, F.lit(False))
 
 
+def _hashes(words: tuple[str, ...]) -> np.ndarray:
+    return np.unique(np.array([tn.hash_text(w) for w in words], np.uint64))
+
+
+def _patterns(raw: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, owners) of the PATTERNS of each text, from its bytes and words.
+
+    Shouts: three words or more in capitals, and three in ten of all. Marks: three of ``!?`` in a row. Starred: a letter before two stars. Said: a word of abuse
+    within three words of an address.
+    """
+    n = len(at) - 1
+    capital, letter = (raw >= 0x41) & (raw <= 0x5A), ((raw | 0x20) >= 0x61) & ((raw | 0x20) <= 0x7A)
+    sums = np.concatenate([[0], np.cumsum(capital)])
+    loud = np.bincount(owner[(end - start >= 3) & (sums[end] - sums[start] == end - start)], minlength=n)
+    mark, star = (raw == 0x21) | (raw == 0x3F), raw == 0x2A
+    runs = np.flatnonzero(mark[:-2] & mark[1:-1] & mark[2:]) if len(raw) > 2 else np.zeros(0, np.int64)
+    stars = np.flatnonzero(letter[:-2] & star[1:-1] & star[2:]) if len(raw) > 2 else np.zeros(0, np.int64)
+    inside = lambda i: np.unique(t[i + 2 < at[t + 1]]) if len(t := np.searchsorted(at, i, "right") - 1) else t
+    abuse, address = np.isin(h, _hashes(LEXICON)), np.isin(h, _hashes(ADDRESS))
+    said = [owner[:-k][address[:-k] & abuse[k:] & (owner[:-k] == owner[k:])] for k in (1, 2, 3) if len(h) > k]
+    found = [np.flatnonzero((loud >= 3) & (10 * loud >= 3 * np.bincount(owner, minlength=n))), inside(runs), inside(stars), np.unique(np.concatenate([np.zeros(0, np.int64), *said]))]
+    keys = [np.full(len(t), tn.hash_text(name), np.uint64) for name, t in zip(PATTERNS, found, strict=True)]
+    return np.concatenate(keys), np.concatenate(found)
+
+
 def _features(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, owners) of all words and word beginnings of a slice."""
-    buf = tn.lower_latin(buf)
+    """(hashes, owners) of all words, word beginnings and patterns of a slice."""
+    raw, buf = buf, tn.lower_latin(buf)
     start, end, first = tn.words(buf, at, tn.PUNCT)
     owner = tn.owners(first)
     sums = tn.prefix_hash(buf)
@@ -47,6 +79,9 @@ def _features(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         long = np.flatnonzero(end - start > n)
         keys.append(tn.mix(tn.span_hash(sums, start[long], start[long] + n) + np.uint64(n)))
         whose.append(owner[long])
+    key, text = _patterns(raw, at, start, end, owner, keys[0])
+    keys.append(key)
+    whose.append(text)
     return np.concatenate(keys), np.concatenate(whose)
 
 
@@ -93,21 +128,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def label_model(text: np.ndarray, voter: np.ndarray, n: int, k: int, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def label_model(text: np.ndarray, voter: np.ndarray, n: int, k: int, prior: float, rounds: int = 25, against: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of class 1 for n texts from the votes (text, voter), and the weight 1 / (sum of correlations) of each voter.
 
-    A voter votes for class 1 or abstains. Rates given the class come from expectation-maximisation; residual correlations given the
+    A voter votes for class 1 (those marked ``against``: for class 0) or abstains. Rates given the class come from expectation-maximisation; residual correlations given the
     class say how many voters repeat one another, and their evidence counts once.
     """
     votes = np.zeros((n, k), np.float32)
     votes[text, voter] = 1
-    q = np.where(votes.any(1), 0.9, prior / 2)
+    against = np.zeros(k, bool) if against is None else against
+    q = np.where(votes[:, ~against].any(1), 0.9, prior / 2)
     share = np.ones(k)
     for _ in range(rounds):
         n1, n0 = q.sum() + 1e-9, (1 - q).sum() + 1e-9
         up, down = q @ votes, (1 - q) @ votes
         a, b = np.clip((up + 0.1) / (n1 + 1), 1e-6, 1 - 1e-6), np.clip((down + 0.1) / (n0 + 10), 1e-7, 1 - 1e-6)
-        a = np.maximum(a, b * 1.5)  # a voter is better than chance: the classes keep their names
+        a, b = np.where(against, a, np.maximum(a, b * 1.5)), np.where(against, np.maximum(b, a * 1.5), b)  # a voter is better than chance: the classes keep their names
+        a, b = np.minimum(a, 1 - 1e-6), np.minimum(b, 1 - 1e-6)
         mean = q[:, None] * a[None, :] + (1 - q)[:, None] * b[None, :]
         rest = (votes - mean).astype(np.float32)
         cov = rest.T @ rest
@@ -141,18 +178,19 @@ def linear(text: np.ndarray, feature: np.ndarray, q: np.ndarray, m: int, rounds:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from at most ``sample_rows`` labelled rows that are not held out. Null labels and ids are left out.
 
-    An id with several labels has the largest. Only the sampled ids are broadcast, and only counts of features and the known
+    An id with several labels has the largest; of several rows with one id the text with the least hash is taken. Only the sampled ids are broadcast, and only counts of features and the known
     features of the sample reach the driver, so what it holds does not grow with the documents.
     """
     spark = docs.sparkSession
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = named.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     chosen = spark.createDataFrame(chosen.toPandas(), "doc_id long, toxic int")
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = materialise(named.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "sample")
     counts = sample.mapInArrow(_counts, "f long, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     rows = sample.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("c")).first()
     big_t, big_c = int(rows.t or 0), int(rows.c or 0)
-    own = np.unique(np.array([tn.hash_text(w) for w in LEXICON], np.uint64))
+    own, civil = _hashes(LEXICON), _hashes(CIVIL)
     if big_t and big_c:
         # likelihood-ratio statistic of the feature and the class
         n, p = F.col("t") + F.col("c"), big_t / (big_t + big_c)
@@ -165,8 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         f, g = tied["f"].to_numpy(np.int64).view(np.uint64), tied["g"].to_numpy()
     else:
         f, g = np.zeros(0, np.uint64), np.zeros(0)
-    voters = np.unique(np.concatenate([f[:MAX_VOTERS][g[:MAX_VOTERS] >= 20], own]))
-    known = np.unique(np.concatenate([f, own]))
+    voters = np.unique(np.concatenate([f[:MAX_VOTERS][g[:MAX_VOTERS] >= 20], own, civil, _hashes(PATTERNS)]))
+    known = np.unique(np.concatenate([f, voters]))
 
     def known_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     index = np.searchsorted(voters, known)
     is_voter = (index < len(voters)) & (voters[np.minimum(index, len(voters) - 1)] == known)
     vote = is_voter[feature]
-    q, _ = label_model(text[vote], index[feature[vote]], len(held), len(voters), min(max(big_t / max(1, big_t + big_c), 0.01), 0.5))
+    q, _ = label_model(text[vote], index[feature[vote]], len(held), len(voters), min(max(big_t / max(1, big_t + big_c), 0.01), 0.5), against=np.isin(voters, civil))
     # words of the lexicon that the sample doesn't hold keep a weight of their own
     weight, bias = linear(text, feature, q, len(known))
     unseen = np.bincount(feature, minlength=len(known)) == 0
