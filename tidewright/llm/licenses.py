@@ -29,11 +29,26 @@ _WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, E
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND <<opt>> NONINFRINGEMENT <<end>> <<opt>> NON INFRINGEMENT <<end>> IN NO EVENT SHALL THE <<any:1:8>> BE
 LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
 CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<opt>> 1. <<end>>
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<opt>> 2. <<end>> Redistributions in binary form must
+reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation, either version <<any:1:2>> of the License, or <<opt>> (at your option) <<end>> any later version"
 #: Public licence notices. Every template begins with three mandatory words.
 TEMPLATES = {
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<opt>> (including the next paragraph) <<end>> shall be included in all copies or substantial portions of the Software. " + _WARRANTY,
     "isc-text": "Permission to use, copy, modify, and <<opt>> or <<end>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<opt>> 1. <<end>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<opt>> 2. <<end>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-2-clause": _BSD,
+    "bsd-3-clause": _BSD + " <<opt>> 3. <<end>> Neither the name of <<any:1:12>> nor the names of <<any:1:6>> may be used to endorse or promote products derived from this software without <<opt>> specific <<end>> prior written permission.",
+    "boost-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the <<any:1:4>> be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License <<opt>> v <<end>> 2.0",
+    "lgpl-notice": _GNU.format("Lesser"),
+    "agpl-notice": _GNU.format("Affero"),
+    "cc0-1.0": "To the extent possible under law, <<any:1:12>> waived all copyright and related or neighboring rights to",
+    "cc-by-4.0": "is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-4.0": "is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<opt>> <<any:1:9>> <<end>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version <<any:1:1>> of the License, or <<opt>> (at your option) <<end>> any later version",
     "apache-2.0": "Licensed under the Apache License <<opt>> , Version <<end>> 2.0",
@@ -100,6 +115,11 @@ class Automaton:
                 longest = k + 1
         return longest
 
+    @property
+    def most(self) -> int:
+        """Words that a match takes at most: no region repeats."""
+        return len(self.steps)
+
 
 def compile_template(template: str) -> Automaton:
     parts = parse(template)
@@ -190,7 +210,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
                 for label, auto in automata:
                     for p in _places(h, owner, auto.anchor):
                         i = owner[p]
-                        if took := auto.accepts(h[p : first[i + 1]].tolist() if first[i + 1] - p < 4096 else h[p : p + 4096].tolist()):
+                        if took := auto.accepts(h[p : min(first[i + 1], p + auto.most)].tolist()):
                             spans[i].append((label, int(p - first[i]), took))
                 has = n_base > 0
                 labels = [sorted(base[i] | {s[0] for s in spans[i]}) for i in range(n)]
