@@ -29,6 +29,22 @@ def test_templates_match_as_their_regex():
         assert found == bool(re.search(licenses.template_regex(template), norm)), label
 
 
+def test_long_templates_match_whole(spark):
+    words = " ".join(f"word{k}" for k in range(6000))
+    docs = [(1, f"x {words} end"), (2, f"x {words.replace('word5999', 'other')} end"), (3, words.upper() + " end")]
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), templates={"long": words + " <<any:0:2>> end"}).collect()
+    assert {r.doc_id: [(s.label, s.words) for s in r.spans] for r in got} == {1: [("long", 6001)], 2: [], 3: [("long", 6001)]}
+
+
+def test_cleaned_text_has_no_failing_line(spark):
+    from tidewright.llm import quality
+
+    text = "A good line stands here.\nHome | About | News | More\nAccept cookies to go on.\nno mark at its end\n\nAnd é the last one."
+    got = quality.quality(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), clean=True).orderBy("doc_id").collect()
+    assert got[0].clean_text == "A good line stands here.\n\nAnd é the last one." and got[0].n_bad_lines == 3
+    assert [r.clean_text for r in got[1:]] == ["", ""]
+
+
 def test_archives_round_trip(spark, tmp_path):
     big = "<p>" + "ä" * 200
     pages = [(1, "http://a/", big), (2, "http://b/", "<b>x</b>"), (3, None, None), (4, "http://c/", big), (5, "u\r\nv", "<b>x</b>"), (None, "n", big), (4, "http://c/", big)]
@@ -141,9 +157,40 @@ def test_toxicity_on_held_out_labels(spark):
     scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"]).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
     right = [r.predicted == r.toxic for r in scored]
     assert sum(right) >= 0.95 * len(right)
+    # few labels: most, not all, toxic texts are found, and no clean one is called so
+    assert sum(r.predicted for r in scored if r.toxic) >= 0.6 * sum(r.toxic for r in scored) and not [r for r in scored if r.predicted and not r.toxic]
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
 
 
+def test_toxicity_on_more_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), keep=["doc_id"]).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert sum(r.predicted for r in scored if r.toxic) >= 0.9 * sum(r.toxic for r in scored)
+    assert sum(r.predicted for r in scored if not r.toxic) <= 0.005 * len(scored)
+
+
+def test_patterns():
+    texts = ["YOU ARE ALL BAD", "what now?!!", "f**k off", "you are such an idiot", "you stupid idiot", "Hello there. U*S", "a!! !b", None, "stop it!", "!!"]
+    names = {textnum.hash_text(x): x.removeprefix("pattern:") for x in toxicity.PATTERNS}
+    got = [set() for _ in texts]
+    for a, _, buf, at in textnum.slices(pa.array(texts)):
+        key, owner = toxicity._features(buf, at)
+        for k, o in zip(key.tolist(), owner.tolist(), strict=True):
+            if k in names:
+                got[a + o].add(names[k])
+    assert got == [{"shouts"}, {"marks"}, {"starred"}, set(), {"said"}, set(), set(), set(), set(), set()]
+
+
+def test_voters_against(spark):
+    rng = np.random.default_rng(1)
+    y = rng.random(4000) < 0.3
+    votes = np.stack([rng.random(4000) < np.where(y, 0.5, 0.03) for _ in range(3)] + [rng.random(4000) < np.where(y, 0.02, 0.6) for _ in range(2)], 1)
+    text, voter = np.nonzero(votes)
+    q, _ = toxicity.label_model(text, voter, len(y), 5, 0.3, against=np.array([False] * 3 + [True] * 2))
+    assert ((q > 0.5) == y).mean() > 0.9
+
+
 def test_label_model_counts_repeating_voters_once():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.2
@@ -162,6 +209,29 @@ def test_labeller_on_pages_it_has_not_seen():
     assert right.mean() > 0.995
 
 
+def test_labeller_on_pages_of_other_shapes():
+    from tests.llm.foreign_pages import PAGES
+
+    right = n = 0
+    for page, article in PAGES:
+        blocks = html.leaves(page)
+        texts = [b[1] for b in blocks]
+        assert set(article) <= set(texts)
+        for text, p in zip(texts, html.trained().label([blocks])[0], strict=True):
+            right += (p >= 0.5) == (text in article)
+            n += 1
+    assert right >= 0.97 * n
+
+
+def test_long_pages_are_labelled_as_whole_ones():
+    pages, _ = html.training_set(40, 5)
+    long = [b for page in pages for b in page]
+    model = html.trained()
+    x, _ = model.inputs(long)
+    mask = np.ones((len(long), 1), bool)
+    assert np.allclose(model.logits(x[:, None], mask, steps=7), model.run(x[:, None], mask)[0], atol=1e-3)
+
+
 def test_leaves_of_broken_markup():
     page = '<title>no</title><p class="a>b">One <b>two<br>three<p>&amp;four &lt;five&gt;<!-- x <p>six --><script>"</p>"</script><ul><li>a<li>b</ul>tail &eacute <p'
     assert [b[1] for b in html.leaves(page)] == ["One two three", "&four <five>", "a", "b", "tail é"]
@@ -172,6 +242,8 @@ def test_leaves_lose_no_text_to_other_elements():
     texts = lambda page: [b[1] for b in html.leaves(page)]
     for x in ("<svg-icon></svg-icon>", "<button-group></button-group>", "<title-card></title-card>", "<svg/>", '<svg class="a>b" />', "<math/>", "<svg><title>no</title><path/></svg>", '<script data-x="a>b">no</script>'):
         assert texts(f"<p>one</p>{x}<p>two three</p>") == ["one", "two three"], x
+    assert texts("<html><head><title>t</title><p>one<p>two</html>") == ["one", "two"] and texts("<head>one<p>two") == ["one", "two"]
+    assert texts("<p>Area is <math><mi>r</mi></math> squared.") == ["Area is r squared."]
     assert texts("<p>one</p><object><p>two</p></object><button>three</button><p>four") == ["one", "two", "three", "four"]
     assert texts(f"<p data-x=\"{'a > b ' * 2000}\">one</p><p>two") == ["one", "two"]
 
