@@ -43,7 +43,7 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The book of a stream with a snapshot at its start and a gap in its ids; tests hold the hand cases."""
-    d = views.book_deltas(spark, sf_dir).where("u % 1000 <> 500")
-    rows = d.select(F.lit("X").alias("symbol"), "u", "ts_ms", (F.col("u") % 1000 == 1).alias("snap"), "side", F.col("tick").cast("long").alias("tick"), "size")
-    return bars.replay(spark, rows.orderBy("u"), bars.live_book)
+    """A book for each kind of event, from a stream with a snapshot at its start and a gap in its ids; tests hold the hand cases."""
+    d = views.book_deltas(spark, sf_dir, ["event_type"]).where("u % 1000 <> 500")
+    rows = d.select(F.col("event_type").alias("symbol"), "u", "ts_ms", (F.col("u") % 1000 == 1).alias("snap"), "side", F.col("tick").cast("long").alias("tick"), "size")
+    return bars.replay(spark, rows, bars.live_book)

@@ -79,10 +79,11 @@ def live_book(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("symbol").applyInPandasWithState(_book, BOOK_OUT, BOOK_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(spark: SparkSession, table: DataFrame, build, files: int = 1, per_batch: int | None = None) -> DataFrame:
-    """Write ``table`` as files, stream them through ``build`` to Parquet until all are read, and return what was written. For tests and queries."""
+def replay(spark: SparkSession, table: DataFrame, build, files: int | None = None, per_batch: int | None = None) -> DataFrame:
+    """Write ``table`` as files (as many as it has partitions, or ``files``), stream them through ``build`` to Parquet until all are read, and return what was written.
+    Files are one batch unless ``per_batch`` bounds it; then their order is not that of their rows' times, and a watermark may close on some. For tests and queries."""
     source, sink, marks = (scratch(spark, x) for x in ("stream-in", "stream-out", "stream-marks"))
-    table.coalesce(files).write.parquet(source)
+    (table if files is None else table.coalesce(files)).write.parquet(source)
     reader = spark.readStream.schema(table.schema)
     stream = build((reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(source))
     run = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()

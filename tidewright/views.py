@@ -45,14 +45,23 @@ def _ms() -> F.Column:
     return F.expr("unix_micros(cast(ts AS timestamp)) div 1000")
 
 
+def _running(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``rows`` with the running sum of ``value`` in order of (ts, event_id): inside days, and over the sums of the days before, of which there is one row a day."""
+    dated = rows.withColumn("__day", F.expr(f"ts_ms div {DAY_MS}"))
+    inside = F.sum(value).over(Window.partitionBy(*by, "__day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
+    days = dated.groupBy(*by, "__day").agg(F.sum(value).alias("__s"))
+    before = days.select(*by, "__day", (F.sum("__s").over(Window.partitionBy(*by).orderBy("__day")) - F.col("__s")).alias("__before"))
+    return dated.withColumn("__run", inside).join(before, [*by, "__day"]).select(*rows.columns, (F.col("__before") + F.col("__run")).alias("running"))
+
+
 def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.round(F.col("value") * 100).cast("long") % 21 - 10
-    by = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select(
+    rows = table(spark, sf_dir, "events").select("ts", "event_id", F.col("event_type").alias("symbol"), _ms().alias("ts_ms"), "user_id", step.alias("step"))
+    return _running(rows, ["symbol"], "step").select(
         F.col("event_id").alias("id"),
-        F.col("event_type").alias("symbol"),
-        _ms().alias("ts_ms"),
-        (20000 + F.sum(step).over(by)).alias("tick"),
+        "symbol",
+        "ts_ms",
+        (20000 + F.col("running")).alias("tick"),
         (F.col("user_id") % 50 + 1).alias("lots"),
         (F.col("user_id") % 2 == 1).alias("is_buyer_maker"),
     )
@@ -63,11 +72,14 @@ TAPE_SQL = """tape AS (SELECT event_id id, event_type symbol, epoch_us(ts) // 10
     user_id % 50 + 1 lots, user_id % 2 = 1 is_buyer_maker FROM events)"""
 
 
-def book_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+def book_deltas(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataFrame:
+    """Changes of one book, numbered by u; with ``by`` a book for each of these columns of the events, numbered apart."""
     side = F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)
-    return table(spark, sf_dir, "events").select(
-        _ms().alias("ts_ms"),
-        F.row_number().over(Window.orderBy("ts", "event_id")).cast("long").alias("u"),
+    rows = table(spark, sf_dir, "events").select("*", _ms().alias("ts_ms"), F.lit(1).cast("long").alias("one"))
+    return _running(rows, by or [], "one").select(
+        *(by or []),
+        "ts_ms",
+        F.col("running").alias("u"),
         side.alias("side"),
         (20000 - side * (1 + F.col("user_id") % 20)).alias("tick"),
         F.when(F.col("event_type") == "error", 0.0).otherwise(F.col("value")).alias("size"),
