@@ -19,13 +19,13 @@ HOUR = 3_600_000
 )
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the hours that the watermark has closed."""
-    return bars.replay(spark, views.tape(spark, sf_dir), bars.live_bars)
+    return bars.replay(spark, views.tape(spark, sf_dir), bars.live_bars, files=None)
 
 
 @query(f"{T} SELECT DISTINCT * FROM tape")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = views.tape(spark, sf_dir)
-    return bars.replay(spark, t.unionByName(t.where("id % 7 = 0")), bars.deduplicated)
+    return bars.replay(spark, t.unionByName(t.where("id % 7 = 0")), bars.deduplicated, files=None)
 
 
 @query(f"{T}, k AS (SELECT *, unnest([0, 1, 2, 3]) j FROM tape) SELECT symbol, (ts_ms // 900000 - j) * 900000 start_ms, count(*) trades, cast(sum(lots) AS BIGINT) lots FROM k GROUP BY 1, 2")
@@ -46,4 +46,4 @@ def stream_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A book for each kind of event, from a stream with a snapshot at its start and a gap in its ids; tests hold the hand cases."""
     d = views.book_deltas(spark, sf_dir, ["event_type"]).where("u % 1000 <> 500")
     rows = d.select(F.col("event_type").alias("symbol"), "u", "ts_ms", (F.col("u") % 1000 == 1).alias("snap"), "side", F.col("tick").cast("long").alias("tick"), "size")
-    return bars.replay(spark, rows, bars.live_book)
+    return bars.replay(spark, rows, bars.live_book, files=None)

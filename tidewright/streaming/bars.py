@@ -49,24 +49,24 @@ def _book(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         sides, ticks, sizes, last, valid = state.get
         levels = {(s, t): x for s, t, x in zip(sides, ticks, sizes, strict=True)}
     out = []
-    for pdf in batches:
-        for u, ts, snap, side, tick, size in pdf.sort_values(["u", "snap"], ascending=[True, False])[["u", "ts_ms", "snap", "side", "tick", "size"]].itertuples(index=False):
-            if snap:
-                if u != last:
-                    levels = {}
-                valid = True
-            elif not valid or u not in (last, last + 1):
-                valid = False
-            last = int(u)
-            if not valid:
-                out.append((key[0], int(u), int(ts), None, None, False))
-                continue
-            if size > 0:
-                levels[int(side), int(tick)] = float(size)
-            else:
-                levels.pop((int(side), int(tick)), None)
-            bids, asks = [t for s, t in levels if s == 1], [t for s, t in levels if s == -1]
-            out.append((key[0], int(u), int(ts), max(bids, default=None), min(asks, default=None), True))
+    changes = pd.concat(list(batches)).sort_values(["u", "snap"], ascending=[True, False], kind="stable")  # those of one micro-batch
+    for u, ts, snap, side, tick, size in changes[["u", "ts_ms", "snap", "side", "tick", "size"]].itertuples(index=False):
+        if snap:
+            if u != last:
+                levels = {}
+            valid = True
+        elif not valid or u not in (last, last + 1):
+            valid = False
+        last = int(u)
+        if not valid:
+            out.append((key[0], int(u), int(ts), None, None, False))
+            continue
+        if size > 0:
+            levels[int(side), int(tick)] = float(size)
+        else:
+            levels.pop((int(side), int(tick)), None)
+        bids, asks = [t for s, t in levels if s == 1], [t for s, t in levels if s == -1]
+        out.append((key[0], int(u), int(ts), max(bids, default=None), min(asks, default=None), True))
     state.update(([s for s, _ in levels], [t for _, t in levels], list(levels.values()), last, valid))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in BOOK_OUT.split(", ")]).astype({"bid": "Int64", "ask": "Int64"})
 
@@ -79,8 +79,8 @@ def live_book(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("symbol").applyInPandasWithState(_book, BOOK_OUT, BOOK_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def replay(spark: SparkSession, table: DataFrame, build, files: int | None = None, per_batch: int | None = None) -> DataFrame:
-    """Write ``table`` as files (as many as it has partitions, or ``files``), stream them through ``build`` to Parquet until all are read, and return what was written.
+def replay(spark: SparkSession, table: DataFrame, build, files: int | None = 1, per_batch: int | None = None) -> DataFrame:
+    """Write ``table`` as ``files`` (as many as it has partitions where None), stream them through ``build`` to Parquet until all are read, and return what was written.
     Files are one batch unless ``per_batch`` bounds it; then their order is not that of their rows' times, and a watermark may close on some. For tests and queries."""
     source, sink, marks = (scratch(spark, x) for x in ("stream-in", "stream-out", "stream-marks"))
     (table if files is None else table.coalesce(files)).write.parquet(source)
