@@ -82,11 +82,12 @@ def tick_size(tape: DataFrame) -> DataFrame:
     return least.select("symbol", "day", "step", F.pow(F.lit(10.0), F.floor(F.log10(F.col("step").cast("double")) + 0.5)).alias("regime"))
 
 
-def silence_flags(tape: DataFrame, ms: int = 3_600_000, examples: int = 20) -> DataFrame:
-    """Pauses longer than ``ms``; the first ``examples`` of each symbol and day."""
+def silence_flags(tape: DataFrame, ms: int = 3_600_000, examples: int | None = None) -> DataFrame:
+    """Pauses longer than ``ms``, numbered by symbol and day; all, or the first ``examples`` of each."""
     x = by_day(tape, ["ts_ms"], ["ts_ms", "id"]).where(F.col("ts_ms") - F.col("prev_ts_ms") > ms)
     n = F.row_number().over(Window.partitionBy("symbol", "day").orderBy("ts_ms", "id"))
-    return x.select("symbol", "day", "id", F.col("prev_ts_ms").alias("from_ms"), "ts_ms", n.cast("long").alias("n")).where(F.col("n") <= examples)
+    found = x.select("symbol", "day", "id", F.col("prev_ts_ms").alias("from_ms"), "ts_ms", n.cast("long").alias("n"))
+    return found if examples is None else found.where(F.col("n") <= examples)
 
 
 def spikes(tape: DataFrame, before: int = 50, after: int = 10, least: float = 0.005, sds: float = 10.0, back: float = 0.2) -> DataFrame:

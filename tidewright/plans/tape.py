@@ -71,7 +71,7 @@ def tick_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tape.tick_size(views.tape(spark, sf_dir))
 
 
-@query(f"{T}, s AS (SELECT symbol, ts_ms // {DAY} \"day\", id, lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms, id) from_ms, ts_ms FROM tape) SELECT *, row_number() OVER (PARTITION BY symbol, \"day\" ORDER BY ts_ms, id) n FROM s WHERE ts_ms - from_ms > {HOUR} QUALIFY n <= 20")
+@query(f"{T}, s AS (SELECT symbol, ts_ms // {DAY} \"day\", id, lag(ts_ms) OVER (PARTITION BY symbol ORDER BY ts_ms, id) from_ms, ts_ms FROM tape) SELECT *, row_number() OVER (PARTITION BY symbol, \"day\" ORDER BY ts_ms, id) n FROM s WHERE ts_ms - from_ms > {HOUR}")
 def silence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tape.silence_flags(views.tape(spark, sf_dir))
 
