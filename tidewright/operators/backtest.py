@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewright.functions.windows import by_asset, by_date, divide, upto
@@ -24,6 +24,18 @@ def envelopes(score: Column) -> dict[str, Column]:
     return {"sign": F.signum(score), "clip": F.least(F.greatest(score, F.lit(-1.0)), F.lit(1.0)), "tanh": F.tanh(score)}
 
 
+def random_gate(i: Column, on_share: float, spell: float, seed: int, w: WindowSpec) -> Column:
+    """1 or 0 along ``w``: a chain of two states that is on for ``on_share`` of the time, in spells of ``spell`` rows on average, off until it first changes.
+
+    Row ``i`` draws a number that switches on, switches off or does nothing, whatever the state; so the state is the last switch, and no row waits for another.
+    """
+    off = 1.0 / spell
+    on = off * on_share / (1 - on_share)
+    u = F.pmod((i + seed * 7919) * 1103515245 + 12345, F.lit(2147483648)) / 2147483648.0
+    switch = F.when(u < on, 1).when(u >= 1 - off, 0)
+    return F.coalesce(F.last(switch, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+
+
 def excess_index(panel: DataFrame) -> DataFrame:
     """Index of the daily return less the rate ``rf``, from the first close on, with high and low scaled alike (asset, date, index, high, low). A loss of all leaves 1e-12 of it."""
     w = by_asset()

@@ -439,7 +439,11 @@ def grid_result(price: np.ndarray, step: float, levels: int) -> np.ndarray:
     return out
 
 
-def branching(tape: DataFrame, decays: tuple[float, ...] = (1 / 600, 1 / 7200)) -> DataFrame:
+#: Decay rates of the six kernels, by second: from under a second to two hours.
+DECAYS = (2.0, 0.2, 1 / 30, 1 / 240, 1 / 1200, 1 / 7200)
+
+
+def branching(tape: DataFrame, decays: tuple[float, ...] = DECAYS) -> DataFrame:
     """(symbol, day, mu, branching) of a Hawkes process of each day's trades, times in seconds."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

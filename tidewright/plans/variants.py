@@ -173,3 +173,25 @@ def kama_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = lambda d: d["close"].to_numpy()
     base = views.panel_bars(spark, sf_dir).select("asset", "date", "close")
     return kernels.per_asset(base, {"cross": lambda d: kernels.kama_state(c(d), None), "filtered": lambda d: kernels.kama_state(c(d))})
+
+
+_U = lambda seed: f"((i + {seed * 7919}) * 1103515245 + 12345) % 2147483648 / 2147483648.0::DOUBLE"
+_GATE = lambda seed: f"coalesce(last_value(CASE WHEN {_U(seed)} < {0.1 * 0.4 / (1 - 0.4)!r}::DOUBLE THEN 1 WHEN {_U(seed)} >= {1 - 0.1!r}::DOUBLE THEN 0 END IGNORE NULLS) OVER ({W}), 0)"
+
+
+@query(f"{P}, b AS (SELECT asset, date, row_number() OVER ({W}) i FROM panel_bars) SELECT asset, date, {_GATE(1)} AS one, {_GATE(2)} AS two FROM b")
+def random_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two gates that are on 40 % of the time, in spells of ten days."""
+    w = by_asset()
+    base = views.panel_bars(spark, sf_dir).select("asset", "date", F.row_number().over(w).cast("long").alias("i"))
+    return base.select("asset", "date", *[backtest.random_gate(F.col("i"), 0.4, 10.0, k, w).alias(name) for k, name in ((1, "one"), (2, "two"))])
+
+
+@query()
+def hedged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Past returns as scores, without the year's common components. Tests hold that a score along the first one vanishes."""
+    from tidewright.plans.risk import _pairs
+
+    c = F.col("close")
+    s = views.panel_bars(spark, sf_dir).select(F.year("date").cast("long").alias("y"), "date", "asset", (c / F.lag(c, 20).over(by_asset()) - 1).alias("score")).where("score IS NOT NULL")
+    return rounded(risk.pca_hedge(s, _pairs(spark, sf_dir), "y"))
