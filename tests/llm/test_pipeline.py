@@ -53,3 +53,16 @@ def test_lines_join_to_the_text(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", linededup.lines("t").alias("p")).collect()
     assert [r.p and "".join(r.p) for r in rows if r.t and r.t.strip()] == [t.lstrip() for t in texts if t and t.strip()]
     assert rows[-1].p is None
+
+
+def test_odd_and_empty_documents_pass_all_stages(spark, odd, empty, tmp_path):
+    labels = spark.createDataFrame([(14, 1, 1), (11, 1, 0), (9, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing like this stands anywhere in the documents of this test at all"), (2, None), (3, "")], "item_id long, text string")
+    for name, docs in (("odd", spark.read.parquet(f"{odd}/documents.parquet")), ("none", empty)):
+        folder = f"{tmp_path}/{name}"
+        docs.withColumn("node", F.lit(1)).withColumn("score", F.lit("x")).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert (not got) if name == "none" else {1, 4, 10, 12} <= {r.doc_id for r in got}
+        assert len({r.doc_id for r in got if r.doc_id in (6, 7, 8)}) <= 1  # copies

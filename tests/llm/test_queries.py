@@ -59,6 +59,16 @@ def test_extra_columns_are_harmless(spark, odd):
     assert toxicity.score(clash, toxicity.fit(clash, labels)).count() == n
 
 
+def test_extra_columns_of_pages_and_turns_are_harmless(spark):
+    from tidewright.llm import chat, html, warc
+
+    clash = [F.lit(1).alias(c) for c in ("digest", "bytes", "kind", "refers_to", "first", "n", "text", "n_chars", "archive", "offset", "payload", "t", "loss", "formatted", "content", "held")]
+    pages = spark.createDataFrame([(1, "u", "<p>" + "word " * 300 + "</p>"), (2, None, None)], "page_id long, url string, html string").select("*", *clash)
+    assert html.extract(pages).count() == 2 and warc.read_archives(warc.write_archives(pages)).count() == 2
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, words string").withColumn("parts", chat.text_parts(F.col("words"))).select("*", *clash)
+    assert chat.digests(chat.format_chat(turns)).first().n_turns == 2
+
+
 def test_empty_tables(spark, empty):
     from tidewright.llm import chat, decontaminate, html, jaccard, licenses, linededup, mixing, quality, toxicity, warc
 
