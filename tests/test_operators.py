@@ -251,3 +251,13 @@ def test_hedged_scores_leave_the_common_component(spark):
     got = risk.pca_hedge(scores, pairs, "y", alpha=0.0).collect()
     assert all(abs(r.weight) < 1e-9 for r in got if r.date.day == 1)
     assert sorted(round(r.weight, 9) for r in got if r.date.day == 2) == [-1.0, 0.0, 1.0]
+
+
+def test_feed_source_reads_files(spark, tmp_path):
+    from tidewright.sources.feed import FILE
+
+    (tmp_path / "a.jsonl").write_text('{"ts": 1, "type": "trade", "data": 5}\nbroken\n')
+    (tmp_path / "b.jsonl").write_text('{"ts": 2, "type": "book", "data": null}\n')
+    spark.dataSource.register(FeedSource)
+    got = spark.read.format("recorded_feed").load(str(tmp_path)).orderBy("n").collect()
+    assert [(r.n, r.ts_ms, r.type) for r in got] == [(0, 1, "trade"), (1, 0, None), (FILE, 2, "book")]

@@ -45,6 +45,11 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tidewright/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what this application has written in the shared folder. Frames that were read from there are of no use after it."""
     jvm = spark.sparkContext._jvm

@@ -1,16 +1,20 @@
 """A Python data source that replays recorded feed messages, in batch and as a stream.
 
-``spark.dataSource.register(FeedSource)``, then ``spark.readStream.format("recorded_feed").option("lines", …)``. Offsets are line numbers; a message
-that does not parse is kept with a null type, so that one bad message never ends the feed.
+``spark.dataSource.register(FeedSource)``, then ``spark.readStream.format("recorded_feed").option("lines", …)`` for a few messages, or
+``spark.read.format("recorded_feed").load(folder)`` for recorded files, each of which is read by a task of its own. Offsets are line numbers, of the n-th file
+from n * FILE on; a message that does not parse is kept with a null type, so that one bad message never ends the feed.
 """
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 
+import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+FILE = 1 << 40
 SCHEMA = "n long, ts_ms long, type string, body string"
 
 
@@ -35,6 +39,26 @@ class _Batch(DataSourceReader):
         return (parse(at + k, x) for k, x in enumerate(lines))
 
 
+class _Files(DataSourceReader):
+    """One partition a file: the driver lists the names only."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def partitions(self) -> list[InputPartition]:
+        fs, root = pafs.FileSystem.from_uri(self.folder if "://" in self.folder else f"file://{self.folder}")
+        names = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.is_file)
+        return [InputPartition((k * FILE, name)) for k, name in enumerate(names)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        at, name = partition.value
+        fs, _ = pafs.FileSystem.from_uri(self.folder if "://" in self.folder else f"file://{self.folder}")
+        with fs.open_input_stream(name) as f:
+            for k, line in enumerate(io.TextIOWrapper(f, encoding="utf-8", errors="replace")):
+                if line := line.rstrip("\n"):
+                    yield parse(at + k, line)
+
+
 class _Stream(SimpleDataSourceStreamReader):
     def __init__(self, lines: list[str], step: int):
         self.lines, self.step = lines, step
@@ -62,7 +86,7 @@ class FeedSource(DataSource):
         return [x for x in self.options.get("lines", "").split("\n") if x]
 
     def reader(self, schema) -> DataSourceReader:
-        return _Batch(self._lines(), int(self.options.get("parts", "2")))
+        return _Files(self.options["path"]) if "path" in self.options else _Batch(self._lines(), int(self.options.get("parts", "2")))
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return _Stream(self._lines(), int(self.options.get("step", "100")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.asof import latest
+from tidewright.session import exists
 
 
 def macro_series(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -115,12 +116,7 @@ def scrub(text: Column, secrets: list[str]) -> Column:
 
 def migrate(spark: SparkSession, steps: list[tuple[int, str]], version_path: str) -> list[int]:
     """Run each numbered statement once; the numbers that ran are kept in a table at ``version_path``."""
-    try:
-        done = {r.version for r in spark.read.parquet(version_path).collect()}
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = set()
+    done = {r.version for r in spark.read.parquet(version_path).collect()} if exists(spark, version_path) else set()  # one row a step
     ran = []
     for number, statement in sorted(steps):
         if number not in done:
