@@ -261,3 +261,22 @@ def test_feed_source_reads_files(spark, tmp_path):
     spark.dataSource.register(FeedSource)
     got = spark.read.format("recorded_feed").load(str(tmp_path)).orderBy("n").collect()
     assert [(r.n, r.ts_ms, r.type) for r in got] == [(0, 1, "trade"), (1, 0, None), (FILE, 2, "book")]
+
+
+def test_regression_on_several_columns(spark):
+    from tidewright.operators import inference
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 2))
+    e = np.convolve(rng.normal(size=303), [1, 0.5, 0.2, 0.1], "valid")
+    y = 0.5 + x @ [1.0, -2.0] + e
+    df = spark.createDataFrame([(k, float(y[k]), float(x[k, 0]), float(x[k, 1])) for k in range(300)], "date long, y double, a double, b double")
+    got = {r.name: r for r in inference.ols_several(df, "y", ["a", "b"], 3).collect()}
+    X = np.column_stack([np.ones(300), x])
+    inverse = np.linalg.inv(X.T @ X)
+    beta = inverse @ X.T @ y
+    s = X * (y - X @ beta)[:, None]
+    meat = s.T @ s + sum((1 - d / 4) * (s[d:].T @ s[:-d] + s[:-d].T @ s[d:]) for d in (1, 2, 3))
+    t = beta / np.sqrt(np.diag(inverse @ meat @ inverse))
+    assert np.allclose([got[n].coef for n in ("intercept", "a", "b")], beta) and np.allclose([got[n].t for n in ("intercept", "a", "b")], t)
+    assert inference.ols_several(df.limit(2), "y", ["a", "b"]).count() == 0

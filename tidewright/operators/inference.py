@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,36 @@ def ols(df: DataFrame, y: str, x: str, lags: int = 6, order: str = "date") -> Da
     return both.select("n", "a", "b", "r2", divide(c("a"), F.sqrt(va)).alias("t_a"), divide(c("b"), F.sqrt(vb)).alias("t_b"))
 
 
+def ols_several(df: DataFrame, y: str, xs: list[str], lags: int = 6, order: str = "date") -> DataFrame:
+    """(name, coef, t, n, r2): least squares of y on several columns with Newey-West t statistics, the intercept first; no rows where they are not defined.
+
+    One series. Two aggregations give the sums of products and those of the lagged scores; these, whose number is the square of that of the columns, reach the driver.
+    """
+    spark, names = df.sparkSession, ["intercept", *xs]
+    k = len(names)
+    rows = df.select(F.col(order).alias("o"), F.col(y).cast("double").alias("y"), *[F.col(x).cast("double").alias(f"x{j}") for j, x in enumerate(xs, 1)]).dropna().withColumn("x0", F.lit(1.0))
+    X = [F.col(f"x{j}") for j in range(k)]
+    got = rows.agg(F.count("*"), F.sum(F.col("y") * F.col("y")), *[F.sum(c * F.col("y")) for c in X], *[F.sum(a * b) for a in X for b in X]).first()
+    schema = "name string, coef double, t double, n long, r2 double"
+    n = int(got[0])
+    if n <= k:
+        return spark.createDataFrame([], schema)
+    v, m = np.array(got[2 : 2 + k], float), np.array(got[2 + k :], float).reshape(k, k)
+    inverse = np.linalg.pinv(m)
+    b = inverse @ v
+    left = F.col("y") - sum((float(b[j]) * X[j] for j in range(1, k)), F.lit(float(b[0])))
+    w = Window.orderBy("o")  # one row a period
+    scores = rows.select("o", *[(left * X[j]).alias(f"s{j}") for j in range(k)])
+    lagged = scores.select("*", *[F.lag(f"s{j}", d).over(w).alias(f"l{d}_{j}") for d in range(1, lags + 1) for j in range(k)])
+    meat = lagged.agg(*[F.coalesce(F.sum(F.col(f"s{i}") * F.col(f"s{j}" if d == 0 else f"l{d}_{j}")), F.lit(0.0)) for d in range(lags + 1) for i in range(k) for j in range(k)]).first()
+    g = np.array(meat, float).reshape(lags + 1, k, k)
+    s = g[0] + sum((1 - d / (lags + 1)) * (g[d] + g[d].T) for d in range(1, lags + 1))
+    error = np.sqrt(np.diag(inverse @ s @ inverse))
+    total = float(got[1]) - v[0] ** 2 / n
+    r2 = float((b @ v - v[0] ** 2 / n) / total) if total > 0 else None
+    return spark.createDataFrame([(x, float(c), float(c / e) if e > 0 else None, n, r2) for x, c, e in zip(names, b, error, strict=True)], schema)
+
+
 def clustered_mean(df: DataFrame, keys: list[str], x: str, cluster: str) -> DataFrame:
     """Mean with a standard error clustered by ``cluster``, G / (G - 1) corrected, from sums per cluster."""
     per = df.where(F.col(x).isNotNull()).groupBy(*keys, cluster).agg(F.sum(x).alias("s"), F.count(x).alias("k"))

@@ -195,3 +195,14 @@ def hedged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("close")
     s = views.panel_bars(spark, sf_dir).select(F.year("date").cast("long").alias("y"), "date", "asset", (c / F.lag(c, 20).over(by_asset()) - 1).alias("score")).where("score IS NOT NULL")
     return rounded(risk.pca_hedge(s, _pairs(spark, sf_dir), "y"))
+
+
+@query()
+def factor_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategy's net return on the market's return and its square, with Newey-West errors. Tests hold the operator against numpy."""
+    from tidewright.operators import inference
+    from tidewright.plans.positions import daily
+
+    market = views.panel_bars(spark, sf_dir).select("date", rolling.simple_return(F.col("close")).alias("r")).groupBy("date").agg(F.avg("r").alias("m"))
+    x = daily(spark, sf_dir).join(market, "date").select("date", "net", "m", (F.col("m") * F.col("m")).alias("m2"))
+    return rounded(inference.ols_several(x, "net", ["m", "m2"]))
