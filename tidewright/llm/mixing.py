@@ -26,6 +26,8 @@ BLOCK, SHARD_BLOCKS, TOTAL, MOST, WEIGHTS = 64, 4096, 1.5, 2.0, (3, 1, 2)
 CHUNK = 100_000
 #: Chunks that the documents are dealt into at least, so that a source that holds most of them is many tasks.
 CHUNKS = 256
+#: Slots that are numbered together.
+NUMBERED = 1 << 14
 U = np.uint64
 
 
@@ -130,7 +132,7 @@ def slots(wanted: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCK
     counted = materialise(counted.withColumn("start", F.sum("m").over(Window.orderBy("key")) - F.col("m")), "weights")
     total = counted.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     # number the slots of each source: within chunks of slots, and over chunks
-    got = materialise(drawn(counted, total, shard_blocks, seed).withColumn("chunk", F.floor(F.col("id") / CHUNK)), "drawn")
+    got = materialise(drawn(counted, total, shard_blocks, seed).withColumn("chunk", F.floor(F.col("id") / NUMBERED)), "drawn")
     sums = got.groupBy("key", "chunk").agg(F.count("*").alias("k"))
     starts = sums.select("key", "chunk", (F.sum("k").over(Window.partitionBy("key").orderBy("chunk")) - F.col("k")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("key", "chunk").orderBy("id")) - 1
