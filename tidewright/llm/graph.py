@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.operators.skew import split_join
 from tidewright.session import materialise
 
 
-def _smaller(pairs: DataFrame, total: int) -> DataFrame:
-    """(u, v, m): each neighbour v of u, and the least of u and its neighbours. The neighbours of a node that has very many stay where they are."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("w"), F.count("*").alias("n")).select("u", F.least("u", "w").alias("m"), "n")
-    return split_join(pairs, least, ["u"], "n", total)
+def _smaller(pairs: DataFrame) -> DataFrame:
+    """(u, v, m): each neighbour v of u, and the least of u and its neighbours. One row a node meets its neighbours, so adaptive execution splits a node that has very many."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
+    return pairs.join(least, "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,6 +29,6 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         before = mark
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smaller(both, 2 * mark.n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        small = _smaller(large, 2 * mark.n)
+        large = _smaller(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        small = _smaller(large)
         edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
