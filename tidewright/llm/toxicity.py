@@ -139,15 +139,17 @@ def label_model(text: np.ndarray, voter: np.ndarray, n: int, k: int, prior: floa
     against = np.zeros(k, bool) if against is None else against
     q = np.where(votes[:, ~against].any(1), 0.9, prior / 2)
     share = np.ones(k)
+    together = (votes.T @ votes).astype(np.float64)
     for _ in range(rounds):
         n1, n0 = q.sum() + 1e-9, (1 - q).sum() + 1e-9
         up, down = q @ votes, (1 - q) @ votes
         a, b = np.clip((up + 0.1) / (n1 + 1), 1e-6, 1 - 1e-6), np.clip((down + 0.1) / (n0 + 10), 1e-7, 1 - 1e-6)
         a, b = np.where(against, a, np.maximum(a, b * 1.5)), np.where(against, np.maximum(b, a * 1.5), b)  # a voter is better than chance: the classes keep their names
         a, b = np.minimum(a, 1 - 1e-6), np.minimum(b, 1 - 1e-6)
-        mean = q[:, None] * a[None, :] + (1 - q)[:, None] * b[None, :]
-        rest = (votes - mean).astype(np.float32)
-        cov = rest.T @ rest
+        # what is expected of a text's votes has rank two, so the covariances of the rest need no matrix of texts by voters
+        both, rates = np.stack([q, 1 - q]), np.stack([a, b])
+        crossed = np.stack([up, down]).T @ rates
+        cov = together - crossed - crossed.T + rates.T @ (both @ both.T) @ rates
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
         corr = np.abs(cov / sd[:, None] / sd[None, :])
         corr[corr < REPEAT] = 0
