@@ -32,7 +32,7 @@ def test_odd_conversations_match_sql(spark, tmp_path):
     same(q.QUERIES["op6_chat_format"](spark, str(tmp_path)), q.ORACLE_SQL["op6_chat_format"], str(tmp_path))
 
 
-@pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 11)])
+@pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 14)])
 def test_every_operator_is_registered(name):
     assert len([x for x in q.QUERIES if x.startswith(name)]) == 1
 

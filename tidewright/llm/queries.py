@@ -14,8 +14,11 @@ from tidewright.llm import jaccard as _jaccard
 from tidewright.llm import licenses as _licenses
 from tidewright.llm import linededup as _linededup
 from tidewright.llm import mixing as _mixing
+from tidewright.llm import neighbours as _neighbours
+from tidewright.llm import periodic as _periodic
 from tidewright.llm import quality as _quality
 from tidewright.llm import toxicity as _toxicity
+from tidewright.llm import turnrepair as _turnrepair
 from tidewright.llm import warc as _warc
 from tidewright.session import table
 
@@ -149,6 +152,34 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = _turnrepair.repair(_turnrepair.damage(table(spark, sf_dir, "conversations")))
+    return fixed.withColumn("repaired_sha256", F.sha2(_turnrepair.text_of(F.col("repaired")).cast("binary"), 256)).drop("repaired")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _periodic.periodic_runs(_periodic.looped(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    # exponents are compared as fractions, exactly: a before b if its length * the other's period is larger
+    better = lambda a, b: (a["length"] * b["period"] > b["length"] * a["period"]) | ((a["length"] * b["period"] == b["length"] * a["period"]) & (F.struct(a["start"], a["period"]) < F.struct(b["start"], b["period"])))
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(better(r, b), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        sha(lines).alias("runs_sha256"),
+        sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -160,6 +191,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_license_scan": op9_license_scan,
     "op10_decontaminate": op10_decontaminate,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_neighbours": op13_neighbours,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": _op1_sql(),
