@@ -24,15 +24,18 @@ def intervals(deltas: DataFrame, by: list[str] | None = None) -> DataFrame:
     return deltas.select("*", F.lead("u").over(w).alias("next_u"), F.lead("ts_ms").over(w).alias("next_ms"))
 
 
-def checkpoints(deltas: DataFrame, ms: int) -> DataFrame:
-    """(moment, side, tick, size): the book just before each multiple of ``ms``. Changes are exploded to the moments they hold at, not joined to them."""
-    edge = deltas.agg(F.max("ts_ms").alias("end"))
-    held = intervals(deltas).where("size > 0").crossJoin(F.broadcast(edge))  # one row
+def checkpoints(deltas: DataFrame, ms: int, by: list[str] | None = None) -> DataFrame:
+    """(moment, side, tick, size), after the columns ``by`` that name a book: the book just before each multiple of ``ms`` up to its last change.
+    Changes are exploded to the moments they hold at, not joined to them."""
+    by = by or []
+    edge = deltas.groupBy(*by).agg(F.max("ts_ms").alias("end"))
+    held = intervals(deltas, by).where("size > 0")
+    held = held.join(edge, by) if by else held.crossJoin(F.broadcast(edge))  # one row
     first = F.floor(F.col("ts_ms") / ms) + 1
     last = F.floor((F.coalesce("next_ms", F.col("end"))) / ms)
     # equal times: of several changes of a level at one time only the last one lasts, and its first moment comes after them all
-    moments = held.where(last >= first).select("side", "tick", "size", F.explode(F.sequence(first, last)).alias("m"))
-    return moments.select((F.col("m") * ms).alias("moment"), "side", "tick", "size")
+    moments = held.where(last >= first).select(*by, "side", "tick", "size", F.explode(F.sequence(first, last)).alias("m"))
+    return moments.select(*by, (F.col("m") * ms).alias("moment"), "side", "tick", "size")
 
 
 def states(levels: DataFrame, best: int = 5) -> DataFrame:
@@ -105,19 +108,28 @@ def _fold(pdf: pd.DataFrame, best: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in LEVELS.split(", ")])
 
 
-def fold_levels(deltas: DataFrame, best: int = 10, ms: int = SPAN) -> DataFrame:
-    """The ``best`` levels of both sides after every update, fewer where the book is thin. Spans of ``ms`` are folded apart: each starts from the levels
-    that hold at its start, so no group is longer than a span."""
-    opening = checkpoints(deltas, ms).select((F.col("moment") / ms).cast("long").alias("bucket"), F.lit(0).alias("k"), F.col("moment").alias("ts_ms"), F.lit(0).cast("long").alias("u"), "side", "tick", "size")
-    rows = deltas.select(F.floor(F.col("ts_ms") / ms).alias("bucket"), F.lit(1).alias("k"), "ts_ms", "u", "side", "tick", "size")
-    return rows.unionByName(opening).groupBy("bucket").applyInPandas(lambda pdf: _fold(pdf, best), LEVELS)
+def fold_levels(deltas: DataFrame, best: int = 10, ms: int = SPAN, by: list[str] | None = None) -> DataFrame:
+    """The ``best`` levels of both sides after every update, fewer where the book is thin, after the columns ``by`` that name a book. Spans of ``ms`` are folded
+    apart: each starts from the levels that hold at its start, so no group is longer than a span of one book."""
+    by = by or []
+    opening = checkpoints(deltas, ms, by).select(*by, (F.col("moment") / ms).cast("long").alias("bucket"), F.lit(0).alias("k"), F.col("moment").alias("ts_ms"), F.lit(0).cast("long").alias("u"), "side", "tick", "size")
+    rows = deltas.select(*by, F.floor(F.col("ts_ms") / ms).alias("bucket"), F.lit(1).alias("k"), "ts_ms", "u", "side", "tick", "size")
+    schema = ", ".join([*(f"`{c}` {deltas.schema[c].dataType.simpleString()}" for c in by), LEVELS])
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = _fold(pdf, best)
+        for i, c in enumerate(by):
+            out.insert(i, c, pdf[c].iloc[0])
+        return out
 
-def fold_states(deltas: DataFrame, ms: int = SPAN) -> DataFrame:
+    return rows.unionByName(opening).groupBy(*by, "bucket").applyInPandas(run, schema)
+
+
+def fold_states(deltas: DataFrame, ms: int = SPAN, by: list[str] | None = None) -> DataFrame:
     """The book's state after every update: best prices, their sizes, sizes of the best five; null where a side is empty."""
     five = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda s, x: s + x))
     first = lambda c: F.get(c, F.lit(0))
-    return fold_levels(deltas, 5, ms).select("ts_ms", "u", first("bid").alias("bid"), first("ask").alias("ask"), first("bid_size").alias("q_bid"), first("ask_size").alias("q_ask"), five("bid_size").alias("q_bid5"), five("ask_size").alias("q_ask5"))
+    return fold_levels(deltas, 5, ms, by).select(*(by or []), "ts_ms", "u", first("bid").alias("bid"), first("ask").alias("ask"), first("bid_size").alias("q_bid"), first("ask_size").alias("q_ask"), five("bid_size").alias("q_bid5"), five("ask_size").alias("q_ask5"))
 
 
 def level_flow(levels: DataFrame, ms: int, best: int = 10) -> DataFrame:

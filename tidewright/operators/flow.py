@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import normal
 from tidewright.functions.windows import by_asset, divide, rolling, trailing, upto
 from tidewright.operators.asof import asof, horizons
+from tidewright.operators.ranges import first_passage
 from tidewright.operators.rolling import simple_return
 
 DAY = 86_400_000
@@ -204,27 +205,14 @@ def cascades(hours: DataFrame) -> DataFrame:
     return scores.join(fit, "symbol").groupBy("symbol").agg(F.max("b").alias("slope"), (F.sqrt(F.sum(F.col("s") * F.col("s")) * g / (g - 1)) / F.max(F.col("n") * F.col("vx"))).alias("se"), F.max("n").alias("n"))
 
 
-def queue_fills(orders: DataFrame, tape: DataFrame, hold_ms: int, spans: int = 72) -> DataFrame:
-    """When a resting order (id, symbol, ts_ms, tick, side) is touched (Q0) and traded through (Q1) within ``hold_ms``.
-
-    Orders first meet the extremes of short spans of time, one row a span whatever trades in it, and only the trades of the spans that can hold the
-    answer: the first that was touched, the first that was traded through, and the two at the ends, which the order's life covers in part.
-    """
-    span = max(1, hold_ms // spans)
-    first, last = F.floor(F.col("ts_ms") / span), F.floor((F.col("ts_ms") + hold_ms) / span)
-    bars = tape.groupBy("symbol", F.floor(F.col("ts_ms") / span).alias("__b")).agg(F.min("tick").alias("__lo"), F.max("tick").alias("__hi"))
-    through = lambda p: (p - F.col("tick")) * F.col("side")
-    met = orders.select("*", F.explode(F.sequence(first, last)).alias("__b")).join(bars, ["symbol", "__b"])
-    worst = F.when(F.col("side") > 0, through(F.col("__lo"))).otherwise(through(F.col("__hi")))
-    inner = (F.col("__b") > first) & (F.col("__b") < last)
-    known = met.groupBy("id").agg(F.first(F.struct("symbol", "ts_ms", "tick", "side")).alias("o"), F.min(F.when(inner & (worst <= 0), F.col("__b"))).alias("b0"), F.min(F.when(inner & (worst < 0), F.col("__b"))).alias("b1"))
-    known = known.select("id", "o.*", "b0", "b1")
-    looked = known.select("id", "symbol", "ts_ms", "tick", "side", F.explode(F.array_distinct(F.filter(F.array(first, "b0", "b1", last), lambda x: x.isNotNull()))).alias("__b"))
-    trades = tape.select("symbol", F.col("ts_ms").alias("t"), F.col("tick").alias("p"), F.floor(F.col("ts_ms") / span).alias("__b"))
-    pairs = looked.join(trades, ["symbol", "__b"]).where((F.col("t") > F.col("ts_ms")) & (F.col("t") <= F.col("ts_ms") + hold_ms))
-    worse = through(F.col("p"))
-    hit = pairs.groupBy("id").agg(F.min(F.when(worse <= 0, F.col("t"))).alias("q0_ms"), F.min(F.when(worse < 0, F.col("t"))).alias("q1_ms"))
-    return orders.join(hit, "id", "left")
+def queue_fills(orders: DataFrame, tape: DataFrame, hold_ms: int, leaves: int = 512) -> DataFrame:
+    """When a resting order (id, symbol, ts_ms, tick, side) is touched (Q0) and traded through (Q1) within ``hold_ms``: two first passages of the price,
+    searched together from blocks of time down to the trades of one ``hold_ms / leaves``."""
+    limits = F.explode(F.array(F.struct(F.lit(0).alias("q"), F.col("tick").alias("limit")), F.struct(F.lit(1).alias("q"), (F.col("tick") - F.col("side")).alias("limit")))).alias("x")
+    asked = orders.select("id", "symbol", "ts_ms", "side", limits).select(F.struct("id", "x.q").alias("__point"), "symbol", "ts_ms", "side", "x.limit")
+    hit = first_passage(asked, tape, ["symbol"], "ts_ms", "limit", "tick", F.col("side") < 0, hold_ms, max(1, hold_ms // leaves), "__point")
+    wide = hit.groupBy("__point.id").agg(F.min(F.when(F.col("__point.q") == 0, F.col("passed"))).alias("q0_ms"), F.min(F.when(F.col("__point.q") == 1, F.col("passed"))).alias("q1_ms"))
+    return orders.join(wide, "id", "left")
 
 
 def latency_walk(levels: DataFrame, size: float, steps: int = 1) -> DataFrame:

@@ -3,6 +3,7 @@
 panel_bars(asset, date, open, high, low, close, volume, trades): daily bars of six assets, from ``lineitem``.
 tape(id, symbol, ts_ms, tick, lots, is_buyer_maker): trades of five symbols, from ``events``; the price is tick / 10.
 book_deltas(ts_ms, u, side, tick, size): changes of book levels, from ``events``; size 0 removes a level.
+market_changes, market_trades: level changes of three books, and what trades against their levels, from ``events``.
 """
 
 from __future__ import annotations
@@ -90,6 +91,28 @@ BOOK_SQL = """book_deltas AS (SELECT epoch_us(ts) // 1000 ts_ms, row_number() OV
     20000 - (CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) * (1 + user_id % 20) tick, CASE WHEN event_type = 'error' THEN 0.0::DOUBLE ELSE value END size FROM events)"""
 
 
+def market_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """market_changes(symbol, ts_ms, u, side, tick, size): level changes of three books with whole sizes, from ``events``, numbered by u in each book."""
+    k = F.floor(F.col("user_id") / 3)
+    side = F.when(k % 2 == 0, 1).otherwise(-1)
+    rows = table(spark, sf_dir, "events").select("ts", "event_id", F.concat(F.lit("M"), F.col("user_id") % 3).alias("symbol"), _ms().alias("ts_ms"), side.alias("side"), k.alias("k"), "event_type", "value", F.lit(1).cast("long").alias("one"))
+    size = F.when(F.col("event_type") == "error", 0).otherwise(1 + F.round(F.col("value") * 100).cast("long") % 40)
+    return _running(rows, ["symbol"], "one").select("symbol", "ts_ms", F.col("running").alias("u"), "side", (20000 - F.col("side") * (1 + F.col("k") % 5)).alias("tick"), size.alias("size"))
+
+
+def market_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """market_trades(id, symbol, ts_ms, side, tick, size): what traded against the resting ``side`` at a level, a third of the events and some of the level's size each."""
+    k = F.floor(F.col("user_id") / 3)
+    side = F.when(k % 2 == 0, 1).otherwise(-1)
+    rows = table(spark, sf_dir, "events").where("event_id % 3 = 1")
+    return rows.select(F.col("event_id").alias("id"), F.concat(F.lit("M"), F.col("user_id") % 3).alias("symbol"), _ms().alias("ts_ms"), side.alias("side"), (20000 - side * (1 + k % 5)).alias("tick"), (1 + F.round(F.col("value") * 100).cast("long") % 25).alias("size"))
+
+
+MARKET_SQL = """mk_ AS (SELECT event_id, ts, 'M' || (user_id % 3) symbol, epoch_us(ts) // 1000 ts_ms, user_id // 3 k, CASE WHEN (user_id // 3) % 2 = 0 THEN 1 ELSE -1 END side, event_type, cast(round(value * 100) AS BIGINT) c FROM events),
+market_changes AS (SELECT symbol, ts_ms, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) u, side, 20000 - side * (1 + k % 5) tick, CASE WHEN event_type = 'error' THEN 0 ELSE 1 + c % 40 END size FROM mk_),
+market_trades AS (SELECT event_id id, symbol, ts_ms, side, 20000 - side * (1 + k % 5) tick, 1 + c % 25 size FROM mk_ WHERE event_id % 3 = 1)"""
+
+
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """macro(month, value, available): a monthly series that is published on the 16th of the next month, from ``orders``."""
     month = F.trunc(F.col("o_orderdate").cast("date"), "MM")
