@@ -19,8 +19,8 @@ from tidewright.llm import textnum as tn
 from tidewright.session import materialise
 
 MIN_LENGTH, MIN_EXP = 6, 4
-#: Comparisons in one task's range of shifts of one text; a text with more is dealt out.
-RANGE_WORK = 1 << 26
+#: Comparisons in one range of shifts of one text, about half a second's; a text with more is dealt out.
+RANGE_WORK = 1 << 30
 WORD = r"[^\x20\x09-\x0D]+"
 RUNS = "array<struct<start:long,length:long,period:long>>"
 RUN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
@@ -120,9 +120,9 @@ def _schema(docs: DataFrame, own: list[str], more: str) -> str:
 
 def _ranges(texts: DataFrame, work: int) -> DataFrame:
     """(__key, start, length, period) of texts (__key, __text), each range of shifts a row of its own that any machine may take."""
-    # a word and the blank behind it are two bytes at least, which bounds the words before any is cut
-    words = ((F.octet_length("__text") + 1) / 2).cast("long")
-    step = F.greatest(F.lit(1).cast("long"), F.floor(work / words).cast("long"))
+    words = F.col("n")
+    step = F.greatest(F.lit(1).cast("long"), F.floor(work / F.greatest(words, F.lit(1))).cast("long"))
+    texts = texts.withColumn("n", F.regexp_count("__text", F.lit(WORD)).cast("long"))
     dealt = texts.withColumn("low", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(words / MIN_EXP).cast("long") + 1, step))).withColumn("high", F.col("low") + step)
     dealt = dealt.repartition("__key", "low")
 
@@ -156,21 +156,26 @@ def _finish(docs: DataFrame, own: list[str]) -> DataFrame:
     return docs.select(*own, "__text", "runs").mapInArrow(run, _schema(docs, own, f"n_words long, runs {RUNS}, collapsed string"))
 
 
-def periodic_runs(docs: DataFrame, text: str | Column = "text", keep: list[str] | None = None, work: int = RANGE_WORK) -> DataFrame:
+def bytes_of(text: Column) -> Column:
+    return F.octet_length(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def periodic_runs(docs: DataFrame, text: str = "text", keep: list[str] | None = None, work: int = RANGE_WORK, size: str | None = None) -> DataFrame:
     """``n_words``, ``runs`` (start, length, period; by start, then period) and ``collapsed`` for each row of ``docs``.
 
     ``collapsed`` has the words that no run holds after its first period, joined by one space. A null or empty text has no words, no runs
     and an empty ``collapsed``; repeated rows count alike; an empty table gives none; columns of ``docs`` named as the results
-    are left out. Texts of over ``work`` comparisons are dealt out as ranges of shifts; of all others nothing is shuffled.
+    are left out. Texts of over ``work`` comparisons, if every other byte were a word, are dealt out as ranges of shifts; of all others nothing is shuffled.
+    ``size`` names a column with about as many bytes as the text has, where a text is an expression that should not be read only to be measured.
     """
     made = ("n_words", "runs", "collapsed")
     own = [c for c in (keep if keep is not None else docs.columns) if c not in made and c not in ("__text", "__key")]
-    source = docs.select(*own, F.coalesce(F.col(text).cast("string") if isinstance(text, str) else text, F.lit("")).alias("__text"))
-    bytes_ = F.octet_length("__text").cast("double")
+    bytes_ = (bytes_of(F.col(text)) if size is None else F.col(size)).cast("double")
     long = bytes_ * bytes_ / (4 * MIN_EXP) > work
-    short = _whole(source.where(~long), own)
+    pick = lambda rows: docs.where(rows).select(*own, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    short = _whole(pick(~long), own)
     # equal long texts are scanned once, whatever row they stand in
-    heavy = materialise(source.where(long).withColumn("__key", F.sha2("__text", 256)), "long-texts")
+    heavy = materialise(pick(long).withColumn("__key", F.sha2("__text", 256)), "long-texts")
     one = heavy.groupBy("__key").agg(F.any_value("__text").alias("__text"))
     runs = _ranges(one, work).groupBy("__key", "start", "length").agg(F.min("period").alias("period"))
     runs = runs.groupBy("__key").agg(F.collect_list(F.struct("start", "length", "period")).alias("runs"))
@@ -179,10 +184,10 @@ def periodic_runs(docs: DataFrame, text: str | Column = "text", keep: list[str]
 
 
 def looped(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with a text in which a tenth of the documents, by crc32 of doc_id, repeat a stretch to their end; a null id repeats none."""
+    """``docs`` (doc_id, text) with a text in which a tenth of the documents, by crc32 of doc_id, repeat a stretch to their end; a null id repeats none. ``size`` has the bytes it had before."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    source = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).cast("long").alias("g"))
+    source = docs.select("doc_id", "text", words.alias("w"), F.floor(h / 10).cast("long").alias("g"), bytes_of(F.col("text")).alias("size"))
     w, n = F.col("w"), F.size("w").cast("long")
     source = source.select("*", F.when(n > 0, F.col("g") % n).alias("a"))
     period = 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)).cast("long")
@@ -191,4 +196,4 @@ def looped(docs: DataFrame) -> DataFrame:
     # the stretch from a, p words long, as often as it takes: slices, whose cost does not grow with each word's place
     tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
     again = F.concat(F.slice(w, F.lit(1), a), tail)
-    return source.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+    return source.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"), "size")

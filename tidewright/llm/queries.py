@@ -158,7 +158,7 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _periodic.periodic_runs(_periodic.looped(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    found = _periodic.periodic_runs(_periodic.looped(table(spark, sf_dir, "documents")), keep=["doc_id"], size="size")
     # exponents are compared as fractions, exactly: a before b if its length * the other's period is larger
     better = lambda a, b: (a["length"] * b["period"] > b["length"] * a["period"]) | ((a["length"] * b["period"] == b["length"] * a["period"]) & (F.struct(a["start"], a["period"]) < F.struct(b["start"], b["period"])))
     best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(better(r, b), r).otherwise(b))
