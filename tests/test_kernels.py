@@ -30,6 +30,24 @@ def test_signals_use_no_later_rows():
         np.testing.assert_allclose(f(300)[:250], f(250), equal_nan=True)
 
 
+def test_supertrend_turns_on_the_bands_of_the_day():
+    # ranges of 2 around the close: ATR 2 from the first day, bands 3 * 2 = 6 away; three days of warming
+    c = np.array([10, 10, 10, 17, 10.5, 10, 3.9, 30], float)
+    got = k.supertrend(c + 1, c - 1, c, 3, 1.0)
+    a = k.atr(c + 1, c - 1, c, 3)
+    up, low = c + a, c - a
+    assert got[:3].tolist() == [0, 0, 1]
+    above, below, trend, expected = up[2], low[2], 1, [1]
+    for i in range(3, 8):
+        above = up[i] if up[i] < above or c[i - 1] > above else above
+        below = low[i] if low[i] > below or c[i - 1] < below else below
+        trend = 1 if c[i] > above else -1 if c[i] < below else trend
+        expected.append(trend)
+    assert got[2:].tolist() == expected
+    # a close that passes the band of the day before, but not today's wider one, turns nothing; a fall through today's does
+    assert k.supertrend(np.array([11, 11, 11, 11.0]), np.array([9, 9, 9, 3.0]), np.array([10, 10, 10, 7.5]), 3, 1.0).tolist() == [0, 0, 1, -1]
+
+
 def test_take_profit_goes_flat_and_trades_again():
     # 12 days of +1 % at a unit of 1 % times sqrt(4): flat once the gain passes 5 units
     r = np.full(14, 0.01)

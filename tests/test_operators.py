@@ -243,16 +243,6 @@ def test_scratch_is_this_applications_own(spark):
     assert materialise(spark.range(3), "three").count() == 3
 
 
-def test_hedged_scores_leave_the_common_component(spark):
-    from tidewright.operators import risk
-
-    pairs = spark.createDataFrame([(1, a, b, 0.5 if a != b else 1.0, 100) for a, b in ("aa", "ab", "ac", "bb", "bc", "cc")], "y long, a string, b string, corr double, n long")
-    scores = spark.createDataFrame([(1, d, x, v) for d, vs in (("2001-01-01", (2.0, 2.0, 2.0)), ("2001-01-02", (1.0, 0.0, -1.0))) for x, v in zip("abc", vs, strict=True)], "y long, d string, asset string, score double").withColumn("date", F.col("d").cast("date")).drop("d")
-    got = risk.pca_hedge(scores, pairs, "y", alpha=0.0).collect()
-    assert all(abs(r.weight) < 1e-9 for r in got if r.date.day == 1)
-    assert sorted(round(r.weight, 9) for r in got if r.date.day == 2) == [-1.0, 0.0, 1.0]
-
-
 def test_feed_source_reads_files(spark, tmp_path):
     from tidewright.sources.feed import FILE
 

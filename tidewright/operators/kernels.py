@@ -145,16 +145,18 @@ def kama_state(p: np.ndarray, mult: float | None = 0.5, window: int = 20, n: int
 
 
 def supertrend(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int = 10, k: float = 3.0) -> np.ndarray:  # noqa: E741
-    """Ratcheting bands k ATR around (H + L) / 2; the trend turns when a close passes yesterday's band. Starts at +1."""
+    """Ratcheting bands k ATR around (H + L) / 2: each moves towards the price only, until the close before has passed it. The trend turns when a close passes today's
+    band. 0 until the average has seen n ranges, +1 on that day."""
     a, mid = atr(h, l, c, n), (h + l) / 2
     up, low = mid + k * a, mid - k * a
-    trend, out = 1, np.ones(len(c))
-    fu, fl = (up[0], low[0]) if len(c) else (0, 0)
-    for i in range(1, len(c)):
-        pu, pl = fu, fl
-        fu = min(up[i], pu) if c[i - 1] <= pu else up[i]
-        fl = max(low[i], pl) if c[i - 1] >= pl else low[i]
-        trend = 1 if c[i] > pu else -1 if c[i] < pl else trend
+    out = np.zeros(len(c))
+    for i in range(n - 1, len(c)):
+        if i == n - 1:
+            above, below, trend = up[i], low[i], 1
+        else:
+            above = up[i] if c[i - 1] > above else min(up[i], above)
+            below = low[i] if c[i - 1] < below else max(low[i], below)
+            trend = 1 if c[i] > above else -1 if c[i] < below else trend
         out[i] = trend
     return out
 

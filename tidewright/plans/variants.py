@@ -189,12 +189,13 @@ def random_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hedged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Past returns as scores, without the year's common components. Tests hold that a score along the first one vanishes."""
-    from tidewright.plans.risk import _pairs
+    """Past returns as scores, without the common components of the three years before each day. Tests hold whole results against numpy."""
+    from tidewright.operators import selection
+    from tidewright.plans.selection import returns
 
     c = F.col("close")
-    s = views.panel_bars(spark, sf_dir).select(F.year("date").cast("long").alias("y"), "date", "asset", (c / F.lag(c, 20).over(by_asset()) - 1).alias("score")).where("score IS NOT NULL")
-    return rounded(risk.pca_hedge(s, _pairs(spark, sf_dir), "y"))
+    s = views.panel_bars(spark, sf_dir).select("date", "asset", (c / F.lag(c, 20).over(by_asset()) - 1).alias("score"))
+    return rounded(selection.trailing_hedge(s, selection.scaled_returns(returns(spark, sf_dir))))
 
 
 @query()

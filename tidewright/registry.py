@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "trend_backtest"
-PLANS = ("panel", "signals", "positions", "joins", "aggregates", "tape", "flow", "book", "queues", "risk", "inference", "kernels", "streams", "sources", "regimes", "forecasts", "variants")
+PLANS = ("panel", "signals", "positions", "joins", "aggregates", "tape", "flow", "book", "queues", "risk", "inference", "kernels", "streams", "sources", "regimes", "forecasts", "variants", "selection")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
