@@ -142,6 +142,42 @@ def test_overlaps_are_those_of_all_segments(spark):
         assert 5 * r.n_matched >= 4 * r.n_words and any(sum(a == b for a, b in zip(d, i[s:], strict=False)) == r.n_matched for s in range(len(i) - r.n_words + 1))
 
 
+def missed_pattern(masks, most=120):
+    """The shortest pattern of equal (1) and other words with 13 equal ones or more and a fifth of others at most that holds no mask: all patterns are walked by their last words."""
+    keep = max(map(len, masks)) - 1
+    ends = np.arange(1 << (keep + 1))
+    hit = np.any([(ends & int(m, 2)) == int(m, 2) for m in masks], axis=0)
+    others = np.full(1 << keep, 10**6)
+    others[0] = 0
+    for n in range(1, most + 1):
+        grown = np.where(hit, 10**6, np.repeat(others, 2) + (1 - (ends & 1)))
+        others = np.full(1 << keep, 10**6)
+        np.minimum.at(others, ends & ((1 << keep) - 1), grown)
+        k = int(others.min())
+        if n - k >= 13 and 5 * k <= n:
+            return n, k
+    return None
+
+
+def test_masks_miss_no_overlap_and_each_is_needed():
+    masks = decontaminate.MASKS
+    assert all(m.count("1") >= 7 and "0" in m for m in masks)
+    assert missed_pattern(masks) is None
+    for m in masks:
+        assert missed_pattern([x for x in masks if x != m]) is not None
+
+
+def test_without_its_masks_nothing_is_found(spark, monkeypatch):
+    rng = random.Random(11)
+    item = prose(rng, 40).split()
+    near = [w if k % 5 else "other" for k, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, prose(rng, 30) + " " + " ".join(near) + " " + prose(rng, 30))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert decontaminate.overlaps(docs, bench).count() == 1
+    monkeypatch.setattr(decontaminate, "MASKS", ("1111111111111",))
+    assert decontaminate.overlaps(docs, bench).count() == 0
+
+
 def test_a_full_bitmap_and_short_tiles_give_the_same(spark, sf, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = {tuple(r) for r in decontaminate.overlaps(docs, bench).collect()}

@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from tidewright.llm import textnum as tn
 from tidewright.session import materialise
 
-#: Masks: 1 is hashed, 0 is ignored. The last finds every overlap of 13 equal words and the share: 13 to 15 equal words have at most 3 others
-#: between them, and k >= 16 at most k / 4, so four equal words always stand together.
-MASKS = ("1101100101011", "1011010011011", "1110010110101", "1111")
-SPAN = len(MASKS[0])
+#: Masks of weight 7: 1 is hashed, 0 is ignored. Together they find every overlap: any pattern of 13 equal words or more with a fifth of others at most holds one of the
+#: masks somewhere, whatever its length. A test walks all patterns up to 120 words; a longer one falls into parts of 20 to 40 words, of which one has a fifth at most.
+MASKS = ("11101111", "110011111", "1111010011", "110100010111", "1110100001011")
 #: An overlap has at least so many equal words, or the whole item if that is shorter, and this share of its words equal.
 MIN_WORDS, MIN_SHARE = 13, 0.8
+#: Items of so many words or more have the seeds of all masks.
+SPAN = max(map(len, MASKS))
 #: What a word counts, in whole numbers: a sum of 0 or more means the share.
 EQUAL, OTHER = 1, -4
 #: Items of fewer words overlap nothing: any text may hold them.
