@@ -142,6 +142,12 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(divide(cov, sd).alias("rho"), n.alias("n"))
 
 
+def sliced_spearman(df: DataFrame, keys: list[str], x: str, y: str, slices: dict[str, Column]) -> DataFrame:
+    """(keys, slice, rho, n): the rank correlation within each named condition, to see whether one of all rows is made by the slices' own levels (Simpson's paradox). Ranks are of the slice."""
+    named = F.explode(F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in slices.items()]), lambda s: s.isNotNull())).alias("slice")
+    return spearman(df.select(*keys, x, y, named), [*keys, "slice"], x, y)
+
+
 def flow_fifths(tape: DataFrame, ms: int) -> DataFrame:
     """Blocks by fifth of their signed flow: the move inside and in the next block, and its standard error clustered by day."""
     at = F.struct("ts_ms", "id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,12 +93,23 @@ def propagator(c: list[float], r: list[float]) -> np.ndarray:
     return np.linalg.lstsq(m, np.asarray(r, float), rcond=None)[0]
 
 
+def propagators(responses: DataFrame) -> DataFrame:
+    """(symbol, lag, g): kernel values of each symbol from its (symbol, lag, c, r); a group is a symbol's lags."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("lag")
+        g = propagator(x.c.tolist(), x.r.tolist())
+        return pd.DataFrame({"symbol": x.symbol.to_numpy(), "lag": x.lag.to_numpy().astype(np.int64), "g": g})
+
+    return responses.select("symbol", "lag", "c", "r").groupBy("symbol").applyInPandas(run, "symbol string, lag long, g double")
+
+
 def response_curve(moves: DataFrame, size: str, move: str, keys: list[str]) -> DataFrame:
-    """Exponent and scale of |move| ~ size^b on class means, log-log, net of the control mean of the same keys."""
+    """By keys: exponent and scale of |move| ~ size^b on class means, log-log, net of the control mean of the same keys."""
     base = moves.groupBy(*keys).agg(F.avg(move).alias("__c"))
     net = moves.join(base, keys).withColumn("__n", F.col(move) - F.col("__c")) if keys else moves.withColumn("__n", F.col(move))
-    cls = net.groupBy(size).agg(F.avg(F.abs("__n")).alias("m"), F.count("*").alias("n")).where("m > 0")
-    return cls.agg(F.regr_slope(F.ln("m"), F.ln(F.col(size))).alias("exponent"), F.exp(F.regr_intercept(F.ln("m"), F.ln(F.col(size)))).alias("scale"), F.sum("n").alias("n"))
+    cls = net.groupBy(*keys, size).agg(F.avg(F.abs("__n")).alias("m"), F.count("*").alias("n")).where("m > 0")
+    return cls.groupBy(*keys).agg(F.regr_slope(F.ln("m"), F.ln(F.col(size))).alias("exponent"), F.exp(F.regr_intercept(F.ln("m"), F.ln(F.col(size)))).alias("scale"), F.sum("n").alias("n"))
 
 
 def slippage(fills: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -102,11 +102,28 @@ def benjamini_hochberg(df: DataFrame, p: str, level: float = 0.05) -> DataFrame:
     return ranked.withColumn("q", q).withColumn("rejected", F.col("q") <= level).drop("__q", "__i")
 
 
+#: Up to so many values the binomial tail is summed term by term; beyond it the normal approximation is closer than a thousandth of p.
+EXACT_SIGNS = 10_000
+
+
+def binomial_tail(n: Column, k: Column) -> Column:
+    """P(X <= k) of n fair tosses: terms as multiples of the k-th, downwards and upwards, so none is too small to count."""
+    n, k = n.cast("double"), k.cast("double")
+    step = lambda ratio: lambda s, i: F.struct((s["t"] * ratio(i)).alias("t"), (s["sum"] + s["t"] * ratio(i)).alias("sum"))
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("sum"))
+    count = lambda m: F.when(m > 0, F.sequence(F.lit(1), m.cast("int"))).otherwise(F.array().cast("array<int>"))
+    below = F.aggregate(count(k), start, step(lambda i: (k - i + 1) / (n - k + i)))["sum"]
+    above = F.aggregate(count(n - k), start, step(lambda i: (n - k - i + 1) / (k + i)))["sum"]
+    return (1 + below) / (1 + below + above)
+
+
 def sign_test(df: DataFrame, keys: list[str], x: str) -> DataFrame:
-    """Two-sided binomial p of the number of positive values, by the normal approximation with continuity correction."""
-    n, k = F.count_if(F.col(x) != 0), F.count_if(F.col(x) > 0)
+    """Two-sided binomial p of the number of positive values: exact up to ``EXACT_SIGNS`` values, by the normal approximation with continuity correction beyond."""
+    n, k = F.col("n"), F.col("positive")
+    counts = df.groupBy(*keys).agg(F.count_if(F.col(x) != 0).alias("n"), F.count_if(F.col(x) > 0).alias("positive"))
     z = divide(F.abs(k - n / 2) - 0.5, F.sqrt(n) / 2)
-    return df.groupBy(*keys).agg(n.alias("n"), k.alias("positive"), F.least(2 * (1 - normal.cdf(F.greatest(z, F.lit(0.0)))), F.lit(1.0)).alias("p"))
+    p = F.when(n <= EXACT_SIGNS, binomial_tail(n, F.least(k, n - k))).otherwise(1 - normal.cdf(F.greatest(z, F.lit(0.0))))
+    return counts.withColumn("p", F.least(2 * p, F.lit(1.0)))
 
 
 def bucket_of(df: DataFrame, x: str, n: int = 64) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,14 +99,19 @@ def audit_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.groupBy("event_type").pivot("by", ["a", "b", "c"]).count().fillna(0)
 
 
-@query()
+@query(
+    f"""{T}, m AS (SELECT symbol, lots, tick - 20000 AS m FROM tape), b AS (SELECT symbol, avg(m) c FROM m GROUP BY 1), k AS (SELECT symbol, lots, avg(abs(m - c)) m, count(*) n FROM m JOIN b USING (symbol) GROUP BY 1, 2 HAVING avg(abs(m - c)) > 0)
+    SELECT symbol, {r('regr_slope(ln(m), ln(lots))', 'exponent')}, {r('exp(regr_intercept(ln(m), ln(lots)))', 'scale')}, cast(sum(n) AS BIGINT) n FROM k GROUP BY 1"""
+)
 def impact_exponent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponent of the response to order size, and the propagator's first kernel values from the response functions."""
+    """Exponent of the response to order size, by symbol."""
+    moves = views.tape(spark, sf_dir).select("symbol", "lots", (F.col("tick") - 20000).cast("double").alias("m"))
+    return rounded(forecast.response_curve(moves, "lots", "m", ["symbol"]))
+
+
+@query()
+def impact_propagator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel values of the propagator by symbol and lag, from the response functions. Tests hold them against numpy over the whole tape."""
     from tidewright.operators import flow
 
-    t = views.tape(spark, sf_dir)
-    moves = flow.response(t, list(range(1, 9))).groupBy("lag").agg(F.avg("c").alias("c"), F.avg("r").alias("r")).orderBy("lag").collect()
-    g = forecast.propagator([m.c for m in moves], [m.r for m in moves])
-    fit = forecast.response_curve(t.select("symbol", "lots", (F.col("tick") - 20000).cast("double").alias("m")), "lots", "m", ["symbol"]).first()
-    rows = [("exponent", float(fit.exponent)), ("scale", float(fit.scale)), *((f"g{k + 1}", float(v)) for k, v in enumerate(g))]
-    return rounded(spark.createDataFrame([x for x in rows if not math.isnan(x[1])], "name string, value double"))
+    return rounded(forecast.propagators(flow.response(views.tape(spark, sf_dir), list(range(1, 9)))))

@@ -48,7 +48,7 @@ def clustered_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inf.clustered_mean(x, ["symbol"], "x", "d"))
 
 
-SIGN_P = f"least(2 * (1 - ({normal.cdf_sql('greatest((abs(k - n / 2) - 0.5) / (sqrt(n) / 2), 0)')})), 1)"
+SIGN_P = "least(2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 1)"
 SIGNS = f"z AS (SELECT stream, count(*) FILTER (r <> 0) n, count(*) FILTER (r > 0) k FROM streams GROUP BY 1)"
 
 

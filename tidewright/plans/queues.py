@@ -156,3 +156,33 @@ def queue_fill_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = asof(trades.select("id", "symbol", "side", "ts_ms"), state.select("symbol", "ts_ms", "s.bid", "s.ask"), "symbol", "ts_ms", ["bid", "ask"])
     orders = at.select("id", "symbol", "side", F.when(F.col("side") == 1, F.col("bid")).otherwise(F.col("ask")).alias("tick"), "ts_ms").where("tick IS NOT NULL")
     return queues.queue_rules(orders, changes, trades, BY, 24 * HOUR, 1.5)
+
+
+@query(
+    f"""{M}, {EVENTS}, {BEST}, b1_ AS (SELECT g.symbol, g.ts_ms, g.side, g.tick, b.size FROM g_ g ASOF JOIN lc_ b ON g.symbol = b.symbol AND g.side = b.side AND g.tick = b.tick AND g.ts_ms >= b.ts_ms),
+    st_ AS (SELECT symbol, ts_ms, max(tick) FILTER (side = 1) bid, min(tick) FILTER (side = -1) ask, max_by(size, tick) FILTER (side = 1) qb, min_by(size, tick) FILTER (side = -1) qa FROM b1_ WHERE size > 0 GROUP BY 1, 2),
+    m_ AS (SELECT symbol, ts_ms, ts_ms // {24 * HOUR} AS "day", bid + ask mid2, (qb - qa)::DOUBLE / (qb + qa) i1 FROM st_ WHERE bid IS NOT NULL AND ask IS NOT NULL),
+    n_ AS (SELECT *, CASE WHEN mid2 <> lag(mid2) OVER w THEN {{'s': sign(mid2 - lag(mid2) OVER w), 't': ts_ms}} END c FROM m_ WINDOW w AS (PARTITION BY symbol, "day" ORDER BY ts_ms)), l_ AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY symbol, "day" ORDER BY ts_ms) v FROM n_),
+    t_ AS (SELECT symbol, ts_ms, max_by(tick, id) tick FROM market_trades GROUP BY 1, 2), x_ AS (SELECT l.symbol, i1, 2 * t.tick - mid2 gap, v.s s, l.ts_ms - v.t age FROM l_ l ASOF JOIN t_ t ON l.symbol = t.symbol AND l.ts_ms >= t.ts_ms WHERE v IS NOT NULL),
+    y_ AS (SELECT symbol, i1, gap, unnest(list_filter(['all', CASE WHEN s > 0 THEN 'up' END, CASE WHEN s < 0 THEN 'down' END, CASE WHEN age < {HOUR} THEN 'new' END, CASE WHEN age >= {HOUR} THEN 'old' END], lambda z: z IS NOT NULL)) slice FROM x_),
+    r_ AS (SELECT symbol, slice, rank() OVER (PARTITION BY symbol, slice ORDER BY i1) + (count(*) OVER (PARTITION BY symbol, slice, i1) - 1) / 2.0 rx, rank() OVER (PARTITION BY symbol, slice ORDER BY gap) + (count(*) OVER (PARTITION BY symbol, slice, gap) - 1) / 2.0 ry FROM y_)
+    SELECT symbol, slice, {r6_sql('corr(rx, ry)')} AS rho, count(*) n FROM r_ GROUP BY 1, 2"""
+)
+def simpson_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imbalance against the gap of the last trade to the mid: over all updates, after up and after down moves of the mid, and by the age of that move."""
+    from tidewright.operators import flow
+    from tidewright.operators.asof import asof
+
+    changes = queues.last_of_time(views.market_changes(spark, sf_dir), BY)
+    state = book.fold_states(changes, SPAN, BY).groupBy("symbol", "ts_ms").agg(F.max_by(F.struct("bid", "ask", "q_bid", "q_ask"), "u").alias("s")).select("symbol", "ts_ms", "s.*")
+    mids = state.where("bid IS NOT NULL AND ask IS NOT NULL").select("symbol", "ts_ms", F.floor(F.col("ts_ms") / (24 * HOUR)).alias("day"), (F.col("bid") + F.col("ask")).alias("mid2"), book.imbalance(F.col("q_bid"), F.col("q_ask")).alias("i1"))
+    w = Window.partitionBy("symbol", "day").orderBy("ts_ms")
+    step = F.col("mid2") - F.lag("mid2").over(w)
+    moved = mids.withColumn("c", F.when(step != 0, F.struct(F.signum(step).alias("s"), F.col("ts_ms").alias("t"))))
+    last = moved.select("*", F.last("c", ignorenulls=True).over(w).alias("v")).where("v IS NOT NULL")
+    trades = views.market_trades(spark, sf_dir).groupBy("symbol", "ts_ms").agg(F.max_by("tick", "id").alias("tick"))
+    met = asof(last.select("symbol", "ts_ms", "mid2", "i1", F.col("v.s").alias("s"), F.col("v.t").alias("t")), trades, "symbol", "ts_ms", ["tick"]).where("tick IS NOT NULL")
+    age = F.col("ts_ms") - F.col("t")
+    x = met.withColumn("gap", 2 * F.col("tick") - F.col("mid2"))
+    slices = {"all": F.lit(True), "up": F.col("s") > 0, "down": F.col("s") < 0, "new": age < HOUR, "old": age >= HOUR}
+    return rounded(flow.sliced_spearman(x, BY, "i1", "gap", slices))

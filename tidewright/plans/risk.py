@@ -12,7 +12,6 @@ from tidewright.functions.windows import by_asset, r6_sql, rounded
 from tidewright.operators import risk
 from tidewright.operators.rolling import simple_return
 from tidewright.registry import query
-from tidewright.session import table
 
 P = f"WITH {views.PANEL_SQL}"
 W = "PARTITION BY asset ORDER BY date"
@@ -78,10 +77,10 @@ def correlation_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def embedding_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dimensions of the embeddings as assets, vectors as days: a pair table of 64 or so columns over any number of rows."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("y"), F.col("vec_id").alias("i"), F.posexplode("embedding").alias("d", "r"))
-    x = e.where("d < 16").select("y", "i", F.format_string("d%03d", "d").alias("asset"), F.col("r").cast("double").alias("r"))
-    return rounded(risk.spectra(risk.pairs(x, "y", 5), "y"))
+    """Dimensions of the embeddings as assets, vectors as days: a pair table of all their columns over any number of rows."""
+    from tidewright.plans.selection import embedding_pairs
+
+    return rounded(risk.spectra(embedding_pairs(spark, sf_dir), "y"))
 
 
 # two contracts a month: the panel as front, and the same shifted in level as the next, expiring a month apart

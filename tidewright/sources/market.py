@@ -33,6 +33,22 @@ def cached_panel(cache: DataFrame, fetched: DataFrame, wanted: list[str]) -> tup
     return out, sorted(missing)
 
 
+def adjusted_panel(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(asset, date, open, high, low, close, volume) from vendor CSV files, one an asset and named after it, with columns Date, Open, High, Low, Close, Adj Close, Volume.
+
+    Prices are scaled by Adj Close / Close, so the close is the adjusted one; days without it are left out, as are days before ``start`` or from ``end`` on. A file is one task; what is no number is null.
+    """
+    raw = spark.read.option("header", True).csv(path).withColumn("asset", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1))
+    number = lambda c: F.expr(f"try_cast(`{c}` AS double)")
+    factor = number("Adj Close") / F.nullif(number("Close"), F.lit(0.0))
+    scaled = [(number(c) * factor).alias(c.lower()) for c in ("Open", "High", "Low")]
+    out = raw.select("asset", F.expr("try_cast(`Date` AS date)").alias("date"), *scaled, number("Adj Close").alias("close"), number("Volume").alias("volume")).where("date IS NOT NULL AND close IS NOT NULL")
+    for bound, side in ((start, lambda d: F.col("date") >= d), (end, lambda d: F.col("date") < d)):
+        if bound is not None:
+            out = out.where(side(F.lit(bound).cast("date")))
+    return out
+
+
 TRADES = "agg_trade_id long, price double, quantity double, first_trade_id long, last_trade_id long, transact_time long, is_buyer_maker boolean"
 
 
