@@ -31,8 +31,10 @@ def asof(left: DataFrame, right: DataFrame, by: str, on: str, values: list[str],
     order = Window.partitionBy("__by").orderBy(F.desc("__span") if forward else "__span").rowsBetween(Window.unboundedPreceding, -1)
     held = spans.select("__by", "__span", F.last("__e", ignorenulls=True).over(order).alias("__e")).where("__e IS NOT NULL")
     b = b.unionByName(held.select("__by", "__span", "__e.__on", "__e.__k", "__e.__r"), allowMissingColumns=True)
-    w = Window.partitionBy("__by", "__span").orderBy(F.col("__on"), F.col("__k"), F.col("__r"))
-    match = F.first("__r", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if forward else F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # frames that grow from the start keep one value; those that end at the last row would be evaluated anew for each row
+    order = ("__on", "__k", "__r")
+    w = Window.partitionBy("__by", "__span").orderBy(*[F.desc(c) if forward else F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    match = F.last("__r", ignorenulls=True).over(w)
     out = a.unionByName(b).withColumn("__m", match).where("__l IS NOT NULL")
     if tolerance is not None:
         out = out.withColumn("__m", F.when(F.abs(F.col("__on") - F.col("__m.__at")) <= tolerance, F.col("__m")))

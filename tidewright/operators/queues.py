@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators.asof import SPAN, asof
 from tidewright.operators.ranges import first_passage, running
+from tidewright.session import materialise
 
 
 def last_of_time(changes: DataFrame, by: list[str]) -> DataFrame:
@@ -157,18 +158,22 @@ def queue_reached(orders: DataFrame, changes: DataFrame, trades: DataFrame, by:
     known = last_of_time(changes, by).select(key.alias("__level"), "ts_ms", F.col("size").cast("double").alias("size"))
     each = trades.select(key.alias("__level"), "ts_ms", F.col("size").cast("double").alias("size"))
     sums = running(each, ["__level"], "ts_ms", ["size"]).withColumnRenamed("size", "__upto")
-    joined = orders.select("id", key.alias("__level"), "ts_ms")
-    shown = asof(joined, known, "__level", "ts_ms", ["size"]).select("id", "__level", "ts_ms", F.coalesce("size", F.lit(0.0)).alias("shown"), F.coalesce("ts_ms_matched", F.col("ts_ms")).alias("__since"))
-    traded = asof(shown, sums, "__level", "ts_ms", ["__upto"]).drop("ts_ms_matched")
-    earlier = asof(traded.withColumnRenamed("__upto", "__now").withColumnRenamed("ts_ms", "__t").withColumnRenamed("__since", "ts_ms"), sums, "__level", "ts_ms", ["__upto"])
-    since = F.coalesce("__now", F.lit(0.0)) - F.coalesce("__upto", F.lit(0.0))
-    lined = earlier.select("id", "__level", F.col("__t").alias("ts_ms"), F.greatest(F.col("shown") - since, F.lit(0.0)).alias("ahead"), "shown", since.alias("since"))
+    # at each time of a level: what it shows, what has traded so far, and what had traded at its last change
+    both = known.select("__level", "ts_ms", F.col("size").alias("__size")).unionByName(sums, allowMissingColumns=True).groupBy("__level", "ts_ms").agg(F.max("__size").alias("__size"), F.max("__upto").alias("__upto"))
+    sofar = Window.partitionBy("__level").orderBy("ts_ms")
+    filled = both.select("__level", "ts_ms", F.last("__size", ignorenulls=True).over(sofar).alias("shown"), F.coalesce(F.last("__upto", ignorenulls=True).over(sofar), F.lit(0.0)).alias("__upto"), F.col("__size").isNotNull().alias("__changed"))
+    state = filled.withColumn("__then", F.last(F.when(F.col("__changed"), F.col("__upto")), ignorenulls=True).over(sofar))
+    met = asof(orders.select("id", key.alias("__level"), "ts_ms"), state.select("__level", "ts_ms", "shown", "__upto", "__then"), "__level", "ts_ms", ["shown", "__upto", "__then"])
+    # on a level that never showed nothing stands ahead, whatever traded there
+    since = F.when(F.col("shown").isNull(), 0.0).otherwise(F.col("__upto") - F.col("__then"))
+    shown = F.coalesce("shown", F.lit(0.0))
+    lined = materialise(met.select("id", "__level", "ts_ms", F.greatest(shown - since, F.lit(0.0)).alias("ahead"), (shown - since).alias("whole")), "orders-in-line")
     span = lambda c: F.floor(F.col(c) / hold_ms)
-    queue = lined.select(F.col("__level"), span("ts_ms").alias("__span"), F.lit(2).alias("kind"), "ts_ms", F.col("ahead").alias("size"), "id", (F.col("shown") - F.col("since")).alias("whole"))
-    both = lambda df, k: df.select("__level", F.explode(F.array(span("ts_ms"), span("ts_ms") - 1)).alias("__span"), F.lit(k).alias("kind"), "ts_ms", "size", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("whole"))
+    queue = lined.select(F.col("__level"), span("ts_ms").alias("__span"), F.lit(2).alias("kind"), "ts_ms", F.col("ahead").alias("size"), "id", "whole")
+    spread = lambda df, k: df.select("__level", F.explode(F.array(span("ts_ms"), span("ts_ms") - 1)).alias("__span"), F.lit(k).alias("kind"), "ts_ms", "size", F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("whole"))
     # only spans in which an order joins need their events
     asked = queue.select("__level", "__span").distinct()
-    happened = both(each, 0).unionByName(both(known, 1)).join(asked, ["__level", "__span"], "left_semi")
+    happened = spread(each, 0).unionByName(spread(known, 1)).join(asked, ["__level", "__span"], "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         o = pdf[pdf.kind == 2]

@@ -9,6 +9,7 @@ from tidewright import views
 from tidewright.functions.windows import r6_sql, rounded
 from tidewright.operators import book, queues
 from tidewright.registry import query
+from tidewright.session import materialise
 
 BY = ["symbol"]
 HOUR = 3_600_000
@@ -28,11 +29,12 @@ SPAN = 6 * HOUR
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queues.level_events(views.market_changes(spark, sf_dir), views.market_trades(spark, sf_dir), BY)
+    """Written once: what follows reads it several times."""
+    return materialise(queues.level_events(views.market_changes(spark, sf_dir), views.market_trades(spark, sf_dir), BY), "level-events")
 
 
 def best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queues.best_before(views.market_changes(spark, sf_dir), BY, SPAN)
+    return materialise(queues.best_before(views.market_changes(spark, sf_dir), BY, SPAN), "best")
 
 
 @query(f"{M}, {EVENTS} SELECT symbol, side, tick, ts_ms, u, size, hit, old, added, traded, cancelled FROM events_")
@@ -83,7 +85,8 @@ def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = book.fold_states(queues.last_of_time(views.market_changes(spark, sf_dir), BY), SPAN, BY)
     last = state.groupBy("symbol", "ts_ms").agg(F.max_by(F.struct("q_bid5", "q_ask5"), "u").alias("s"))
     sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("s.q_bid5").alias("depth")), F.struct(F.lit(-1).alias("side"), F.col("s.q_ask5").alias("depth")))).alias("x")
-    return last.select("symbol", "ts_ms", sides).select("symbol", "x.side", "ts_ms", F.col("x.depth").cast("long").alias("depth")).where("depth IS NOT NULL")
+    out = last.select("symbol", "ts_ms", sides).select("symbol", "x.side", "ts_ms", F.col("x.depth").cast("long").alias("depth")).where("depth IS NOT NULL")
+    return materialise(out, "depths")
 
 
 #: Depth before each update of a side, and whether the update took a fifth of it or more by trades.
@@ -92,14 +95,14 @@ SHOCKS = """tr_ AS (SELECT symbol, side, ts_ms, cast(sum(traded) AS BIGINT) trad
     shocks_ AS (SELECT symbol || '/' || side || '/' || ts_ms AS id, *, 5 * traded >= "before" AS shock FROM sh_)"""
 
 
-def shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shocks(spark: SparkSession, sf_dir: str, depth: DataFrame) -> DataFrame:
     """(id, symbol, side, ts_ms, before, shock) of every update of a side."""
     from tidewright.operators.asof import asof
 
     took = events(spark, sf_dir).groupBy("symbol", "side", "ts_ms").agg(F.sum("traded").alias("traded")).withColumn("__book", F.struct("symbol", "side"))
-    known = depths(spark, sf_dir).select(F.struct("symbol", "side").alias("__book"), "ts_ms", "depth")
+    known = depth.select(F.struct("symbol", "side").alias("__book"), "ts_ms", "depth")
     met = asof(took, known, "__book", "ts_ms", ["depth"], strict=True).where("depth IS NOT NULL")
-    return met.select(F.concat_ws("/", "symbol", "side", "ts_ms").alias("id"), "symbol", "side", "ts_ms", F.col("depth").alias("before"), (5 * F.col("traded") >= F.col("depth")).alias("shock"))
+    return materialise(met.select(F.concat_ws("/", "symbol", "side", "ts_ms").alias("id"), "symbol", "side", "ts_ms", F.col("depth").alias("before"), (5 * F.col("traded") >= F.col("depth")).alias("shock")), "shocks")
 
 
 @query(
@@ -107,7 +110,8 @@ def shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def refill_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long after trades took a fifth of a side or more its depth is back at nine tenths."""
-    return queues.refill_times(shocks(spark, sf_dir).where("shock"), depths(spark, sf_dir), BY, 48 * HOUR, HOUR // 2)
+    depth = depths(spark, sf_dir)
+    return queues.refill_times(shocks(spark, sf_dir, depth).where("shock"), depth, BY, 48 * HOUR, HOUR // 2)
 
 
 STEPS = [HOUR // 4, HOUR, 4 * HOUR, 12 * HOUR]
@@ -122,7 +126,8 @@ STEPS = [HOUR // 4, HOUR, 4 * HOUR, 12 * HOUR]
 )
 def refill_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth after shocks against that after other updates of the same fifth of depth; the bounds of the fifths are those of the first half of the time."""
-    all_ = shocks(spark, sf_dir)
+    depth = depths(spark, sf_dir)
+    all_ = shocks(spark, sf_dir, depth)
     half = all_.groupBy("symbol", "side").agg((F.min("ts_ms") + F.floor((F.max("ts_ms") - F.min("ts_ms")) / 2)).alias("half"))
     early = all_.join(half, ["symbol", "side"]).where(F.col("ts_ms") <= F.col("half")).groupBy("symbol", "side", "before").agg(F.count("*").alias("k"))
     w = Window.partitionBy("symbol", "side")
@@ -131,7 +136,7 @@ def refill_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = ranked.groupBy("symbol", "side").agg(F.array(*[F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)), F.col("before"))) for p in (0.2, 0.4, 0.6, 0.8)]).alias("q"))
     cell = F.concat_ws("/", "symbol", "side", F.size(F.filter("q", lambda x: x < F.col("before"))))
     cells = all_.join(bounds, ["symbol", "side"]).select("id", "shock", cell.alias("cell"))
-    return rounded(queues.matched_curves(queues.refill_curves(all_, depths(spark, sf_dir), BY, STEPS), cells))
+    return rounded(queues.matched_curves(queues.refill_curves(all_, depth, BY, STEPS), cells))
 
 
 SHIFTS = [*range(-60_000, 60_001, 5_000)]
@@ -155,6 +160,7 @@ def queue_fill_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = book.fold_states(queues.last_of_time(changes, BY), SPAN, BY).groupBy("symbol", "ts_ms").agg(F.max_by(F.struct("bid", "ask"), "u").alias("s"))
     at = asof(trades.select("id", "symbol", "side", "ts_ms"), state.select("symbol", "ts_ms", "s.bid", "s.ask"), "symbol", "ts_ms", ["bid", "ask"])
     orders = at.select("id", "symbol", "side", F.when(F.col("side") == 1, F.col("bid")).otherwise(F.col("ask")).alias("tick"), "ts_ms").where("tick IS NOT NULL")
+    orders = materialise(orders, "orders")
     return queues.queue_rules(orders, changes, trades, BY, 24 * HOUR, 1.5)
 
 
