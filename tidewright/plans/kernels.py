@@ -123,8 +123,8 @@ def donchian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.per_asset(panel(spark, sf_dir).select("asset", "date", "high", "low", "close"), {"state": lambda d: k.donchian(*a(d), 20, 10), "flipped": lambda d: k.donchian(*a(d), 20, 10, flip=True)})
 
 
-_A = "(s.a + 0.1::DOUBLE * (b.tr - s.a))"
-_UP, _LOW = f"((b.high + b.low) / 2 + 3 * {_A})", f"((b.high + b.low) / 2 - 3 * {_A})"
+_ATR = "(s.a + 0.1::DOUBLE * (b.tr - s.a))"
+_UP, _LOW = f"((b.high + b.low) / 2 + 3 * {_ATR})", f"((b.high + b.low) / 2 - 3 * {_ATR})"
 _FU, _FL = f"CASE WHEN b.i <= 10 OR b.pc > s.fu THEN {_UP} ELSE least({_UP}, s.fu) END", f"CASE WHEN b.i <= 10 OR b.pc < s.fl THEN {_LOW} ELSE greatest({_LOW}, s.fl) END"
 
 
@@ -132,7 +132,7 @@ _FU, _FL = f"CASE WHEN b.i <= 10 OR b.pc > s.fu THEN {_UP} ELSE least({_UP}, s.f
     fold(
         f"{P}, b AS (SELECT asset, date, high, low, close, row_number() OVER ({W}) i, lag(close) OVER ({W}) pc, greatest(high - low, abs(high - lag(close) OVER ({W})), abs(low - lag(close) OVER ({W}))) tr FROM panel_bars)",
         {"a": "b.tr", "fu": "0", "fl": "0", "t": "0"},
-        {"a": _A, "fu": _FU, "fl": _FL, "t": f"CASE WHEN b.i < 10 THEN 0 WHEN b.i = 10 THEN 1 WHEN b.close > {_FU} THEN 1 WHEN b.close < {_FL} THEN -1 ELSE s.t END"},
+        {"a": _ATR, "fu": _FU, "fl": _FL, "t": f"CASE WHEN b.i < 10 THEN 0 WHEN b.i = 10 THEN 1 WHEN b.close > {_FU} THEN 1 WHEN b.close < {_FL} THEN -1 ELSE s.t END"},
         "asset, date, t trend",
     )
 )
