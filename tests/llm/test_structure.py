@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import same
 from tidewright.llm import neighbours, periodic, turnrepair
 from tidewright.llm import queries as q
 
@@ -160,6 +161,7 @@ def test_repairs_of_odd_conversations(spark, tmp_path):
     spark.createDataFrame(rows, TURNS).withColumn("audit", F.lit(1)).withColumn("t", F.lit(2)).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: tuple(r[n] for n in NAMES) for r in q.op11_turn_repair(spark, str(tmp_path)).collect()}
     assert got == plain_repair(rows)
+    same(q.op11_turn_repair(spark, str(tmp_path)), q.ORACLE_SQL["op11_turn_repair"], str(tmp_path))
 
 
 def test_conversations_are_repaired_as_they_are(spark):

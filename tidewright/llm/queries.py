@@ -157,6 +157,41 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.withColumn("repaired_sha256", F.sha2(_turnrepair.text_of(F.col("repaired")).cast("binary"), 256)).drop("repaired")
 
 
+def _op11_sql() -> str:
+    """Damage by a table-driven crc32, then the cheapest (cost, audit) of each state row by row; audits are compared as text, so ties fall as in the search."""
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    go = lambda state, cost, edit, when="true": f"CASE WHEN f.{state} IS NOT NULL AND {when} THEN {{'c': f.{state}.c + {cost}, 'a': f.{state}.a || '{edit}'}} END"
+    least = lambda *options: f"list_min([{', '.join(options)}])"
+    delete, rerole, keep = (lambda x: go(x, 3, "D")), (lambda x: go(x, "2 + r.e", "R", "r.ok")), (lambda x, role: go(x, "r.e", "K", f"r.ok AND r.ini = '{role}'"))
+    step = {
+        "n": least(delete("n")),
+        "s": least(delete("s"), keep("n", "s")),
+        "u": least(delete("u"), rerole("n"), rerole("s"), rerole("a"), keep("n", "u"), keep("s", "u"), keep("a", "u")),
+        "a": least(delete("a"), rerole("u"), keep("u", "a")),
+    }
+    insert = lambda t, x: f"CASE WHEN {t}.{x} IS NOT NULL THEN {{'c': {t}.{x}.c + 2, 'a': {t}.{x}.a || 'I'}} END"
+    return rf"""
+    WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) t),
+    ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id NULLS FIRST) g FROM (SELECT DISTINCT conv_id FROM conversations)),
+    d0 AS (SELECT g, turn, role, text, coalesce(role, ' ') r0, coalesce(text, ' ') t0, list_transform(string_split(coalesce(cast(c.conv_id AS VARCHAR), ' ') || ':' || coalesce(cast(turn AS VARCHAR), ' '), ''), lambda x: ord(x)) b FROM conversations c JOIN ids i ON c.conv_id IS NOT DISTINCT FROM i.conv_id),
+    d1 AS (SELECT d0.*, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(t[cast(xor(c, x) & 255 AS BIGINT) + 1], c >> 8)), 4294967295) % 20 k FROM d0, tab),
+    d2 AS (SELECT g, turn, role, text, unnest(CASE WHEN k = 0 THEN []::INT[] WHEN k = 3 THEN [0, 1] ELSE [0] END) nth, CASE WHEN k = 4 THEN 'user' ELSE r0 END shown, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(t0, '.!?', '') ELSE t0 END said FROM d1),
+    d3 AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST, nth) i, CASE WHEN shown = '' THEN ' ' ELSE left(shown, 1) END ini FROM d2),
+    d4 AS (SELECT *, row_number() OVER (PARTITION BY g, shown, said ORDER BY i) copy, rtrim(said, {blanks}) tail FROM d3),
+    r AS (SELECT *, CASE WHEN tail = '' THEN 'b' WHEN copy > 1 THEN 'd' WHEN right(tail, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END fault, lag(ini) OVER (PARTITION BY g ORDER BY i) || ini pair FROM d4),
+    rr AS (SELECT g, i, ini, fault NOT IN ('b', 'd') ok, CASE WHEN fault = 't' THEN 1 ELSE 0 END e FROM r),
+    f AS (SELECT g, 0::BIGINT i, {{'c': 0::BIGINT, 'a': ''}} n, NULL::STRUCT(c BIGINT, a VARCHAR) s, {{'c': 2::BIGINT, 'a': 'I'}} u, {{'c': 4::BIGINT, 'a': 'II'}} a FROM ids
+      UNION ALL SELECT g, i, n, s, u2, {least("y.a", insert("y", "u2"))} FROM (SELECT g, i, n, s, a, {least("x.u", insert("x", "n"), insert("x", "s"), insert("x", "a"))} u2 FROM (SELECT f.g, r.i, {step["n"]} n, {step["s"]} s, {step["u"]} u, {step["a"]} a FROM f JOIN rr r ON r.g = f.g AND r.i = f.i + 1) x) y),
+    best AS (SELECT g, CASE WHEN i = 0 THEN n ELSE list_min([n, a]) END w FROM f QUALIFY row_number() OVER (PARTITION BY g ORDER BY i DESC) = 1),
+    edits AS (SELECT g, unnest(range(1, length(w.a) + 1)) j, w.a au FROM best),
+    edited AS (SELECT g, j, au[j] edit, length(replace(au[1:j], 'I', '')) i FROM edits),
+    kept AS (SELECT edited.g, j, edit, r.ini, r.shown, CASE WHEN edit = 'I' THEN '' ELSE r.said END said, row_number() OVER (PARTITION BY edited.g ORDER BY j) pos, max(CASE WHEN edit = 'K' AND r.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY edited.g) sys FROM edited LEFT JOIN r ON edited.g = r.g AND edited.i = r.i WHERE edit <> 'D'),
+    fixed AS (SELECT g, string_agg(CASE WHEN edit = 'K' THEN shown WHEN (pos - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || said, chr(10) ORDER BY j) z FROM kept GROUP BY 1),
+    sums AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(*) FILTER (fault = 'b') blank, count(*) FILTER (fault = 'd') duplicate, count(*) FILTER (fault = 't') truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) illegal FROM r GROUP BY 1)
+    SELECT conv_id, cast(coalesce(gaps, 0) AS BIGINT) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, cast(w.c AS BIGINT) AS "cost", w.a AS audit, sha256(coalesce(z, '')) repaired_sha256
+    FROM ids LEFT JOIN sums USING (g) JOIN best USING (g) LEFT JOIN fixed USING (g)"""
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _periodic.periodic_runs(_periodic.looped(table(spark, sf_dir, "documents")), keep=["doc_id"], size="size")
     # exponents are compared as fractions, exactly: a before b if its length * the other's period is larger
@@ -201,4 +236,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": _op3_sql(),
     "op6_chat_format": _op6_sql(),
     "op9_license_scan": _op9_sql(),
+    "op11_turn_repair": _op11_sql(),
 }
