@@ -132,10 +132,10 @@ def kama(p: np.ndarray, n: int = 10, fast: int = 2, slow: int = 30) -> np.ndarra
     return out
 
 
-def kama_state(p: np.ndarray, mult: float | None = 0.5, window: int = 20, n: int = 10) -> np.ndarray:
+def kama_state(p: np.ndarray, mult: float | None = 0.5, window: int = 20, n: int = 10, slow: int = 30) -> np.ndarray:
     """Trend of Kaufman's average: the price against it, or (with ``mult``) up once it rises by more than that many deviations of its own last changes, down once it
     falls by as much, else as before; 0 until then."""
-    k = kama(p, n)
+    k = kama(p, n, slow=slow)
     if mult is None:
         return np.nan_to_num(np.sign(p - k))
     d = pd.Series(np.diff(k, prepend=np.nan))
@@ -161,9 +161,9 @@ def supertrend(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int = 10, k: floa
     return out
 
 
-def chandelier(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int = 20, k: float = 3.0) -> np.ndarray:  # noqa: E741
+def chandelier(h: np.ndarray, l: np.ndarray, c: np.ndarray, n: int = 20, k: float = 3.0, atr_n: int | None = None) -> np.ndarray:  # noqa: E741
     """Breakout entry, then a stop k ATR from the best close since, which never loosens. Days without a channel print 0 and keep the state."""
-    hi, lo, a = rolling_max(h, n), rolling_min(l, n), atr(h, l, c, n)
+    hi, lo, a = rolling_max(h, n), rolling_min(l, n), atr(h, l, c, atr_n or n)
     pos, best, stop, out = 0, 0.0, 0.0, np.zeros(len(c))
     for i in range(len(c)):
         if math.isnan(hi[i]) or math.isnan(c[i]):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.windows import by_asset, divide, rolling, trailing, upto, warm
-from tidewright.operators.rolling import efficiency_ratio, fill_forward, persist, row_index, simple_return, weighted_average
+from tidewright.operators.rolling import efficiency_ratio, fill_forward, persist, row_index, simple_return, trend_t, weighted_average
 
 
 def past_return(p: Column, lookback: int, skip: int = 0) -> Column:
@@ -117,6 +118,60 @@ def vote(df: DataFrame, members: list[str]) -> DataFrame:
     return df.select("asset", "date", divide(total, there.cast("double")).alias("mean"), F.when(there > 0, F.signum(signs)).alias("majority"))
 
 
+#: Time frames of the full catalogue in trading days: one to twelve months.
+TIME_FRAMES = (21, 42, 63, 84, 126, 189, 252)
+
+
+def full_catalogue(panel: DataFrame, frames: tuple[int, ...] = TIME_FRAMES) -> DataFrame:
+    """(asset, date, family, frame, kind, signal): fourteen families of trend signals on one grid of time frames, and the past year without its last month.
+
+    A family's other parameters follow from the frame. ``kind`` is sign, continuous (within -1 and 1) or state (0 is flat). Windows express most; averages that adapt and states that
+    depend on themselves run once an asset, all frames together. Rows without a signal are left out.
+    """
+    from tidewright.operators import kernels as k
+
+    w, c = by_asset(), F.col("close")
+    base = panel.select("asset", "date", "high", "low", "close", F.ln("close").alias("y"), row_index().cast("double").alias("i"), simple_return(c).alias("r"))
+    half = lambda x: F.when(x.isNotNull(), F.least(F.greatest(x / 2, F.lit(-1.0)), F.lit(1.0)))
+    adjusted = lambda n, skip=0: divide(past_return(c, n, skip), rolling(F.stddev_samp, F.col("r"), w, n, lag=skip) * n**0.5)
+    made = [("pure_momentum_skip", 252, "sign", F.signum(past_return(c, 252, 21))), ("risk_adjusted_skip", 252, "continuous", half(adjusted(252, 21)))]
+    for n in frames:
+        high, low, mean = rolling(F.max, c, w, n), rolling(F.min, c, w, n), rolling(F.avg, c, w, n)
+        made += [
+            ("pure_momentum", n, "sign", F.signum(past_return(c, n))),
+            ("risk_adjusted", n, "continuous", half(adjusted(n))),
+            ("trend_t", n, "continuous", half(trend_t(F.col("y"), F.col("i"), n))),
+            ("price_sma", n, "sign", F.signum(c - mean)),
+            ("dual_sma", n, "sign", F.signum(rolling(F.avg, c, w, max(5, n // 4)) - mean)),
+            ("range_position", n, "continuous", 2 * divide(c - low, high - low) - 1),
+        ]
+    wide = base.select("asset", "date", *[s.alias(f"s{j}") for j, (*_, s) in enumerate(made)])
+    named = lambda j: F.struct(F.lit(made[j][0]).alias("family"), F.lit(made[j][1]).alias("frame"), F.lit(made[j][2]).alias("kind"), F.col(f"s{j}").alias("signal"))
+    out = wide.select("asset", "date", F.inline(F.array(*map(named, range(len(made))))))
+
+    def recursions(n: int) -> dict:
+        a = lambda d: tuple(d[x].to_numpy(float) for x in ("high", "low", "close"))
+        average = lambda d, half_life: k.ema(np.log(d["close"].to_numpy(float)), k.halflife_alpha(half_life), adjust=True)
+        fast, slow = max(5, round(n / 5)), max(10, round(n / 2))
+        return {
+            ("ewma_cross", "sign"): lambda d: np.sign(average(d, max(3, n / 8)) - average(d, n / 2)),
+            ("kama_cross", "sign"): lambda d: np.nan_to_num(np.sign(d["close"].to_numpy(float) - k.kama(d["close"].to_numpy(float), fast, 2, slow))),
+            ("donchian", "state"): lambda d: k.donchian(*a(d), n, max(5, n // 3)),
+            ("supertrend", "sign"): lambda d: k.supertrend(*a(d), max(7, round(n / 5)), 3.0),
+            ("chandelier", "state"): lambda d: k.chandelier(*a(d), n, 3.0, 20),
+            ("kama_filter", "sign"): lambda d: k.kama_state(d["close"].to_numpy(float), 0.5, 20, fast, slow),
+        }
+
+    kinds = [(*name, n, f) for n in frames for name, f in recursions(n).items()]
+    each = k.per_asset(panel.select("asset", "date", "high", "low", "close"), {f"s{j}": x[3] for j, x in enumerate(kinds)})
+    rows = F.array(*[F.struct(F.lit(x[0]).alias("family"), F.lit(x[2]).alias("frame"), F.lit(x[1]).alias("kind"), F.col(f"s{j}").alias("signal")) for j, x in enumerate(kinds)])
+    out = out.unionByName(each.select("asset", "date", F.inline(rows)))
+    for n in frames:
+        for family, df in (("pivot", pivot_breakout(panel, max(3, round(n / 10)))), ("darvas", darvas(panel, n, max(3, round(n / 20))))):
+            out = out.unionByName(df.select("asset", "date", F.lit(family).alias("family"), F.lit(n).alias("frame"), F.lit("state").alias("kind"), F.col("state").cast("double").alias("signal")))
+    return out.where("signal IS NOT NULL AND NOT isnan(signal)")
+
+
 def catalogue(panel: DataFrame, lookbacks: tuple[int, ...] = (10, 20, 40, 60, 120)) -> DataFrame:
     """(asset, date, family, lookback, signal): families of simple signals times lookbacks, as rows."""
     w, c = by_asset(), F.col("close")

@@ -136,3 +136,9 @@ def ensemble_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def signal_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.catalogue(views.panel_bars(spark, sf_dir))
+
+
+@query()
+def trend_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fourteen families of trend signals on seven time frames. Tests hold them against pandas and the kernels over the whole panel."""
+    return rounded(signals.full_catalogue(views.panel_bars(spark, sf_dir)))
