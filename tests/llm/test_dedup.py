@@ -3,9 +3,11 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from tidewright.llm import jaccard, linededup, mixing, textnum
+from tidewright.llm import graph, jaccard, linededup, mixing, textnum
+from tidewright.session import materialise
 
 
 def brute(docs):
@@ -103,6 +105,26 @@ def test_prefixes_are_shortened_by_the_partners_met(spark):
     assert jaccard.shortened(alone, nodes, 7).count() == 0  # equals are sure to share ten levels elsewhere
 
 
+def test_a_node_with_very_many_neighbours_is_split(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pairs = materialise(spark.range(200_000).select((F.col("id") * (F.col("id") % 2)).alias("u"), (F.col("id") + 1).alias("v")), "star")
+        joined = graph._smaller(pairs)
+        joined.write.format("noop").mode("overwrite").save()
+        assert joined.where("u = 0 AND m = 0").count() == 100_000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_null_ids_and_repeated_ids_stay_linear(spark):
     docs = near_copies(9, 1, 1500)
     docs = [(None if k % 3 else 5, t) for k, t in docs]

@@ -9,9 +9,12 @@ from tidewright.session import materialise
 
 
 def _smaller(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): each neighbour v of u, and the least of u and its neighbours. One row a node meets its neighbours, so adaptive execution splits a node that has very many."""
+    """(u, v, m): each neighbour v of u, and the least of u and its neighbours, one row a node.
+
+    The least ones are written first: then both sides of the join are exchanges under a sort, and adaptive execution deals a node with very many neighbours to several tasks.
+    """
     least = pairs.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(materialise(least, "least"), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
