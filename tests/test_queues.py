@@ -174,3 +174,28 @@ def test_clock_shift_is_found(spark):
         trades.append((i, "A", t + 55, 1, tick, 5))
     got = queues.resting_share(spark.createDataFrame(trades, TRADES), spark.createDataFrame(changes, CHANGES), ["symbol"], [-80, -40, 0, 40], 5000).collect()
     assert {r.shift: r.standing for r in got} == {-80: 0, -40: 400, 0: 0, 40: 0}
+
+
+def test_live_books_match_a_replay_over_the_table(spark, sf):
+    from tidewright import registry, views
+
+    rows = {}
+    for r in views.book_deltas(spark, sf, ["event_type"]).where("u % 1000 <> 500").collect():
+        rows.setdefault(r.event_type, []).append(r)
+    want = set()
+    for symbol, changes in rows.items():
+        levels, last, valid = {}, -1, False
+        for c in sorted(changes, key=lambda c: c.u):
+            if c.u % 1000 == 1:
+                levels, valid = {}, True
+            elif not valid or c.u != last + 1:
+                valid = False
+            last = c.u
+            if not valid:
+                want.add((symbol, c.u, c.ts_ms, None, None, False))
+                continue
+            levels[c.side, c.tick] = c["size"]
+            best = {s: [s * t for (side, t), x in levels.items() if side == s and x > 0] for s in (1, -1)}
+            want.add((symbol, c.u, c.ts_ms, max(best[1], default=None), -max(best[-1]) if best[-1] else None, True))
+    got = [tuple(r) for r in registry.queries()["stream_book"](spark, sf).collect()]
+    assert set(got) == want and len(got) == len(want)

@@ -88,23 +88,39 @@ SPAN = 3_600_000
 LEVELS = "ts_ms long, u long, bid array<long>, bid_size array<double>, ask array<long>, ask_size array<double>"
 
 
-def _fold(pdf: pd.DataFrame, best: int) -> pd.DataFrame:
-    """Best levels after each change of a span, whose opening levels have k = 0. Levels stay sorted: a change costs a search, not a sort."""
-    pdf = pdf.sort_values(["k", "u"])
-    keys: dict[int, list[int]] = {1: [], -1: []}  # the best first: minus the tick for bids
-    sizes: dict[int, dict[int, float]] = {1: {}, -1: {}}
-    out = []
-    for k, ts, u, side, tick, size in zip(pdf.k, pdf.ts_ms, pdf.u, pdf.side, pdf.tick, pdf["size"], strict=True):
-        at, held, key = keys[side], sizes[side], -side * tick
+class Ladder:
+    """Levels of one book by side (1 bids, -1 asks), kept in order: a change costs a search, not a sort."""
+
+    def __init__(self) -> None:
+        self.keys: dict[int, list[int]] = {1: [], -1: []}  # the best first: minus the tick for bids
+        self.sizes: dict[int, dict[int, float]] = {1: {}, -1: {}}
+
+    def put(self, side: int, tick: int, size: float) -> None:
+        at, held, key = self.keys[side], self.sizes[side], -side * tick
         if size > 0:
             if key not in held:
                 bisect.insort(at, key)
             held[key] = size
         elif held.pop(key, None) is not None:
             at.pop(bisect.bisect_left(at, key))
+
+    def best(self, side: int) -> int | None:
+        return -side * self.keys[side][0] if self.keys[side] else None
+
+    def levels(self) -> list[tuple[int, int, float]]:
+        return [(s, -s * k, self.sizes[s][k]) for s in (1, -1) for k in self.keys[s]]
+
+
+def _fold(pdf: pd.DataFrame, best: int) -> pd.DataFrame:
+    """Best levels after each change of a span, whose opening levels have k = 0."""
+    pdf = pdf.sort_values(["k", "u"])
+    book = Ladder()
+    out = []
+    for k, ts, u, side, tick, size in zip(pdf.k, pdf.ts_ms, pdf.u, pdf.side, pdf.tick, pdf["size"], strict=True):
+        book.put(side, tick, size)
         if k == 1:
-            b, a = keys[1][:best], keys[-1][:best]
-            out.append((ts, u, [-x for x in b], [sizes[1][x] for x in b], a, [sizes[-1][x] for x in a]))
+            b, a = book.keys[1][:best], book.keys[-1][:best]
+            out.append((ts, u, [-x for x in b], [book.sizes[1][x] for x in b], a, [book.sizes[-1][x] for x in a]))
     return pd.DataFrame(out, columns=[c.split()[0] for c in LEVELS.split(", ")])
 
 

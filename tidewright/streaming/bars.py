@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewright.operators.book import Ladder
 from tidewright.session import scratch
 
 
@@ -43,17 +44,18 @@ BOOK_STATE = "sides array<int>, ticks array<long>, sizes array<double>, last_u l
 
 
 def _book(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    levels: dict[tuple[int, int], float] = {}
+    book = Ladder()
     last, valid = -1, False
     if state.exists:
         sides, ticks, sizes, last, valid = state.get
-        levels = {(s, t): x for s, t, x in zip(sides, ticks, sizes, strict=True)}
+        for level in zip(sides, ticks, sizes, strict=True):
+            book.put(*level)
     out = []
     changes = pd.concat(list(batches)).sort_values(["u", "snap"], ascending=[True, False], kind="stable")  # those of one micro-batch
     for u, ts, snap, side, tick, size in changes[["u", "ts_ms", "snap", "side", "tick", "size"]].itertuples(index=False):
         if snap:
             if u != last:
-                levels = {}
+                book = Ladder()
             valid = True
         elif not valid or u not in (last, last + 1):
             valid = False
@@ -61,13 +63,10 @@ def _book(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         if not valid:
             out.append((key[0], int(u), int(ts), None, None, False))
             continue
-        if size > 0:
-            levels[int(side), int(tick)] = float(size)
-        else:
-            levels.pop((int(side), int(tick)), None)
-        bids, asks = [t for s, t in levels if s == 1], [t for s, t in levels if s == -1]
-        out.append((key[0], int(u), int(ts), max(bids, default=None), min(asks, default=None), True))
-    state.update(([s for s, _ in levels], [t for _, t in levels], list(levels.values()), last, valid))
+        book.put(int(side), int(tick), float(size))
+        out.append((key[0], int(u), int(ts), book.best(1), book.best(-1), True))
+    levels = book.levels()
+    state.update(([s for s, _, _ in levels], [t for _, t, _ in levels], [x for _, _, x in levels], last, valid))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in BOOK_OUT.split(", ")]).astype({"bid": "Int64", "ask": "Int64"})
 
 
