@@ -13,9 +13,11 @@ from tidewright.session import table
 
 P = f"WITH {views.PANEL_SQL}"
 W = "PARTITION BY asset ORDER BY date"
+#: Common days that a pair needs in three years: few, as the assets of these tables do not trade every day.
+LEAST = 60
 TRAILING = f"""q_ AS (SELECT asset, date, close / lag(close) OVER ({W}) - 1 r FROM panel_bars), z_ AS (SELECT asset, date, r / CASE WHEN count(r) OVER w >= 60 THEN stddev_samp(r) OVER w END r FROM q_ WINDOW w AS ({W} ROWS BETWEEN 126 PRECEDING AND 1 PRECEDING)),
     d_ AS (SELECT date, (row_number() OVER (ORDER BY date) - 1) // 21 b FROM (SELECT DISTINCT date FROM panel_bars)), x_ AS (SELECT b, z_.date, asset, r FROM z_ JOIN d_ USING (date) WHERE r IS NOT NULL), s_ AS (SELECT DISTINCT b "block" FROM d_),
-    t_ AS (SELECT "block", x.asset a, y.asset b, count(*) n, covar_samp(x.r, y.r) cov, var_samp(x.r) va, var_samp(y.r) vb FROM s_ JOIN x_ x ON x.b >= "block" - 36 AND x.b < "block" JOIN x_ y ON x.date = y.date AND x.asset <= y.asset GROUP BY 1, 2, 3 HAVING count(*) >= 250)"""
+    t_ AS (SELECT "block", x.asset a, y.asset b, count(*) n, covar_samp(x.r, y.r) cov, var_samp(x.r) va, var_samp(y.r) vb FROM s_ JOIN x_ x ON x.b >= "block" - 36 AND x.b < "block" JOIN x_ y ON x.date = y.date AND x.asset <= y.asset GROUP BY 1, 2, 3 HAVING count(*) >= {LEAST})"""
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{P}, {TRAILING} SELECT \"block\", a, b, n, {r6_sql('cov')} AS cov, {r6_sql('va')} AS va, {r6_sql('vb')} AS vb, {r6_sql('cov / sqrt(va * vb)')} AS \"corr\" FROM t_")
 def trailing_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of scaled returns over the 756 days before every 21st day."""
-    return rounded(selection.trailing_pairs(selection.scaled_returns(returns(spark, sf_dir))))
+    return rounded(selection.trailing_pairs(selection.scaled_returns(returns(spark, sf_dir)), least=LEAST))
 
 
 def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,11 +191,11 @@ def random_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hedged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Past returns as scores, without the common components of the three years before each day. Tests hold whole results against numpy."""
     from tidewright.operators import selection
-    from tidewright.plans.selection import returns
+    from tidewright.plans.selection import LEAST, returns
 
     c = F.col("close")
     s = views.panel_bars(spark, sf_dir).select("date", "asset", (c / F.lag(c, 20).over(by_asset()) - 1).alias("score"))
-    return rounded(selection.trailing_hedge(s, selection.scaled_returns(returns(spark, sf_dir))))
+    return rounded(selection.trailing_hedge(s, selection.scaled_returns(returns(spark, sf_dir)), least=LEAST))
 
 
 @query()
