@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import statistics
 
 import numpy as np
@@ -270,3 +271,11 @@ def test_regression_on_several_columns(spark):
     t = beta / np.sqrt(np.diag(inverse @ meat @ inverse))
     assert np.allclose([got[n].coef for n in ("intercept", "a", "b")], beta) and np.allclose([got[n].t for n in ("intercept", "a", "b")], t)
     assert inference.ols_several(df.limit(2), "y", ["a", "b"]).count() == 0
+
+
+def test_a_print_exactly_at_the_bound_is_flagged_in_whatever_order_the_rows_before_stand(spark):
+    rng, base = random.Random(4), [1003 + d for d in (7, -7, 7, -7, *[0] * 46)]  # median 1003, deviation exactly 2
+    made = [(i, f"s{k}", i, x, 1, False) for k in range(40) for i, x in enumerate([*rng.sample(base, 50), 1007 if k % 2 else 999])]
+    short = [(i, "near", i, x, 1, False) for i, x in enumerate([*base, 1006])]
+    got = tape.spikes(spark.createDataFrame(made + short, TAPE), least=0.001, sds=2.0)
+    assert sorted((r.symbol, r.id, r.jump, r.kind) for r in got.collect()) == sorted((f"s{k}", 50, 4.0 if k % 2 else -4.0, "jump") for k in range(40))

@@ -6,6 +6,8 @@ it from the day before through :func:`by_day`, which shuffles rows by (symbol, d
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,19 +93,28 @@ def silence_flags(tape: DataFrame, ms: int = 3_600_000, examples: int | None = N
 
 
 def spikes(tape: DataFrame, before: int = 50, after: int = 10, least: float = 0.005, sds: float = 10.0, back: float = 0.2) -> DataFrame:
-    """Prints far from the median of the rows before; reverting if the median after is within ``back`` of the way, else a jump."""
+    """Prints far from the median of the rows before; reverting if the median after is within ``back`` of the way, else a jump.
+
+    Ticks are whole, so a print exactly ``sds`` deviations away is told by whole numbers: (2 jump)^2 n (n - 1) against 4 sds^2 (n sum x^2 - (sum x)^2).
+    """
     w = Window.partitionBy("symbol").orderBy("ts_ms", "id")
     p = F.col("tick").cast("double")
-    base = tape.select("symbol", "id", "ts_ms", p.alias("p")).select(
+    early = w.rowsBetween(-before, -1)
+    base = tape.select("symbol", "id", "ts_ms", "tick", p.alias("p")).select(
         "*",
-        F.percentile("p", F.lit(0.5)).over(w.rowsBetween(-before, -1)).alias("m0"),
-        F.stddev_samp("p").over(w.rowsBetween(-before, -1)).alias("sd"),
+        F.percentile("p", F.lit(0.5)).over(early).alias("m0"),
+        F.sum("tick").over(early).alias("s1"),
+        F.sum(F.col("tick") * F.col("tick")).over(early).alias("s2"),
         F.percentile("p", F.lit(0.5)).over(w.rowsBetween(1, after)).alias("m1"),
-        F.count("p").over(w.rowsBetween(-before, -1)).alias("n"),
+        F.count("p").over(early).alias("n"),
     )
     jump = F.col("p") - F.col("m0")
-    far = (F.col("n") >= before) & (F.abs(jump) >= F.greatest(least * F.col("m0"), sds * F.col("sd")))
-    return base.where(far).select("symbol", "id", "ts_ms", jump.alias("jump"), F.when(F.abs(F.col("m1") - F.col("m0")) <= back * F.abs(jump), "spike").otherwise("jump").alias("kind"))
+    whole = lambda c: c.cast("decimal(19,0)")
+    spread = whole(F.col("n")) * whole(F.col("s2")) - whole(F.col("s1")) * whole(F.col("s1"))
+    away = whole(2 * jump) * whole(2 * jump)
+    far = away.cast("decimal(30,0)") * (F.col("n") * (F.col("n") - 1)).cast("decimal(8,0)") >= spread.cast("decimal(30,0)") * F.lit(4 * Decimal(str(sds)) ** 2)
+    found = base.where((F.col("n") >= before) & (F.abs(jump) >= least * F.col("m0"))).where(far)
+    return found.select("symbol", "id", "ts_ms", jump.alias("jump"), F.when(F.abs(F.col("m1") - F.col("m0")) <= back * F.abs(jump), "spike").otherwise("jump").alias("kind"))
 
 
 def bursts(tape: DataFrame, ms: int = 3_600_000, times: float = 3.0) -> DataFrame:
