@@ -48,3 +48,20 @@ def test_ranges_of_empty_tables(spark):
     assert [tuple(g) for g in ranges.range_sums(r, x, "k", "t", "s", "e", ["v"]).collect()] == [(1, 0)]
     assert ranges.range_extremes(r, x, "k", "t", "s", "e", "v", 3, 9).count() == 0
     assert ranges.range_sums(r.limit(0), x, "k", "t", "s", "e", ["v"]).count() == 0
+
+
+def test_many_rows_of_one_leaf_meet_no_pairs(spark):
+    """Points and rows that all fall into one block of time: found by a tree in one task, without a join of each point with each row."""
+    rng = random.Random(8)
+    at = rng.sample(range(5000), 1500)
+    rows = spark.createDataFrame([("a", t, t % 89) for t in at], ROWS)
+    asked = [(i, "a", rng.randrange(5000), rng.choice([*range(90)]), rng.random() < 0.5) for i in range(1500)]
+    found = ranges.first_passage(spark.createDataFrame(asked, "id long, k string, t long, lim long, up boolean"), rows, ["k"], "t", "lim", "v", F.col("up"), 5000, 10_000)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {g.id: g.passed for g in found.collect()}
+    for i, _, t0, lim, up in asked:
+        assert got.get(i) == min((t for t in at if t0 < t and (t % 89 >= lim if up else t % 89 <= lim)), default=None)
+    spans = spark.createDataFrame([(i, "a", t, t + 900) for i, t in enumerate(at)], "id long, k string, s long, e long")
+    most = ranges.range_extremes(spans, rows, "k", "t", "s", "e", "v", 10_000, 900)
+    assert "Join" not in most._jdf.queryExecution().executedPlan().toString()
+    assert {g.id: (g.lo, g.hi) for g in most.collect()} == {i: (min(inside), max(inside)) for i, s in enumerate(at) if (inside := [t % 89 for t in at if s <= t < s + 900])}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import normal
 from tidewright.functions.windows import by_asset, divide, rolling, trailing, upto
 from tidewright.operators.asof import asof, horizons
-from tidewright.operators.ranges import first_passage
+from tidewright.operators.ranges import passages
 from tidewright.operators.rolling import simple_return
 
 DAY = 86_400_000
@@ -213,12 +213,9 @@ def cascades(hours: DataFrame) -> DataFrame:
 
 def queue_fills(orders: DataFrame, tape: DataFrame, hold_ms: int, leaves: int = 512) -> DataFrame:
     """When a resting order (id, symbol, ts_ms, tick, side) is touched (Q0) and traded through (Q1) within ``hold_ms``: two first passages of the price,
-    searched together from blocks of time down to the trades of one ``hold_ms / leaves``."""
-    limits = F.explode(F.array(F.struct(F.lit(0).alias("q"), F.col("tick").alias("limit")), F.struct(F.lit(1).alias("q"), (F.col("tick") - F.col("side")).alias("limit")))).alias("x")
-    asked = orders.select("id", "symbol", "ts_ms", "side", limits).select(F.struct("id", "x.q").alias("__point"), "symbol", "ts_ms", "side", "x.limit")
-    hit = first_passage(asked, tape, ["symbol"], "ts_ms", "limit", "tick", F.col("side") < 0, hold_ms, max(1, hold_ms // leaves), "__point")
-    wide = hit.groupBy("__point.id").agg(F.min(F.when(F.col("__point.q") == 0, F.col("passed"))).alias("q0_ms"), F.min(F.when(F.col("__point.q") == 1, F.col("passed"))).alias("q1_ms"))
-    return orders.join(wide, "id", "left")
+    searched together in spans of ``hold_ms``."""
+    down = F.col("side") < 0
+    return passages(orders, tape, ["symbol"], "ts_ms", {"q0_ms": (F.col("tick"), F.col("tick"), down), "q1_ms": (F.col("tick") - F.col("side"), F.col("tick"), down)}, hold_ms, max(1, hold_ms // leaves))
 
 
 def latency_walk(levels: DataFrame, size: float, steps: int = 1) -> DataFrame:

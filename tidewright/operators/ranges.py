@@ -1,21 +1,23 @@
 """Aggregates over ranges of time, and first passages, without pairs of rows and ranges.
 
-Counts and sums are differences of running sums at the two ends. Extremes come from a pyramid: the smallest and largest value of
-every aligned block of ``leaf`` times a power of two. A range is a few blocks, twice the logarithm of its length at most, and the rows of the two
-leaves at its ends. The first time at which a series passes a limit lies in the first block whose extreme passes it; the search then
-descends into that block alone.
+Counts and sums are differences of running sums at the two ends. Extremes and first passages are found in spans of time as long as a range may last: Spark sends each
+range to the span it starts in, and each row to its own span and the one before, so a range meets all its rows in one task. There a tree of extremes
+over the sorted rows answers each range in as many steps as the rows of two spans have doublings, however close they stand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewright.operators.asof import SPAN, asof
 
-#: Levels that one step of a descent covers: 2**STEP children are looked at.
-STEP = 5
-
 
 def running(rows: DataFrame, by: list[str], at: str, values: list[str], span: int = SPAN) -> DataFrame:
     """(by, at) with the running sums of ``values`` up to and with that time: inside spans, plus the totals of the spans before, one row each."""
@@ -37,70 +39,148 @@ def range_sums(ranges: DataFrame, rows: DataFrame, by: str, at: str, start: str,
     return met.groupBy(F.col("__id").alias(id_)).agg(*[F.sum(F.coalesce(v, F.lit(0)) * F.col("__sign")).alias(v) for v in values])
 
 
-def pyramid(series: DataFrame, by: list[str], at: str, value: str, leaf: int, top: int) -> DataFrame:
-    """(by, level, block, lo, hi) of all aligned blocks of leaf * 2**level that hold rows, for levels 0 to ``top``."""
-    leaves = series.groupBy(*by, F.floor(F.col(at) / leaf).alias("__leaf")).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    each = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).withColumn("block", F.expr("shiftright(__leaf, level)"))
-    return each.groupBy(*by, "level", "block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-
-
-def nodes(first: Column, last: Column, top: int) -> Column:
-    """The fewest aligned blocks (level, block) that make up the leaves ``first`` to ``last``; empty if first is after last."""
-    node = lambda level, block: F.struct(F.lit(level).alias("level"), block.cast("long").alias("block"))
-    up = lambda x, k: -F.shiftright(-x, k)
-    parts = []
-    for k in range(top):
-        low, high = up(first, k), F.shiftright(last + 1, k)
-        parts.append(F.when((low < high) & (low % 2 != 0), node(k, low)))
-        parts.append(F.when((low < high) & (high % 2 != 0), node(k, high - 1)))
-    low, high = up(first, top), F.shiftright(last + 1, top) - 1
-    whole = F.when(low <= high, F.transform(F.sequence(low, high), lambda b: node(top, b))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
-    return F.concat(F.filter(F.array(*parts), lambda x: x.isNotNull()), whole)
+def meet(points: DataFrame, start: str, series: DataFrame, by: list[str], at: str, length: int, columns: dict[str, str], run: Callable[[pa.Table, pa.Table], list[np.ndarray | pa.Array]]) -> DataFrame:
+    """``points`` with new ``columns`` (names and types) that ``run(points, rows)`` finds in each span of ``length`` of a key: the rows from a point's ``start`` to ``length`` after it are all there."""
+    span = lambda c: F.floor(F.col(c) / length)
+    own = F.struct(*points.columns)
+    a = points.select(*by, span(start).alias("__span"), own.alias("__point"))
+    b = series.select(*by, F.explode(F.array(span(at), span(at) - 1)).alias("__span"), F.struct(*[c for c in series.columns if c not in by]).alias("__row"))
+    schema = StructType().add("__point", points.select(own.alias("p")).schema["p"].dataType)
+    for c, kind in columns.items():
+        schema = schema.add(c, kind)
+
+    def find(group: pa.Table) -> pa.Table:
+        there = group["__point"].is_valid()
+        p = group["__point"].filter(there).combine_chunks()
+        names = [f.name for f in p.type]
+        r = group["__row"].filter(pc.invert(there)).combine_chunks()
+        found = run(pa.table(p.flatten(), names=names), pa.table(r.flatten(), names=[f.name for f in r.type]))
+        return pa.table([p, *(pa.array(x) if isinstance(x, np.ndarray) else x for x in found)], names=["__point", *columns])
+
+    both = a.unionByName(b, allowMissingColumns=True)
+    return both.groupBy(*by, "__span").applyInArrow(find, schema).select("__point.*", *columns)
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    x = column.to_numpy()
+    return x.astype(np.int64) if np.issubdtype(x.dtype, np.integer) else np.where(np.isnan(x), np.inf, x) if np.issubdtype(x.dtype, np.floating) else x.astype(float)
+
+
+def _tree(values: np.ndarray) -> np.ndarray:
+    """Largest values of aligned blocks: the values from half of the array on, the parent of node i at i // 2."""
+    half = 1 << max(0, (len(values) - 1).bit_length())
+    least = np.iinfo(np.int64).min if values.dtype == np.int64 else -np.inf
+    tree = np.full(2 * half, least, values.dtype)
+    tree[half : half + len(values)] = values
+    while half > 1:
+        tree[half // 2 : half] = np.maximum(tree[half : 2 * half : 2], tree[half + 1 : 2 * half : 2])
+        half //= 2
+    return tree
+
+
+def _first(values: np.ndarray, start: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Place of the first value at or after ``start`` that is at least ``limit``, or the number of values: up the tree to the first block that holds one, then down into it."""
+    n, tree = len(values), _tree(values)
+    half = len(tree) // 2
+    found = np.full(len(start), n, np.int64)
+    todo = np.flatnonzero(start < n)
+    node = start[todo] + half
+    met = []
+    while len(todo):
+        hit = tree[node] >= limit[todo]
+        met.append((todo[hit], node[hit]))
+        todo, node = todo[~hit], node[~hit] + 1
+        node //= node & -node
+        going = node > 1
+        todo, node = todo[going], node[going]
+    if met:
+        which, node = (np.concatenate(x) for x in zip(*met, strict=True))
+        for _ in range(half.bit_length() - 1):
+            lower = node < half
+            child = np.where(lower, 2 * node, node)
+            node = np.where(lower, child + (tree[child] < limit[which]), node)
+        found[which] = node - half
+    return np.minimum(found, n)
+
+
+def _largest(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Largest value of each range of places, start < end."""
+    tree = _tree(values)
+    low, high = start + len(tree) // 2, end + len(tree) // 2
+    out = np.full(len(start), tree.dtype.type(np.iinfo(np.int64).min if tree.dtype == np.int64 else -np.inf))
+    while (open_ := low < high).any():
+        left, right = open_ & (low % 2 == 1), open_ & (high % 2 == 1)
+        out[left] = np.maximum(out[left], tree[low[left]])
+        out[right] = np.maximum(out[right], tree[high[right] - 1])
+        low, high = (low + left) // 2, (high - right) // 2
+    return out
+
+
+def range_totals(ranges: DataFrame, rows: DataFrame, by: str, at: str, start: str, end: str, sums: list[str], value: str, length: int) -> DataFrame:
+    """``ranges`` of at most ``length`` that hold rows with start <= at < end, with n, the sums of the whole numbers ``sums`` and the least and largest ``value`` (lo, hi) of those: one pass for all."""
+    kind = "double" if dict(rows.dtypes)[value] in ("double", "float") else "long"
+
+    def run(p: pa.Table, r: pa.Table) -> list[np.ndarray]:
+        r = r.sort_by("__at")
+        t = r["__at"].to_numpy()
+        a, z = (np.searchsorted(t, p[c].to_numpy()) for c in (start, end))
+        n = z - a
+        upto = [np.concatenate([[0], np.cumsum(r[c].to_numpy())]) for c in sums]
+        v, some = _numbers(r["__v"]), n > 0
+        ends = []
+        for x, sign in ((-v, -1), (v, 1)):
+            y = np.zeros(len(n), v.dtype)
+            y[some] = sign * _largest(x, a[some], z[some])
+            ends.append(y)
+        return [n, *(u[z] - u[a] for u in upto), *ends]
+
+    known = rows.where(F.col(value).isNotNull()).select(by, F.col(at).alias("__at"), *[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c) for c in sums], F.col(value).cast(kind).alias("__v"))
+    asked = ranges.where((F.col(end) > F.col(start)) & (F.col(end) - F.col(start) <= length))
+    return meet(asked, start, known, [by], "__at", length, {"n": "long", **dict.fromkeys(sums, "long"), "lo": kind, "hi": kind}, run).where("n > 0")
 
 
-def levels_for(length: int, leaf: int) -> int:
-    """Levels of a pyramid for ranges of up to ``length``."""
-    return max(1, (max(1, length // leaf)).bit_length())
+def range_extremes(ranges: DataFrame, rows: DataFrame, by: str, at: str, start: str, end: str, value: str, leaf: int, length: int, id_: str = "id") -> DataFrame:
+    """(id, lo, hi) of ``value`` over the rows with start <= at < end, for ranges that hold rows. Spans are ``length`` long, ``leaf`` at least; ranges longer than that are cut into pieces."""
+    span = max(length, leaf)
+    cut = F.explode(F.sequence(F.col(start), F.col(end) - 1, F.lit(span).cast("long"))).alias("__s")
+    pieces = ranges.where(F.col(end) > F.col(start)).select(F.col(id_).alias("__id"), by, F.col(end).alias("__end"), cut)
+    pieces = pieces.select("__id", by, "__s", F.least(F.col("__end"), F.col("__s") + span).alias("__e"))
+    return range_totals(pieces, rows, by, at, "__s", "__e", [], value, span).groupBy(F.col("__id").alias(id_)).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def range_extremes(ranges: DataFrame, rows: DataFrame, by: str, at: str, start: str, end: str, value: str, leaf: int, length: int, id_: str = "id") -> DataFrame:
-    """(id, lo, hi) of ``value`` over the rows with start <= at < end, for ranges that hold rows; ``length`` is what ranges last at most, longer ones are only slower."""
-    top = levels_for(length, leaf)
-    asked = ranges.where(F.col(end) > F.col(start)).select(F.col(id_).alias("__id"), by, F.col(start).alias("__s"), F.col(end).alias("__e"))
-    asked = asked.withColumn("__a", F.floor(F.col("__s") / leaf)).withColumn("__z", F.floor((F.col("__e") - 1) / leaf))
-    blocks = pyramid(rows, [by], at, value, leaf, top)
-    inner = asked.select("__id", by, F.explode(nodes(F.col("__a") + 1, F.col("__z") - 1, top)).alias("__n")).select("__id", by, "__n.*").join(blocks, [by, "level", "block"]).select("__id", "lo", "hi")
-    ends = asked.withColumn("__leaf", F.explode(F.array_distinct(F.array("__a", "__z"))))
-    near = ends.join(rows.select(by, F.col(at).alias("__at"), F.col(value).alias("__v"), F.floor(F.col(at) / leaf).alias("__leaf")), [by, "__leaf"])
-    near = near.where((F.col("__at") >= F.col("__s")) & (F.col("__at") < F.col("__e"))).select("__id", F.col("__v").alias("lo"), F.col("__v").alias("hi"))
-    return inner.unionByName(near).groupBy(F.col("__id").alias(id_)).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+def passages(points: DataFrame, series: DataFrame, by: list[str], at: str, asked: dict[str, tuple[Column, Column, Column]], within: int, leaf: int = 1, until: str | None = None) -> DataFrame:
+    """``points`` with a column for each name of ``asked`` (limit, value, up): the first time of ``series`` after a point's ``at``, ``within`` of it (and no later than its ``until``), at which
+    the series' value is at least the point's limit (where ``up``, a column of the points) or at most it; null if there is none. Spans are ``within`` long, ``leaf`` at least."""
+    last = F.col(at) + within if until is None else F.least(F.col(at) + within, F.col(until))
+    own = F.struct(*points.columns).alias("__own")
+    sought = points.select(own, *by, F.col(at).cast("long").alias("__t"), last.cast("long").alias("__u"), *[x for k, (limit, _, up) in asked.items() for x in (limit.alias(f"__limit_{k}"), up.alias(f"__up_{k}"))])
+    known = series.select(*by, F.col(at).cast("long").alias("__at"), *[v.alias(f"__v_{k}") for k, (_, v, _) in asked.items()])
+
+    names = list(asked)
+
+    def run(p: pa.Table, r: pa.Table) -> list[pa.Array]:
+        r = r.sort_by("__at")
+        t, u = p["__t"].to_numpy(), pc.fill_null(p["__u"], np.iinfo(np.int64).min).to_numpy()
+        out = []
+        for k in names:
+            there = r[f"__v_{k}"].is_valid()
+            v, when = _numbers(r[f"__v_{k}"].filter(there)), r["__at"].filter(there).to_numpy()
+            some, rises = p[f"__limit_{k}"].is_valid().to_numpy(), pc.fill_null(p[f"__up_{k}"], False).to_numpy()
+            passed = np.full(len(t), np.iinfo(np.int64).max)
+            for sign, side in ((1, some & rises), (-1, some & ~rises)):
+                at_ = np.flatnonzero(side)
+                if len(at_) and len(v):
+                    limit = sign * p[f"__limit_{k}"].take(pa.array(at_)).to_numpy()
+                    place = _first(sign * v, np.searchsorted(when, t[at_], "right"), limit)
+                    passed[at_] = np.append(when, np.iinfo(np.int64).max)[place]
+            out.append(pa.array(passed, mask=passed > u))
+        return out
+
+    met = meet(sought, "__t", known, by, "__at", max(within, leaf), dict.fromkeys(names, "long"), run)
+    return met.select("__own.*", *names)
 
 
 def first_passage(points: DataFrame, series: DataFrame, by: list[str], at: str, limit: str, value: str, up: Column, within: int, leaf: int, id_: str = "id", until: str | None = None) -> DataFrame:
     """(id, passed): the first time of ``series`` after each point's ``at``, ``within`` of it (and no later than its ``until``), at which ``value`` is at least ``limit``
     (where ``up``) or at most ``limit``; points without one have no row. ``id_`` names the points; null limits are never passed."""
-    top = levels_for(within, leaf)
-    last = F.col(at) + within if until is None else F.least(F.col(at) + within, F.col(until))
-    asked = points.select(F.col(id_).alias("__id"), *by, F.col(at).alias("__t"), last.alias("__u"), F.col(limit).alias("__limit"), up.alias("__up"))
-    asked = asked.where(F.col("__limit").isNotNull() & (F.col("__u") > F.col("__t")))
-    own = ["__id", *by, "__t", "__u", "__limit", "__up"]
-    blocks = pyramid(series, by, at, value, leaf, top)
-    passes = F.when(F.col("__up"), F.col("hi") >= F.col("__limit")).otherwise(F.col("lo") <= F.col("__limit"))
-    leaf_of = lambda c: F.floor(F.col(c) / leaf)
-    spread = asked.select(*own, F.explode(nodes(leaf_of("__t") + 1, leaf_of("__u"), top)).alias("__n")).select(*own, "__n.*")
-
-    def earliest(found: DataFrame) -> DataFrame:
-        best = F.min(F.struct(F.expr("shiftleft(block, level)").alias("from"), "level", "block")).alias("__n")
-        return found.groupBy(*own).agg(best).select(*own, "__n.level", "__n.block")
-
-    found = earliest(spread.join(blocks, [*by, "level", "block"]).where(passes))
-    for _ in range(-(-top // STEP)):
-        down = found.withColumn("__d", F.least(F.col("level"), F.lit(STEP)))
-        child = F.explode(F.expr("sequence(shiftleft(block, __d), shiftleft(block + 1, __d) - 1)"))
-        down = down.select(*own, (F.col("level") - F.col("__d")).alias("level"), child.alias("block"))
-        found = earliest(down.join(blocks, [*by, "level", "block"]).where(passes))
-    looked = found.select(*own, F.col("block").alias("__leaf")).unionByName(asked.select(*own, leaf_of("__t").alias("__leaf")))
-    rows = series.select(*by, F.col(at).alias("__at"), F.col(value).alias("__v"), F.floor(F.col(at) / leaf).alias("__leaf"))
-    hits = looked.join(rows, [*by, "__leaf"]).where((F.col("__at") > F.col("__t")) & (F.col("__at") <= F.col("__u")))
-    hits = hits.where(F.when(F.col("__up"), F.col("__v") >= F.col("__limit")).otherwise(F.col("__v") <= F.col("__limit")))
-    return hits.groupBy(F.col("__id").alias(id_)).agg(F.min("__at").alias("passed"))
+    return passages(points, series, by, at, {"passed": (F.col(limit), F.col(value), up)}, within, leaf, until).where("passed IS NOT NULL").select(id_, "passed")
