@@ -1,6 +1,7 @@
 """Second implementations: propagator, binomial tail, rank correlations by slice, adjusted prices."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -73,3 +74,17 @@ def test_spectra_match_numpy(spark, sf, name):
         row, edge = got.loc[y], (1 + math.sqrt(len(c) / part.n.min())) ** 2
         assert row.n_assets == len(c) and row.above_edge == (v > edge).sum()
         assert math.isclose(row.largest, v[0], abs_tol=2e-6) and math.isclose(row.effective_n, v.sum() ** 2 / (v**2).sum(), abs_tol=1e-5)
+
+
+def test_ranks_of_values_match_a_sort_of_all_rows_and_no_window_holds_a_key(spark):
+    rng = random.Random(12)
+    for most in (6, 100_000):  # many ties; more values than pieces
+        made = [(rng.choice("ab"), float(x := rng.randrange(most)), x // 2 + rng.randrange(most)) for _ in range(1200)]
+        found = flow.spearman(spark.createDataFrame(made, "k string, x double, y long"), ["k"], "x", "y")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        # a window over (key, value) or over (key) alone would hold every row of a key
+        assert "__piece" in plan and "rank(" not in plan
+        for r in found.collect():
+            x, y = (np.array([m[i] for m in made if m[0] == r.k], float) for i in (1, 2))
+            rank = lambda v: np.searchsorted(np.sort(v), v) + np.searchsorted(np.sort(v), v, "right")
+            assert r.n == len(x) and abs(r.rho - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-12

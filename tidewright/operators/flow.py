@@ -132,14 +132,26 @@ def average_ranks(df: DataFrame, keys: list[str], x: str) -> Column:
     return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2.0
 
 
+def value_ranks(counts: DataFrame, keys: list[str], x: str, pieces: int = 64) -> DataFrame:
+    """(keys, x, rank) of counts (keys, x, __k), one row a value: ranks of the rows counted, less the mean rank of the key, ties averaged. A key with many values is cut at its quantiles, ranked
+    piece by piece, and the pieces' totals are added."""
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(x, [i / pieces for i in range(1, pieces)], 1000).alias("__q"), F.sum("__k").alias("__n"))
+    cut = counts.join(F.broadcast(bounds), keys).select(*keys, x, "__k", "__n", F.size(F.filter("__q", lambda q: q < F.col(x))).alias("__piece"))
+    own = Window.partitionBy(*keys).orderBy("__piece")
+    totals = cut.groupBy(*keys, "__piece").agg(F.sum("__k").alias("__t")).select(*keys, "__piece", (F.sum("__t").over(own) - F.col("__t")).alias("__before"))
+    upto = F.sum("__k").over(Window.partitionBy(*keys, "__piece").orderBy(x))
+    ranked = cut.withColumn("__upto", upto).join(F.broadcast(totals), [*keys, "__piece"])
+    return ranked.select(*keys, x, (F.col("__before") + F.col("__upto") - F.col("__k") / 2.0 - F.col("__n") / 2.0).alias("rank"))
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation by keys, ties averaged."""
-    there = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = there.select(*keys, average_ranks(there, keys, x).alias("rx"), average_ranks(there, keys, y).alias("ry"))
-    n, s = F.count("*"), lambda c: F.sum(c)
-    cov = s(F.col("rx") * F.col("ry")) - s("rx") * s("ry") / n
-    sd = F.sqrt((s(F.col("rx") * F.col("rx")) - s("rx") * s("rx") / n) * (s(F.col("ry") * F.col("ry")) - s("ry") * s("ry") / n))
-    return ranked.groupBy(*keys).agg(divide(cov, sd).alias("rho"), n.alias("n"))
+    """Rank correlation by keys, ties averaged. Rows are counted by their pair of values first, and again by each value, so that what is ranked is values, not rows."""
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count("*").alias("__k"))
+    count = lambda c: pairs.groupBy(*keys, c).agg(F.sum("__k").alias("__k"))
+    rx = value_ranks(count(x), keys, x).withColumnRenamed("rank", "__rx")
+    ry = value_ranks(count(y), keys, y).withColumnRenamed("rank", "__ry")
+    s = lambda a, b: F.sum(F.col(a) * F.col(b) * F.col("__k"))
+    return pairs.join(rx, [*keys, x]).join(ry, [*keys, y]).groupBy(*keys).agg(divide(s("__rx", "__ry"), F.sqrt(s("__rx", "__rx") * s("__ry", "__ry"))).alias("rho"), F.sum("__k").alias("n"))
 
 
 def sliced_spearman(df: DataFrame, keys: list[str], x: str, y: str, slices: dict[str, Column]) -> DataFrame:
