@@ -61,12 +61,11 @@ def asof_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{T}, i AS (SELECT symbol, ts_ms s, ts_ms + 1800000 e, id iid FROM tape) SELECT iid, i.symbol, count(*) n, cast(sum(t.lots) AS BIGINT) lots, max(t.id) last_id FROM tape t JOIN i ON t.symbol = i.symbol AND t.ts_ms >= s AND t.ts_ms < e GROUP BY 1, 2")
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What trades in the half hour from each trade on: every trade is a point and an interval. Sums are differences at the two ends, the last id an extreme; no pairs."""
+    """What trades in the half hour from each trade on: every trade is a point and an interval. Sums are differences at the two ends, the last id an extreme, all in one pass; no pairs."""
     t = views.tape(spark, sf_dir).select("id", "symbol", "ts_ms", "lots")
     spans = t.select("symbol", F.col("ts_ms").alias("s"), (F.col("ts_ms") + HOUR // 2).alias("e"), F.col("id").alias("iid"))
-    sums = ranges.range_sums(spans, t.withColumn("n", F.lit(1).cast("long")), "symbol", "ts_ms", "s", "e", ["n", "lots"], "iid")
-    most = ranges.range_extremes(spans, t, "symbol", "ts_ms", "s", "e", "id", HOUR // 64, HOUR // 2, "iid")
-    return spans.select("iid", "symbol").join(sums, "iid").join(most, "iid").select("iid", "symbol", "n", "lots", F.col("hi").alias("last_id"))
+    met = ranges.range_totals(spans, t, "symbol", "ts_ms", "s", "e", ["lots"], "id", HOUR // 2)
+    return met.select("iid", "symbol", "n", "lots", F.col("hi").alias("last_id"))
 
 
 HOURLY = f"hourly AS (SELECT symbol, ts_ms // {HOUR} * {HOUR} ts_ms, max_by(tick, (ts_ms, id)) tick, sum(lots) lots FROM tape GROUP BY 1, 2)"
