@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.asof import SPAN, asof
-from tidewright.operators.ranges import first_passage, running
+from tidewright.operators.ranges import first_passage, passages, running
 from tidewright.session import materialise
 
 
@@ -99,13 +99,11 @@ def short_lived(events: DataFrame, best: DataFrame, by: list[str], least: float,
     level = [*by, "side", "tick"]
     off = F.abs(F.col("tick") - _own_best())
     found = events.where(F.col("added") >= least).join(best, [*by, "ts_ms"]).withColumn("off", off).where(F.col("off").between(1, far))
-    found = found.select(F.struct(*level, "ts_ms").alias("__id"), *level, "ts_ms", "added", "off", (100 * F.col("old") + rest * F.col("added")).alias("__limit"))
-    sizes = events.withColumn("__size", 100 * F.col("size"))
-    gone = first_passage(found, sizes, level, "ts_ms", "__limit", "__size", F.lit(False), within, leaf, "__id")
-    touched = first_passage(found.withColumn("__one", F.lit(1)), events, level, "ts_ms", "__one", "hit", F.lit(True), within, leaf, "__id").withColumnRenamed("passed", "__hit")
-    out = found.join(gone, "__id", "left").join(touched, "__id", "left")
-    hit = F.coalesce(F.col("__hit") <= F.coalesce("passed", F.col("ts_ms") + within), F.lit(False))
-    return out.select(*level, "ts_ms", "added", "off", (F.col("passed") - F.col("ts_ms")).alias("life_ms"), hit.alias("traded"))
+    found = found.select(*level, "ts_ms", "added", "off", (100 * F.col("old") + rest * F.col("added")).alias("__limit"))
+    asked = {"__gone": (F.col("__limit"), 100 * F.col("size"), F.lit(False)), "__hit": (F.lit(1), F.col("hit"), F.lit(True))}
+    out = passages(found, events, level, "ts_ms", asked, within, leaf)
+    hit = F.coalesce(F.col("__hit") <= F.coalesce("__gone", F.col("ts_ms") + within), F.lit(False))
+    return out.select(*level, "ts_ms", "added", "off", (F.col("__gone") - F.col("ts_ms")).alias("life_ms"), hit.alias("traded"))
 
 
 def _line(ahead: np.ndarray, shown: np.ndarray, joined: np.ndarray, until: np.ndarray, power: float, at: np.ndarray, kind: np.ndarray, size: np.ndarray) -> np.ndarray:
