@@ -186,13 +186,12 @@ def queue_reached(orders: DataFrame, changes: DataFrame, trades: DataFrame, by:
 
 def queue_rules(orders: DataFrame, changes: DataFrame, trades: DataFrame, by: list[str], hold_ms: int, power: float = 1.0, leaves: int = 512) -> DataFrame:
     """Orders with ``ahead`` and their fill times under three rules: ``q0_ms`` a trade at their price or through it, ``q1_ms`` a trade through it, ``q2_ms`` their turn in the queue or a trade through."""
-    limit = F.explode(F.array(F.struct(F.lit(0).alias("q"), F.col("tick").alias("limit")), F.struct(F.lit(1).alias("q"), (F.col("tick") - F.col("side")).alias("limit")))).alias("x")
-    asked = orders.select("id", *by, "side", "ts_ms", limit).select(F.struct("id", "x.q").alias("__point"), *by, "side", "ts_ms", "x.limit")
     # trades against bids are sold at or below them, those against asks bought at or above
-    hit = first_passage(asked, trades, [*by, "side"], "ts_ms", "limit", "tick", F.col("side") < 0, hold_ms, max(1, hold_ms // leaves), "__point")
-    wide = hit.groupBy("__point.id").agg(F.min(F.when(F.col("__point.q") == 0, F.col("passed"))).alias("q0_ms"), F.min(F.when(F.col("__point.q") == 1, F.col("passed"))).alias("q1_ms"))
+    down = F.col("side") < 0
+    asked = {"q0_ms": (F.col("tick"), F.col("tick"), down), "q1_ms": (F.col("tick") - F.col("side"), F.col("tick"), down)}
+    wide = passages(orders, trades, [*by, "side"], "ts_ms", asked, hold_ms, max(1, hold_ms // leaves))
     line = queue_reached(orders, changes, trades, by, hold_ms, power)
-    return orders.join(wide, "id", "left").join(line, "id", "left").withColumn("q2_ms", F.least("q1_ms", "reached_ms")).drop("reached_ms")
+    return wide.join(line, "id", "left").withColumn("q2_ms", F.least("q1_ms", "reached_ms")).drop("reached_ms")
 
 
 def refill_times(shocks: DataFrame, depth: DataFrame, by: list[str], within: int, leaf: int, share: int = 90) -> DataFrame:
