@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidewright.operators import queues
+from tidewright.operators import book, queues, ranges
 
 CHANGES = "symbol string, ts_ms long, u long, side int, tick long, size long"
 TRADES = "id long, symbol string, ts_ms long, side int, tick long, size long"
@@ -199,3 +200,51 @@ def test_live_books_match_a_replay_over_the_table(spark, sf):
             want.add((symbol, c.u, c.ts_ms, max(best[1], default=None), -max(best[-1]) if best[-1] else None, True))
     got = [tuple(r) for r in registry.queries()["stream_book"](spark, sf).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_depths_around_updates_match_a_replay(spark):
+    rng = random.Random(4)
+    depth = [(s, sd, t, rng.randrange(1, 50)) for s in "AB" for sd in (1, -1) for t in sorted(rng.sample(range(0, 9000), 60)) if not 3000 < t < 6000]
+    updates = [(s, sd, t) for s in "AB" for sd in (1, -1) for t in rng.sample(range(-50, 12000), 80)]
+    steps = [0, 40, 700]
+    d = spark.createDataFrame(depth, "symbol string, side int, ts_ms long, depth long")
+    # spans of 900 ms, so values are older than many spans and steps end in the next
+    names = {"before": -1, **{f"s{k}": k for k in steps}}
+    got = ranges.asof_steps(spark.createDataFrame(updates, "symbol string, side int, ts_ms long"), d, ["symbol", "side"], "ts_ms", "depth", names, 900).collect()
+    last = lambda s, sd, t: max(((x[2], x[3]) for x in depth if x[:2] == (s, sd) and x[2] <= t), default=(None, None))[1]
+    assert sorted((r.symbol, r.side, r.ts_ms) for r in got) == sorted(updates)
+    for r in got:
+        assert [r[c] for c in names] == [last(r.symbol, r.side, r.ts_ms + k) for k in names.values()]
+    wide = queues.depth_around(spark.createDataFrame(updates, "symbol string, side int, ts_ms long"), d, ["symbol"], steps).collect()
+    known = {(s, sd, t): last(s, sd, t - 1) for s, sd, t in updates if last(s, sd, t - 1) is not None}
+    assert {(r.symbol, r.side, r.ts_ms): r.before for r in wide} == known
+    assert all(r.after == [last(r.symbol, r.side, r.ts_ms + k) for k in steps] for r in wide)
+
+
+def test_refill_curves_look_every_depth_up_in_one_pass(spark):
+    """Rows do not go through a join on their ids, nor once for each step through an as-of join."""
+    d = spark.createDataFrame([("A", 1, t, 5 + t % 7) for t in range(0, 4000, 10)], "symbol string, side int, ts_ms long, depth long")
+    found = queues.depth_around(d.select("symbol", "side", "ts_ms"), d, ["symbol"], [10, 20, 30, 40])
+    curves = queues.refill_curves(found.select("before", "after", F.lit(True).alias("shock"), F.lit("c").alias("cell")), [10, 20, 30, 40])
+    plan = curves._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    assert curves.where("ratio IS NOT NULL").count() == 4 * 399
+
+
+def test_a_span_of_a_book_goes_through_many_batches(spark):
+    """Spans longer and shorter than a batch fold alike: no group of rows is held whole."""
+    changes, _ = market(8)
+    one = spark.createDataFrame(changes, CHANGES)
+    want = sorted(tuple(r) for r in book.fold_states(one, 10_000, ["symbol"]).collect())
+    plan = book.fold_states(one, 10_000, ["symbol"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for ms in (10_000, 300, 11):
+            assert sorted(tuple(r) for r in book.fold_states(one, ms, ["symbol"]).collect()) == want
+        got = queues.depth_around(one.select("symbol", "side", "ts_ms"), one.groupBy("symbol", "side", "ts_ms").agg({"size": "max"}).toDF("symbol", "side", "ts_ms", "depth"), ["symbol"], [100])
+        small = sorted(map(str, got.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert small == sorted(map(str, got.collect()))

@@ -7,8 +7,10 @@ moments. Where every update counts, days are folded apart, each from the book at
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +87,7 @@ def walk(levels: DataFrame, size: float, side: int = -1) -> DataFrame:
 
 #: Length of the spans that are folded apart.
 SPAN = 3_600_000
-LEVELS = "ts_ms long, u long, bid array<long>, bid_size array<double>, ask array<long>, ask_size array<double>"
+ARROW = {"long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
 class Ladder:
@@ -111,41 +113,67 @@ class Ladder:
         return [(s, -s * k, self.sizes[s][k]) for s in (1, -1) for k in self.keys[s]]
 
 
-def _fold(pdf: pd.DataFrame, best: int) -> pd.DataFrame:
-    """Best levels after each change of a span, whose opening levels have k = 0."""
-    pdf = pdf.sort_values(["k", "u"])
-    book = Ladder()
-    out = []
-    for k, ts, u, side, tick, size in zip(pdf.k, pdf.ts_ms, pdf.u, pdf.side, pdf.tick, pdf["size"], strict=True):
-        book.put(side, tick, size)
-        if k == 1:
-            b, a = book.keys[1][:best], book.keys[-1][:best]
-            out.append((ts, u, [-x for x in b], [book.sizes[1][x] for x in b], a, [book.sizes[-1][x] for x in a]))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in LEVELS.split(", ")])
+def _best_levels(book: Ladder, side: int, best: int) -> tuple:
+    keys = book.keys[side][:best]
+    return [-side * k for k in keys], [book.sizes[side][k] for k in keys]
 
 
-def fold_levels(deltas: DataFrame, best: int = 10, ms: int = SPAN, by: list[str] | None = None) -> DataFrame:
-    """The ``best`` levels of both sides after every update, fewer where the book is thin, after the columns ``by`` that name a book. Spans of ``ms`` are folded
-    apart: each starts from the levels that hold at its start, so no group is longer than a span of one book."""
-    by = by or []
-    opening = checkpoints(deltas, ms, by).select(*by, (F.col("moment") / ms).cast("long").alias("bucket"), F.lit(0).alias("k"), F.col("moment").alias("ts_ms"), F.lit(0).cast("long").alias("u"), "side", "tick", "size")
-    rows = deltas.select(*by, F.floor(F.col("ts_ms") / ms).alias("bucket"), F.lit(1).alias("k"), "ts_ms", "u", "side", "tick", "size")
-    schema = ", ".join([*(f"`{c}` {deltas.schema[c].dataType.simpleString()}" for c in by), LEVELS])
+def _best_state(book: Ladder, side: int, best: int) -> tuple:
+    keys = book.keys[side][:best]
+    if not keys:
+        return None, None, None
+    total = 0.0
+    for k in keys:
+        total += book.sizes[side][k]
+    return -side * keys[0], book.sizes[side][keys[0]], total
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = _fold(pdf, best)
-        for i, c in enumerate(by):
-            out.insert(i, c, pdf[c].iloc[0])
-        return out
 
-    return rows.unionByName(opening).groupBy(*by, "bucket").applyInPandas(run, schema)
+def _fold(deltas: DataFrame, ms: int, by: list[str], best: int, taken: Callable[[Ladder, int, int], tuple], kinds: dict[str, str]) -> DataFrame:
+    """``by``, ts_ms, u and the columns ``kinds``, which are what ``taken`` finds on the bids and then on the asks, after every update.
+
+    Spark sorts the changes of each span of ``ms`` behind the levels that hold at its start (k = 0); a task walks its spans row by row, so it holds one book, however long a span is.
+    """
+    opening = checkpoints(deltas, ms, by).select(*by, (F.col("moment") / ms).cast("long").alias("bucket"), F.lit(0).alias("k"), F.col("moment").alias("ts_ms"), F.lit(0).cast("long").alias("u"), "side", F.col("tick").cast("long").alias("tick"), F.col("size").cast("double").alias("size"))
+    rows = deltas.select(*by, F.floor(F.col("ts_ms") / ms).alias("bucket"), F.lit(1).alias("k"), "ts_ms", "u", "side", F.col("tick").cast("long").alias("tick"), F.coalesce(F.col("size").cast("double"), F.lit(0.0)).alias("size"))
+    group = ["bucket", *by]  # a number first: most rows are told apart by the sort's prefix
+    ordered = rows.unionByName(opening).repartition(*group).sortWithinPartitions(*group, "k", "u")
+    schema = ", ".join([*(f"`{c}` {deltas.schema[c].dataType.simpleString()}" for c in by), "ts_ms long", "u long", *(f"{c} {t}" for c, t in kinds.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, book, found = None, Ladder(), {}
+        for b in batches:
+            out = []
+            for key, k, side, tick, size in zip(zip(*(b[c].to_pylist() for c in group), strict=True), *(b[c].to_pylist() for c in ("k", "side", "tick", "size")), strict=True):
+                if key != at:
+                    at, book, found = key, Ladder(), {}
+                if tick is not None:
+                    book.put(side, tick, size)
+                    found.pop(side, None)  # what is known of the other side still holds
+                if k == 1:
+                    if 1 not in found:
+                        found[1] = taken(book, 1, best)
+                    if -1 not in found:
+                        found[-1] = taken(book, -1, best)
+                    out.append(found[1] + found[-1])
+            own = b.filter(pc.equal(b["k"], 1)).select([*by, "ts_ms", "u"])
+            columns = zip(*out, strict=True) if out else [[] for _ in kinds]
+            types = [ARROW[t] for t in kinds.values()]
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=[*own.schema.names, *kinds])
+
+    return ordered.mapInArrow(run, schema)
+
+
+def fold_levels(deltas: DataFrame, best: int = 10, ms: int = SPAN, by: list[str] | None = None) -> DataFrame:
+    """The ``best`` levels of both sides after every update, fewer where the book is thin, after the columns ``by`` that name a book. Spans of ``ms`` are folded
+    apart: each starts from the levels that hold at its start."""
+    kinds = {"bid": "array<long>", "bid_size": "array<double>", "ask": "array<long>", "ask_size": "array<double>"}
+    return _fold(deltas, ms, by or [], best, _best_levels, kinds)
 
 
 def fold_states(deltas: DataFrame, ms: int = SPAN, by: list[str] | None = None) -> DataFrame:
     """The book's state after every update: best prices, their sizes, sizes of the best five; null where a side is empty."""
-    five = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda s, x: s + x))
-    first = lambda c: F.get(c, F.lit(0))
-    return fold_levels(deltas, 5, ms, by).select(*(by or []), "ts_ms", "u", first("bid").alias("bid"), first("ask").alias("ask"), first("bid_size").alias("q_bid"), first("ask_size").alias("q_ask"), five("bid_size").alias("q_bid5"), five("ask_size").alias("q_ask5"))
+    kinds = {"bid": "long", "q_bid": "double", "q_bid5": "double", "ask": "long", "q_ask": "double", "q_ask5": "double"}
+    return _fold(deltas, ms, by or [], 5, _best_state, kinds).select(*(by or []), "ts_ms", "u", "bid", "ask", "q_bid", "q_ask", "q_bid5", "q_ask5")
 
 
 def level_flow(levels: DataFrame, ms: int, best: int = 10) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.asof import SPAN, asof
-from tidewright.operators.ranges import first_passage, passages, running
+from tidewright.operators.ranges import asof_steps, first_passage, passages, running
 from tidewright.session import materialise
 
 
@@ -27,8 +27,12 @@ def level_events(changes: DataFrame, trades: DataFrame, by: list[str], span: int
     What trades between two updates of a book, up to the time of the second, belongs to the second, and counts where that changes the
     level: a decrease is traded up to what was hit, and the rest was cancelled. Before a book's first update nothing is known of it.
     """
+    return events_of(last_of_time(changes, by), trades, by, span)
+
+
+def events_of(known: DataFrame, trades: DataFrame, by: list[str], span: int = SPAN) -> DataFrame:
+    """:func:`level_events` of changes that are the last of their level and time already."""
     level = [*by, "side", "tick"]
-    known = last_of_time(changes, by)
     key = F.struct(*by)
     updates = known.groupBy(*by, "ts_ms").agg(F.max("u").alias("__u")).select(key.alias("__book"), "ts_ms", "__u")
     first = known.groupBy(*by).agg(F.min("ts_ms").alias("__from"))
@@ -202,10 +206,10 @@ def refill_times(shocks: DataFrame, depth: DataFrame, by: list[str], within: int
     return shocks.select("id", "ts_ms").join(met, "id", "left").select("id", (F.col("passed") - F.col("ts_ms")).alias("refill_ms"))
 
 
-def matched_curves(curves: DataFrame, cells: DataFrame) -> DataFrame:
-    """(step, shocks, controls, cells, n): mean ratio after shocks, and that of controls of the same cells, each cell weighing as many as it holds shocks. ``cells`` (id, cell, shock) names both; cells
+def matched_curves(curves: DataFrame) -> DataFrame:
+    """(step, shocks, controls, cells, n): mean ratio after shocks, and that of controls of the same cells, each cell weighing as many as it holds shocks. Curves are (step, cell, shock, ratio); cells
     without controls are left out of both sides."""
-    means = curves.join(cells, "id").where("ratio IS NOT NULL").groupBy("step", "cell").agg(
+    means = curves.where("ratio IS NOT NULL").groupBy("step", "cell").agg(
         F.avg(F.when(F.col("shock"), F.col("ratio"))).alias("s"), F.avg(F.when(~F.col("shock"), F.col("ratio"))).alias("c"), F.count_if(F.col("shock")).alias("k")
     )
     both = means.where("s IS NOT NULL AND c IS NOT NULL")
@@ -213,12 +217,19 @@ def matched_curves(curves: DataFrame, cells: DataFrame) -> DataFrame:
     return both.groupBy("step").agg(weighed("s").alias("shocks"), weighed("c").alias("controls"), F.count("*").alias("cells"), F.sum("k").alias("n"))
 
 
-def refill_curves(shocks: DataFrame, depth: DataFrame, by: list[str], steps: list[int]) -> DataFrame:
-    """(id, step, ratio): depth at each step after a shock over ``before``: one as-of join over all steps."""
-    key = F.struct(*by, "side")
-    asked = shocks.select("id", key.alias("__book"), "before", F.col("ts_ms").alias("__t"), F.explode(F.array(*map(F.lit, steps))).alias("step")).withColumn("ts_ms", F.col("__t") + F.col("step"))
-    met = asof(asked, depth.select(key.alias("__book"), "ts_ms", "depth"), "__book", "ts_ms", ["depth"])
-    return met.select("id", "step", (F.col("depth") / F.col("before")).alias("ratio"))
+def depth_around(updates: DataFrame, depth: DataFrame, by: list[str], steps: list[int]) -> DataFrame:
+    """``updates`` (by, side, ts_ms) with the depth of their side ``before`` them, and ``after``, an array of what it is at each of ``steps`` after them; updates without a depth before have no row."""
+    # times are whole: what holds just before one is what holds a millisecond earlier
+    names = [f"__after_{k}" for k in steps]
+    met = asof_steps(updates, depth, [*by, "side"], "ts_ms", "depth", {"before": -1, **dict(zip(names, steps, strict=True))})
+    return met.where("before IS NOT NULL").select(*updates.columns, "before", F.array(*names).alias("after"))
+
+
+def refill_curves(shocks: DataFrame, steps: list[int]) -> DataFrame:
+    """A row for each step after a shock (before, after and others): ``ratio`` is the depth at it over that ``before``. Nothing is joined: a shock's own row holds its depths."""
+    at = F.explode(F.arrays_zip(F.array(*map(F.lit, steps)).alias("step"), F.col("after").alias("depth")))
+    rest = [c for c in shocks.columns if c not in ("before", "after")]
+    return shocks.select(*rest, "before", at.alias("__at")).select(*rest, "__at.step", (F.col("__at.depth") / F.col("before")).alias("ratio"))
 
 
 def resting_share(trades: DataFrame, changes: DataFrame, by: list[str], shifts: list[int], span: int = SPAN) -> DataFrame:

@@ -7,14 +7,14 @@ over the sorted rows answers each range in as many steps as the rows of two span
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from tidewright.operators.asof import SPAN, asof
 
@@ -39,26 +39,93 @@ def range_sums(ranges: DataFrame, rows: DataFrame, by: str, at: str, start: str,
     return met.groupBy(F.col("__id").alias(id_)).agg(*[F.sum(F.coalesce(v, F.lit(0)) * F.col("__sign")).alias(v) for v in values])
 
 
-def meet(points: DataFrame, start: str, series: DataFrame, by: list[str], at: str, length: int, columns: dict[str, str], run: Callable[[pa.Table, pa.Table], list[np.ndarray | pa.Array]]) -> DataFrame:
-    """``points`` with new ``columns`` (names and types) that ``run(points, rows)`` finds in each span of ``length`` of a key: the rows from a point's ``start`` to ``length`` after it are all there."""
+def _pieces(batches: Iterator[pa.RecordBatch], group: list[str]) -> Iterator[tuple[list[pa.RecordBatch], bool]]:
+    """The rows of each value of ``group``, of batches sorted by it, as a list of slices, and whether it is the last that ends in its batch."""
+    held, last = [], None
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        new = np.zeros(n - 1, bool)
+        for c in group:
+            x, y = b[c].slice(1), b[c].slice(0, n - 1)
+            same = pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y)))
+            new |= ~same.to_numpy(zero_copy_only=False)
+        ends = (np.flatnonzero(new) + 1).tolist()
+        if held and tuple(b[c][0].as_py() for c in group) != last:
+            yield held, not ends
+            held = []
+        start = 0
+        for i, end in enumerate(ends):
+            yield [*held, b.slice(start, end - start)], i == len(ends) - 1
+            held, start = [], end
+        held.append(b.slice(start))
+        last = tuple(b[c][n - 1].as_py() for c in group)
+    if held:
+        yield held, True
+
+
+def meet(points: DataFrame, start: str, series: DataFrame, by: list[str], at: str, length: int, columns: dict[str, str | DataType], run: Callable[[pa.Table, pa.Table], list[np.ndarray | pa.Array | pa.ChunkedArray]], reach: int | None = None) -> DataFrame:
+    """``points`` with new ``columns`` (names and types) that ``run(points, rows)`` finds in each span of ``length`` of a key: the rows from a point's ``start`` to ``reach`` after it (``length`` if
+    not given, which is the most) are all there. Spark sorts the spans; a task takes one after the other from its batches, as a group of its own for each would cost more than the few rows of most."""
     span = lambda c: F.floor(F.col(c) / length)
     own = F.struct(*points.columns)
+    group = ["__span", *by]  # a number first: rows of different spans are told apart by the sort's prefix
     a = points.select(*by, span(start).alias("__span"), own.alias("__point"))
-    b = series.select(*by, F.explode(F.array(span(at), span(at) - 1)).alias("__span"), F.struct(*[c for c in series.columns if c not in by]).alias("__row"))
+    near = F.array(span(at), span(at) - 1)
+    if reach is not None:
+        near = F.when(F.col(at) - span(at) * length <= reach, near).otherwise(F.array(span(at)))
+    b = series.select(*by, F.explode(near).alias("__span"), F.struct(*[c for c in series.columns if c not in by]).alias("__row"))
     schema = StructType().add("__point", points.select(own.alias("p")).schema["p"].dataType)
     for c, kind in columns.items():
         schema = schema.add(c, kind)
 
-    def find(group: pa.Table) -> pa.Table:
-        there = group["__point"].is_valid()
-        p = group["__point"].filter(there).combine_chunks()
+    def find(rows: pa.Table) -> pa.Table:
+        there = rows["__point"].is_valid()
+        p = rows["__point"].filter(there).combine_chunks()
         names = [f.name for f in p.type]
-        r = group["__row"].filter(pc.invert(there)).combine_chunks()
+        r = rows["__row"].filter(pc.invert(there)).combine_chunks()
         found = run(pa.table(p.flatten(), names=names), pa.table(r.flatten(), names=[f.name for f in r.type]))
         return pa.table([p, *(pa.array(x) if isinstance(x, np.ndarray) else x for x in found)], names=["__point", *columns])
 
-    both = a.unionByName(b, allowMissingColumns=True)
-    return both.groupBy(*by, "__span").applyInArrow(find, schema).select("__point.*", *columns)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = []
+        for piece, last in _pieces(batches, group):
+            rows = pa.Table.from_batches(piece)
+            if rows["__point"].null_count < len(rows):
+                done.append(find(rows))
+            if last and done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+                done = []
+
+    both = a.unionByName(b, allowMissingColumns=True).repartition(*group).sortWithinPartitions(*group)
+    return both.mapInArrow(walk, schema).select("__point.*", *columns)
+
+
+def asof_steps(points: DataFrame, series: DataFrame, by: list[str], at: str, value: str, steps: dict[str, int], span: int = SPAN) -> DataFrame:
+    """``points`` with a column for each name of ``steps``: the ``value`` of the last row of ``series`` at most that step after a point's ``at``, null if there is none; of equal times the largest.
+
+    All steps are found in one pass over spans, ``span`` long or as long as the steps lie apart. To the rows of each span comes what holds at its start, so that a value may be as old as it likes.
+    """
+    low = min(steps.values())
+    length = max(span, max(steps.values()) - low)
+    kind = series.schema[value].dataType
+    known = series.where(F.col(at).isNotNull()).select(*by, F.col(at).cast("long").alias("__at"), F.lit(1).alias("__own"), F.col(value).alias("__v"))
+    sought = points.select(*points.columns, (F.col(at).cast("long") + low).alias("__t"))
+    place = lambda c: F.floor(F.col(c) / length).alias("__span")
+    ends = known.groupBy(*by, place("__at")).agg(F.max(F.struct("__at", "__v")).alias("__e")).unionByName(sought.select(*by, place("__t")).distinct(), allowMissingColumns=True)
+    earlier = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = ends.groupBy(*by, "__span").agg(F.max("__e").alias("__e")).withColumn("__e", F.last("__e", ignorenulls=True).over(earlier))
+    held = spans.where("__e IS NOT NULL").select(*by, (F.col("__span") * length).alias("__at"), F.lit(0).alias("__own"), F.col("__e.__v").alias("__v"))
+
+    def run(p: pa.Table, r: pa.Table) -> list[pa.ChunkedArray]:
+        r = r.sort_by([("__at", "ascending"), ("__own", "ascending"), ("__v", "ascending")])
+        t, x = r["__at"].to_numpy(), pc.fill_null(p["__t"], np.iinfo(np.int64).min // 2).to_numpy()
+        last = [np.searchsorted(t, x + (s - low), "right") - 1 for s in steps.values()]
+        return [r["__v"].take(pa.array(i, mask=i < 0)) for i in last]
+
+    met = meet(sought, "__t", known.unionByName(held), by, "__at", length, dict.fromkeys(steps, kind), run, max(steps.values()) - low)
+    return met.select(*points.columns, *steps)
 
 
 def _numbers(column: pa.ChunkedArray) -> np.ndarray:

@@ -80,29 +80,38 @@ def spoof_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queues.short_lived(events(spark, sf_dir), best(spark, sf_dir), BY, 10, 12 * HOUR, HOUR // 4)
 
 
-def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last change of each level and time, written once: books and events are both made from it."""
+    return materialise(queues.last_of_time(views.market_changes(spark, sf_dir), BY), "changes")
+
+
+def depths(known: DataFrame) -> DataFrame:
     """(symbol, side, ts_ms, depth) of all levels after each update; a side without levels has no row."""
-    state = book.fold_states(queues.last_of_time(views.market_changes(spark, sf_dir), BY), SPAN, BY)
+    state = book.fold_states(known, SPAN, BY)
     last = state.groupBy("symbol", "ts_ms").agg(F.max_by(F.struct("q_bid5", "q_ask5"), "u").alias("s"))
     sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("s.q_bid5").alias("depth")), F.struct(F.lit(-1).alias("side"), F.col("s.q_ask5").alias("depth")))).alias("x")
     out = last.select("symbol", "ts_ms", sides).select("symbol", "x.side", "ts_ms", F.col("x.depth").cast("long").alias("depth")).where("depth IS NOT NULL")
     return materialise(out, "depths")
 
 
+def own_depths(known: DataFrame) -> DataFrame:
+    """:func:`depths` without the rows of updates of the other side, at which a side's depth stays as it is: each side is a book of its own."""
+    state = book.fold_states(known.withColumn("own", F.col("side")), SPAN, [*BY, "own"])
+    last = state.groupBy("symbol", F.col("own").alias("side"), "ts_ms").agg(F.max_by(F.struct(F.coalesce("q_bid5", "q_ask5").cast("long").alias("depth")), "u").alias("s"))
+    return materialise(last.select("symbol", "side", "ts_ms", "s.depth").where("depth IS NOT NULL"), "own-depths")
+
+
 #: Depth before each update of a side, and whether the update took a fifth of it or more by trades.
 SHOCKS = """tr_ AS (SELECT symbol, side, ts_ms, cast(sum(traded) AS BIGINT) traded FROM events_ GROUP BY 1, 2, 3),
     sh_ AS (SELECT t.symbol, t.side, t.ts_ms, t.traded, d."depth" AS "before" FROM tr_ t ASOF JOIN depth_ d ON t.symbol = d.symbol AND t.side = d.side AND t.ts_ms > d.ts_ms),
     shocks_ AS (SELECT symbol || '/' || side || '/' || ts_ms AS id, *, 5 * traded >= "before" AS shock FROM sh_)"""
 
 
-def shocks(spark: SparkSession, sf_dir: str, depth: DataFrame) -> DataFrame:
-    """(id, symbol, side, ts_ms, before, shock) of every update of a side."""
-    from tidewright.operators.asof import asof
-
-    took = events(spark, sf_dir).groupBy("symbol", "side", "ts_ms").agg(F.sum("traded").alias("traded")).withColumn("__book", F.struct("symbol", "side"))
-    known = depth.select(F.struct("symbol", "side").alias("__book"), "ts_ms", "depth")
-    met = asof(took, known, "__book", "ts_ms", ["depth"], strict=True).where("depth IS NOT NULL")
-    return materialise(met.select(F.concat_ws("/", "symbol", "side", "ts_ms").alias("id"), "symbol", "side", "ts_ms", F.col("depth").alias("before"), (5 * F.col("traded") >= F.col("depth")).alias("shock")), "shocks")
+def shocks(spark: SparkSession, sf_dir: str, known: DataFrame, depth: DataFrame, steps: list[int]) -> DataFrame:
+    """(id, symbol, side, ts_ms, before, after, shock) of every update of a side."""
+    took = queues.events_of(known, views.market_trades(spark, sf_dir), BY).groupBy("symbol", "side", "ts_ms").agg(F.sum("traded").alias("traded"))
+    met = queues.depth_around(took, depth, BY, steps)
+    return materialise(met.select(F.concat_ws("/", "symbol", "side", "ts_ms").alias("id"), "symbol", "side", "ts_ms", "before", "after", (5 * F.col("traded") >= F.col("before")).alias("shock")), "shocks")
 
 
 @query(
@@ -110,8 +119,9 @@ def shocks(spark: SparkSession, sf_dir: str, depth: DataFrame) -> DataFrame:
 )
 def refill_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long after trades took a fifth of a side or more its depth is back at nine tenths."""
-    depth = depths(spark, sf_dir)
-    return queues.refill_times(shocks(spark, sf_dir, depth).where("shock"), depth, BY, 48 * HOUR, HOUR // 2)
+    known = changes(spark, sf_dir)
+    depth = depths(known)
+    return queues.refill_times(shocks(spark, sf_dir, known, depth, []).where("shock").drop("after"), depth, BY, 48 * HOUR, HOUR // 2)
 
 
 STEPS = [HOUR // 4, HOUR, 4 * HOUR, 12 * HOUR]
@@ -126,8 +136,8 @@ STEPS = [HOUR // 4, HOUR, 4 * HOUR, 12 * HOUR]
 )
 def refill_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth after shocks against that after other updates of the same fifth of depth; the bounds of the fifths are those of the first half of the time."""
-    depth = depths(spark, sf_dir)
-    all_ = shocks(spark, sf_dir, depth)
+    known = changes(spark, sf_dir)
+    all_ = shocks(spark, sf_dir, known, own_depths(known), STEPS)
     half = all_.groupBy("symbol", "side").agg((F.min("ts_ms") + F.floor((F.max("ts_ms") - F.min("ts_ms")) / 2)).alias("half"))
     early = all_.join(half, ["symbol", "side"]).where(F.col("ts_ms") <= F.col("half")).groupBy("symbol", "side", "before").agg(F.count("*").alias("k"))
     w = Window.partitionBy("symbol", "side")
@@ -135,8 +145,8 @@ def refill_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = early.select("symbol", "side", "before", F.sum("k").over(w.orderBy("before")).alias("upto"), F.sum("k").over(w).alias("n"))
     bounds = ranked.groupBy("symbol", "side").agg(F.array(*[F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)), F.col("before"))) for p in (0.2, 0.4, 0.6, 0.8)]).alias("q"))
     cell = F.concat_ws("/", "symbol", "side", F.size(F.filter("q", lambda x: x < F.col("before"))))
-    cells = all_.join(bounds, ["symbol", "side"]).select("id", "shock", cell.alias("cell"))
-    return rounded(queues.matched_curves(queues.refill_curves(all_, depth, BY, STEPS), cells))
+    celled = all_.join(bounds, ["symbol", "side"]).select("shock", cell.alias("cell"), "before", "after")
+    return rounded(queues.matched_curves(queues.refill_curves(celled, STEPS)))
 
 
 SHIFTS = [*range(-60_000, 60_001, 5_000)]
